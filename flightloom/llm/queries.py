@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from flightloom.llm.binary_records import op2_binary_records
+from flightloom.llm.bytebpe import op8_byte_bpe
+from flightloom.llm.language_id import op10_language_mixture
 from flightloom.llm.packing import op4_packing
+from flightloom.llm.quality_rules import op1_quality_rules
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_binary_records": op2_binary_records,
     "op4_packing": op4_packing,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op10_language_mixture": op10_language_mixture,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from flightloom.llm.common import quiet_tokenizers, ragged, words_of
 
 #: Words that a worker remembers; beyond that it starts afresh.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
 _LETTERS = "a-zßà-öø-ÿ"
 #: The vocabulary file's own pre-tokenizer pattern.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -32,6 +33,10 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _pack(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class WordEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
@@ -47,22 +52,20 @@ class WordEncoder:
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and pre[0].get("pattern", {}).get("Regex") == _SPLIT and pre[0].get("invert") is True and pre[0].get("behavior") == "Removed" and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         self.table = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self.model = self.tokenizer.model
-        self.words: dict[str, np.ndarray] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
+            ids = self.pieces[piece] = _pack([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))])
         return ids
 
-    def _word(self, word: str) -> np.ndarray:
+    def _word(self, word: str) -> bytes:
         if _PLAIN.match(word) and "<|" not in word:
             lower = word.lower()
-            ids = self._piece(lower) if lower.isalpha() else [i for p in _PIECES.findall(lower) for i in self._piece(p)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, dtype=np.uint32)
+            return self._piece(lower) if lower.isalpha() else b"".join(map(self._piece, _PIECES.findall(lower)))
+        return _pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def encode(self, text: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of the texts); null is empty; end_id follows each text."""
@@ -82,13 +85,13 @@ class WordEncoder:
                 ids = known[word] = self._word(word)
             found.append(ids)
         if end_id is not None:
-            found.append(np.array([end_id], dtype=np.uint32))
+            found.append(_pack([end_id]))
             codes = np.insert(codes, offsets[1:], len(found) - 1)
             offsets = offsets + np.arange(len(offsets))
         if not found:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        flat, at = np.concatenate(found), np.cumsum(lens) - lens
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, at = np.frombuffer(b"".join(found), np.uint32), np.cumsum(lens) - lens
         per_word = lens[codes]
         ids = flat[ragged(per_word, at[codes])]
         return ids, np.concatenate([[0], np.cumsum(per_word)])[offsets]

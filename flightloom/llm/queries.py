@@ -6,13 +6,19 @@ from flightloom.llm.binary_records import op2_binary_records
 from flightloom.llm.bytebpe import op8_byte_bpe
 from flightloom.llm.language_id import op10_language_mixture
 from flightloom.llm.packing import op4_packing
+from flightloom.llm.quality_model import op6_quality_network
 from flightloom.llm.quality_rules import op1_quality_rules
+from flightloom.llm.topk_search import ORACLE, op3_block_topk
+from flightloom.llm.toxicity import op5_toxicity_nnpu
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_binary_records": op2_binary_records,
+    "op3_block_topk": op3_block_topk,
     "op4_packing": op4_packing,
+    "op5_toxicity_nnpu": op5_toxicity_nnpu,
+    "op6_quality_network": op6_quality_network,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_language_mixture": op10_language_mixture,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_block_topk": ORACLE}

@@ -115,5 +115,15 @@ def out_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=schema.field(n).type) for n, c in columns.items()], schema=schema)
 
 
+def kept_rows(docs: DataFrame, keep) -> DataFrame:
+    """The rows of docs, all columns, for which ``keep(chunk)`` (a mask of a batch) holds; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            yield chunk.filter(pa.array(keep(chunk)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quiet_tokenizers() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

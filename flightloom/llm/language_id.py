@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightloom.llm.bytebpe import LETTER, codepoint_classes
-from flightloom.llm.common import crc_mod, documents, filled, out_batch, text_chunks, words_of
+from flightloom.llm.common import crc_mod, documents, kept_rows, out_batch, text_chunks, words_of
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.05
@@ -176,6 +176,18 @@ def trained_on(docs: DataFrame, folds: int = 5) -> tuple[list[str], np.ndarray]:
     return learn(docs.where(crc_mod("doc_id", folds) != 0))
 
 
+def keep_identified(docs: DataFrame, langs: list[str], table: np.ndarray, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose main language has a share of ``least`` or more (so not ``und``)."""
+    shared = docs.sparkSession.sparkContext.broadcast((langs, table))
+
+    def keep(chunk: pa.RecordBatch) -> np.ndarray:
+        names, logp = shared.value
+        _, shares, has = infer(chunk.column("text"), logp)
+        return has & bool(names) & (shares.max(axis=1, initial=0) >= least)
+
+    return kept_rows(docs, keep)
+
+
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     langs, table = trained_on(docs)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from flightloom.llm.bytebpe import LETTER, codepoint_classes
-from flightloom.llm.common import documents, filled, out_batch, ragged, text_chunks, words_of
+from flightloom.llm.common import documents, filled, kept_rows, out_batch, ragged, text_chunks, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -215,5 +215,11 @@ def measure(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _DDL)
 
 
+def keep_good(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of docs, all columns, that the rules keep."""
+    path = path or public_tokenizers.path("piece_bpe_32k.model")
+    return kept_rows(docs, lambda chunk: measure_chunk(chunk.column("doc_id"), chunk.column("text"), path).column("kept").to_numpy(zero_copy_only=False))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(documents(spark, sf_dir))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from flightloom.llm.binary_records import op2_binary_records
 from flightloom.llm.bytebpe import op8_byte_bpe
+from flightloom.llm.dart_minhash import op9_dart_minhash
 from flightloom.llm.language_id import op10_language_mixture
 from flightloom.llm.packing import op4_packing
 from flightloom.llm.quality_model import op6_quality_network
 from flightloom.llm.quality_rules import op1_quality_rules
+from flightloom.llm.suffix_dedup import op7_suffix_dedup
 from flightloom.llm.topk_search import ORACLE, op3_block_topk
 from flightloom.llm.toxicity import op5_toxicity_nnpu
 
@@ -18,7 +20,9 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_toxicity_nnpu": op5_toxicity_nnpu,
     "op6_quality_network": op6_quality_network,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_dart_minhash": op9_dart_minhash,
     "op10_language_mixture": op10_language_mixture,
 }
 ORACLE_SQL: dict[str, str] = {"op3_block_topk": ORACLE}

@@ -22,6 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,10 +167,10 @@ def _cell_rows(batches: Iterator[pa.RecordBatch], size: int, parent: int, thresh
         yield pa.RecordBatch.from_arrays([chunk.column("kkey").take(take), chunk.column("d").take(take), chunk.column("th").take(take), chunk.column("apos").take(take), pa.array(da.astype(np.int32)), pa.array(ckey.view(np.int64)), pa.array(ukey.view(np.int64), mask=~whole)], schema=schema)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with d and th, which are equal for rows of equal doc_id and text only
+def keyed(docs: DataFrame, names: tuple[str, str] = ("d", "th")) -> DataFrame:
+    """docs with d and th (or other names), which are equal for rows of equal doc_id and text only
     (such rows are each other's repetitions, so their results are the same)."""
-    return docs.withColumns({"d": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "th": F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull())})
+    return docs.withColumns(dict(zip(names, (F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull())))))
 
 
 def repeated_starts(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
@@ -248,5 +249,32 @@ def dedup(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, gram
     return keyed(docs.select("doc_id", "text")).join(ranges, _KEY, "left").select("doc_id", "text", "ranges").mapInArrow(partial(_cut, threshold=threshold, with_text=with_text), ddl)
 
 
+def dedup_rows(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
+    """The rows of docs, all columns, with text less its repeated bytes (a
+    character that lost a byte goes) and n_chars, where there is one, as it is then."""
+    ranges = repeated_starts(spark, docs, threshold, gram).distinct().groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("ranges")).select(F.col("d").alias("__d"), F.col("th").alias("__th"), F.col("ranges").alias("__ranges"))
+    joined = keyed(docs, ("__kd", "__kth")).join(ranges, (F.col("__kd") == F.col("__d")) & (F.col("__kth") == F.col("__th")), "left").select(*docs.columns, "__ranges")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            marks = chunk.column("__ranges").to_pylist()
+            texts = chunk.column("text").to_pylist()
+            for i in (i for i, m in enumerate(marks) if m):
+                raw, kept, end = texts[i].encode(), [], 0
+                for first, last in sorted((r["first"], r["last"]) for r in marks[i]):
+                    kept.append(raw[end : max(first, end)])
+                    end = max(end, last + threshold)
+                texts[i] = (b"".join(kept) + raw[end:]).decode("utf-8", "ignore")
+            columns = {n: chunk.column(n) for n in names}
+            columns["text"] = pa.array(texts, columns["text"].type)
+            if "n_chars" in columns:
+                changed = pa.array([bool(m) for m in marks])
+                columns["n_chars"] = pc.if_else(changed, pc.utf8_length(columns["text"]).cast(columns["n_chars"].type), columns["n_chars"])
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark, documents(spark, sf_dir))

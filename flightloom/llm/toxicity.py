@@ -27,6 +27,8 @@ MAX_UNLABELLED = 16_000
 #: A word is a feature from so many positive texts and so large a ratio on.
 MIN_POSITIVE, MIN_RATIO, MAX_WORDS = 3, 15.0, 256
 EPOCHS = 40
+#: Small samples are gone through more often, for so many steps at least.
+MIN_STEPS = 1500
 BATCH = 1024
 RATE = 0.03
 DECAY = 1e-5
@@ -102,7 +104,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
     xp_all, xu_all = one(positive), one(unlabelled)
     m, v, t = np.zeros(dim + 1), np.zeros(dim + 1), 0
     per_pos = max(1, min(len(xp_all), BATCH))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-MIN_STEPS // -(-len(xu_all) // BATCH)))):
         u_order, p_order = rng.permutation(len(xu_all)), rng.permutation(len(xp_all))
         for i in range(0, len(xu_all), BATCH):
             xu = xu_all[u_order[i : i + BATCH]]

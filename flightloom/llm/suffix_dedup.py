@@ -58,7 +58,7 @@ class Names:
     """64-bit names of any substrings of a run of bytes; equal strings have equal names."""
 
     def __init__(self, raw: np.ndarray):
-        power, self.inverse = _powers(max(len(raw) + 1, 1 << 16))
+        power, self.inverse = _powers(max(len(raw) + 1, 1 << 20))
         self.prefix = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_tables["t"][raw] * power[: len(raw)], out=self.prefix[1:])
 
@@ -110,7 +110,7 @@ _ANCHOR_DDL = "d long, th long, apos int, lo int, hi int, kkey long, ukey long"
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], threshold: int, gram: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("d", pa.int64()), ("th", pa.int64()), *((n, pa.int32()) for n in ("apos", "lo", "hi")), ("kkey", pa.int64()), ("ukey", pa.int64())])
-    for chunk in text_chunks(batches, limit=3_000_000):
+    for chunk in text_chunks(batches, limit=1_000_000):
         x = anchors(chunk.column("text"), threshold, gram)
         row = pa.array(x.pop("row"))
         yield out_batch(schema, d=chunk.column("d").take(row), th=chunk.column("th").take(row), **{k: v.astype(np.int32) if k in ("apos", "lo", "hi") else v for k, v in x.items()})
@@ -140,7 +140,7 @@ def _cell_rows(batches: Iterator[pa.RecordBatch], size: int, parent: int, thresh
     ckey names the bytes that the cell's strings have in common, ukey all bytes
     of the cell (none where the anchor has not all of its strings)."""
     schema = pa.schema([("kkey", pa.int64()), ("d", pa.int64()), ("th", pa.int64()), ("apos", pa.int32()), ("da", pa.int32()), ("ckey", pa.int64()), ("ukey", pa.int64())])
-    for chunk in text_chunks(batches, "ctx", 2_000_000):
+    for chunk in text_chunks(batches, "ctx", 1_000_000):
         ctx = chunk.column("ctx")
         ctx = pa.concat_arrays([ctx])
         at = np.frombuffer(ctx.buffers()[1], np.int32, len(ctx) + 1).astype(np.int64)
@@ -191,7 +191,7 @@ def repeated_starts(spark: SparkSession, docs: DataFrame, threshold: int = THRES
     several = ranks.groupBy("kkey").agg(F.count("*").alias("n")).where("n > 1").select("kkey")
     open_ranks = ranks.join(several, "kkey", "left_semi").select("kkey", "rep.*")
     todo = open_ranks.groupBy(*_KEY).agg(F.collect_list(F.struct("apos", "lo", "hi", "kkey")).alias("todo"))  # as many as the text has anchors
-    with_text = named.where(F.octet_length("text") >= threshold).join(todo, _KEY).select("d", "th", "text", "todo").dropDuplicates(_KEY)
+    with_text = named.where(F.octet_length("text") >= threshold).join(todo, _KEY).select("d", "th", "text", "todo")
     contexts = saved(spark, with_text.mapInArrow(partial(_contexts, threshold=threshold), "d long, th long, apos int, lo int, hi int, kkey long, ctx binary"), "contexts")
     parent, active = 0, None
     for size in CELLS:

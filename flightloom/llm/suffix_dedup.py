@@ -180,7 +180,8 @@ def repeated_starts(spark: SparkSession, docs: DataFrame, threshold: int = THRES
     named = keyed(docs.select("doc_id", "text"))
     every = saved(spark, named.where(F.octet_length("text") >= threshold).select("d", "th", "text").mapInArrow(partial(_anchor_rows, threshold=threshold, gram=gram), _ANCHOR_DDL), "anchors")
     # round 1: the GRAM bytes at the anchor; partial counts before the shuffle, hot names are split by the join
-    common = every.groupBy("kkey").agg(F.count("*").alias("n")).where("n > 1").select("kkey")
+    # (the counts are written first: only a join of two shuffles of its own is split at hot names)
+    common = saved(spark, every.groupBy("kkey").agg(F.count("*").alias("n")).where("n > 1").select("kkey"), "common")
     alive = saved(spark, every.join(common, "kkey", "left_semi"), "alive")
     # round 2: all bytes of the strings that share the anchor
     member = ["d", "th", "apos", "lo", "hi"]
@@ -188,7 +189,7 @@ def repeated_starts(spark: SparkSession, docs: DataFrame, threshold: int = THRES
     whole = alive.join(ranks.where("n > 1").select("kkey", "ukey"), ["kkey", "ukey"], "left_semi")
     found = whole.select("d", "th", (F.col("apos") - F.col("hi")).alias("first"), (F.col("apos") - F.col("lo")).alias("last"))
     # one of each rank goes on where its first name has several ranks
-    several = ranks.groupBy("kkey").agg(F.count("*").alias("n")).where("n > 1").select("kkey")
+    several = saved(spark, ranks.groupBy("kkey").agg(F.count("*").alias("n")).where("n > 1").select("kkey"), "several")
     open_ranks = ranks.join(several, "kkey", "left_semi").select("kkey", "rep.*")
     todo = open_ranks.groupBy(*_KEY).agg(F.collect_list(F.struct("apos", "lo", "hi", "kkey")).alias("todo"))  # as many as the text has anchors
     with_text = named.where(F.octet_length("text") >= threshold).join(todo, _KEY).select("d", "th", "text", "todo")
@@ -200,7 +201,7 @@ def repeated_starts(spark: SparkSession, docs: DataFrame, threshold: int = THRES
             parts = active.groupBy("d", "th", "apos").agg(F.collect_list("da").alias("parents"))
             source = contexts.join(parts, ["d", "th", "apos"])
         cells = saved(spark, source.mapInArrow(partial(_cell_rows, size=size, parent=parent, threshold=threshold), _CELL_DDL), f"cells{size}")
-        shared = cells.groupBy("kkey", "da", "ckey").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        shared = saved(spark, cells.groupBy("kkey", "da", "ckey").agg(F.count("*").alias("n")).where("n > 1").drop("n"), f"shared{size}")
         rest = cells.join(shared, ["kkey", "da", "ckey"], "left_semi")
         repeated = rest
         if size > 1:

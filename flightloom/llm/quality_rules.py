@@ -24,7 +24,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Main scripts by first code point; those between are ``other``. Fixed values of Unicode's blocks.
 SCRIPTS = ("other", "latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "thai", "hangul", "kana", "han")
 SCRIPT_RANGES = [(0x41, 0x24F, 1), (0x1E00, 0x1EFF, 1), (0x370, 0x3FF, 2), (0x1F00, 0x1FFF, 2), (0x400, 0x52F, 3), (0x590, 0x5FF, 4), (0x600, 0x6FF, 5), (0x750, 0x77F, 5), (0x900, 0xDFF, 6), (0xE00, 0xE7F, 7), (0x1100, 0x11FF, 8), (0xAC00, 0xD7AF, 8), (0x3040, 0x30FF, 9), (0x3400, 0x4DBF, 10), (0x4E00, 0x9FFF, 10)]

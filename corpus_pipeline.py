@@ -12,7 +12,7 @@ from flightloom.llm.common import documents, saved
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or without a language that has half of their words, go."""
+    """Texts without a letter, or without a language that has two fifths of their words, go."""
     return language_id.keep_identified(docs, *language_id.trained_on(docs))
 
 

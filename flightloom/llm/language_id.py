@@ -176,7 +176,7 @@ def trained_on(docs: DataFrame, folds: int = 5) -> tuple[list[str], np.ndarray]:
     return learn(docs.where(crc_mod("doc_id", folds) != 0))
 
 
-def keep_identified(docs: DataFrame, langs: list[str], table: np.ndarray, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, langs: list[str], table: np.ndarray, least: float = 0.4) -> DataFrame:
     """The rows of docs, all columns, whose main language has a share of ``least`` or more (so not ``und``)."""
     shared = docs.sparkSession.sparkContext.broadcast((langs, table))
 

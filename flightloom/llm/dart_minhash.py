@@ -30,8 +30,10 @@ from flightloom.llm.suffix_dedup import Names, mix
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
-#: Comparisons that a small bucket may take in a round; one with more members takes one pivot.
-ROUND_PAIRS = 64
+#: Comparisons that a small bucket may take in the first round; one with more
+#: members takes one pivot. Each further round takes GROWTH times as many: groups
+#: that hang together do so after few, and for the rest all have their turn.
+ROUND_PAIRS, GROWTH = 64, 4
 
 
 def shingles(text: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +114,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("bands", pa.list_(pa.int64()))])
-    for chunk in text_chunks(batches, limit=3_000_000):
+    for chunk in text_chunks(batches, limit=2_000_000):
         owner, name, times = shingles(chunk.column("text"))
         n = chunk.num_rows
         keys = band_keys(darts(owner, name, times, n, BANDS * ROWS), BANDS, ROWS).view(np.int64)
@@ -205,6 +207,7 @@ def text_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     tested, large = pairs, members.where("n > 2").select("key", "h", "n", "star")
     used = large.where("h = star").select("key", "h")
     labels = spark.createDataFrame([], "node long, label long") if links.isEmpty() else contract(spark, links)
+    most = 1
     while True:
         placed = large.join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h")).select("key", "h", "n", "label")
         parts = placed.groupBy("key", "label").agg(F.count("*").alias("own"))
@@ -212,8 +215,9 @@ def text_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
         mixed = saved(spark, placed.join(largest.select("key", "most"), "key"), "mixed")
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "h"), "h"))
         outside = mixed.where("label <> most").join(used, ["key", "h"], "left_anti")
-        pivots = outside.withColumn("r", rank).where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.lit(ROUND_PAIRS) / F.col("n")))).select("key", F.col("h").alias("p"), F.col("label").alias("p_label"))
+        pivots = outside.withColumn("r", rank).where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.lit(ROUND_PAIRS) / F.col("n"))) * most).select("key", F.col("h").alias("p"), F.col("label").alias("p_label"))
         pivots = saved(spark, pivots, "pivots")
+        most *= GROWTH
         if pivots.isEmpty():
             break
         used = saved(spark, used.unionByName(pivots.select("key", F.col("p").alias("h"))), "used")

@@ -8,8 +8,8 @@ a rank chosen for about K (ln K + 2) of them, and of those the earliest in each
 coordinates. Two texts agree in a coordinate with the probability of their
 weighted Jaccard similarity. Bands of coordinates give the buckets.
 
-A bucket's members are compared with its pivots, not with each other: first one
-for each bucket; then, as long as a bucket's members lie in several components,
+A bucket's members are compared with its pivots, not with each other: first the
+member that meets most texts in its buckets (an original rather than a copy); then, as long as a bucket's members lie in several components,
 further ones among those outside its largest component. At the end all pairs of
 a bucket are compared or already connected, so no link between components is
 lost, and hot buckets cost a few comparisons a member. Comparisons are exact."""
@@ -190,8 +190,13 @@ def text_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     signed = full.mapInArrow(_signatures, "doc_id long, h long, bands array<long>")
     nodes = saved(spark, signed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select("h", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("star")).where("n > 1")
-    members = saved(spark, rows.join(buckets, "key"), "members")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = saved(spark, rows.join(buckets, "key"), "met")
+    # an original meets more texts than its copies do: the most met member leads a bucket
+    weight = met.groupBy("h").agg(F.sum("n").alias("w"))
+    weighted = saved(spark, met.join(weight, "h"), "weighted")
+    stars = weighted.groupBy("key").agg(F.max(F.struct("w", "h"))["h"].alias("star"))
+    members = saved(spark, weighted.join(stars, "key"), "members")
     candidates = members.select("h").distinct()
     chosen = nodes.join(candidates, "h", "left_semi").select("h", F.col("doc_id").alias("d"))
     with_text = full.join(chosen, (full["h"] == chosen["h"]) & full["doc_id"].eqNullSafe(chosen["d"]), "left_semi")
@@ -204,16 +209,16 @@ def text_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     pairs = saved(spark, members.where("h <> star").select(*ordered("h", "star")).distinct(), "pairs")
     links = saved(spark, verified(pairs), "links")
-    tested, large = pairs, members.where("n > 2").select("key", "h", "n", "star")
+    tested, large = pairs, members.where("n > 2").select("key", "h", "n", "w", "star")
     used = large.where("h = star").select("key", "h")
     labels = spark.createDataFrame([], "node long, label long") if links.isEmpty() else contract(spark, links)
     most = 1
     while True:
-        placed = large.join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h")).select("key", "h", "n", "label")
+        placed = large.join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h")).select("key", "h", "n", "w", "label")
         parts = placed.groupBy("key", "label").agg(F.count("*").alias("own"))
         largest = parts.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("own", "label"))["label"].alias("most")).where("kinds > 1")
         mixed = saved(spark, placed.join(largest.select("key", "most"), "key"), "mixed")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "h"), "h"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("w"), "h"))
         outside = mixed.where("label <> most").join(used, ["key", "h"], "left_anti")
         pivots = outside.withColumn("r", rank).where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.lit(ROUND_PAIRS) / F.col("n"))) * most).select("key", F.col("h").alias("p"), F.col("label").alias("p_label"))
         pivots = saved(spark, pivots, "pivots")

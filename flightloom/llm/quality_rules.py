@@ -3,8 +3,9 @@
 Counts of words, symbols, repeated lines and repeated 8-word windows decide
 first. Then a public subword vocabulary judges the text: characters per token,
 the share of byte-fallback tokens and the entropy of its tokens each must lie
-in the band of the text's main script. A text far outside them is not prose in
-a language that the vocabulary knows, but noise, markup or encoded data."""
+in the band of the text's language (column lang, if there is one) or main
+script. A text outside them is not prose in a language that the vocabulary
+knows, but noise, markup or encoded data."""
 
 from __future__ import annotations
 
@@ -28,11 +29,25 @@ CACHE_WORDS = 250_000
 #: Main scripts by first code point; those between are ``other``. Fixed values of Unicode's blocks.
 SCRIPTS = ("other", "latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "thai", "hangul", "kana", "han")
 SCRIPT_RANGES = [(0x41, 0x24F, 1), (0x1E00, 0x1EFF, 1), (0x370, 0x3FF, 2), (0x1F00, 0x1FFF, 2), (0x400, 0x52F, 3), (0x590, 0x5FF, 4), (0x600, 0x6FF, 5), (0x750, 0x77F, 5), (0x900, 0xDFF, 6), (0xE00, 0xE7F, 7), (0x1100, 0x11FF, 8), (0xAC00, 0xD7AF, 8), (0x3040, 0x30FF, 9), (0x3400, 0x4DBF, 10), (0x4E00, 0x9FFF, 10)]
-#: (least characters a token, most, most byte share, least entropy as a share of that of all-different tokens) of each script.
+#: (least characters a token, most, most byte share, most that the floor of the entropy asks for, in bits) of each
+#: script. The floor is 0.6 log2(tokens) up to that. Telugu and scripts under ``other`` fall back to bytes for most
+#: letters, so the bands of indic and other are wide; random letters of those pass.
 BANDS = {
-    "latin": (1.25, 9.0, 0.10, 0.45), "greek": (0.6, 8.0, 0.30, 0.40), "cyrillic": (0.8, 8.0, 0.20, 0.40), "hebrew": (0.4, 8.0, 0.60, 0.40), "arabic": (0.4, 8.0, 0.60, 0.40),
-    "indic": (0.25, 8.0, 0.90, 0.30), "thai": (0.25, 8.0, 0.90, 0.30), "hangul": (0.25, 4.0, 0.90, 0.30), "kana": (0.3, 4.0, 0.80, 0.35), "han": (0.25, 4.0, 0.90, 0.35), "other": (0.25, 9.0, 0.90, 0.30),
+    "latin": (0.0, 6.0, 0.10, 0.0), "greek": (0.6, 8.0, 0.10, 3.5), "cyrillic": (1.25, 8.0, 0.10, 4.5), "hebrew": (0.6, 8.0, 0.15, 3.5), "arabic": (0.6, 8.0, 0.20, 3.5),
+    "indic": (0.35, 8.0, 0.80, 3.5), "thai": (0.7, 8.0, 0.30, 3.5), "hangul": (0.5, 4.0, 0.35, 4.0), "kana": (0.62, 4.0, 0.48, 4.0), "han": (0.5, 4.0, 0.45, 4.5), "other": (0.25, 9.0, 0.90, 3.5),
 }
+#: log2 of the number of tokens at which FLOORS are given; straight lines between, 0 bits at 0.
+KNOTS = (5, 6, 7, 8, 9, 10, 11, 12)
+#: Least entropy in bits and least characters a token of Latin texts by language and length, just below the lowest
+#: 0.5 % of the texts labelled good at sf0.1 (a cubic and a line fitted to them, less their spread at each length).
+FLOORS = {
+    "en": ((4.23, 4.97, 5.53, 5.97, 6.29, 6.55, 6.74, 6.84), (1.77, 1.77, 1.86, 1.96, 2.06, 2.10, 2.14, 2.15)),
+    "de": ((4.39, 5.01, 5.48, 5.87, 6.15, 6.38, 6.55, 6.63), (1.78, 1.78, 1.88, 1.98, 2.08, 2.12, 2.16, 2.17)),
+    "fr": ((4.21, 4.91, 5.43, 5.83, 6.10, 6.32, 6.47, 6.55), (1.51, 1.51, 1.61, 1.71, 1.82, 1.86, 1.90, 1.92)),
+    "es": ((4.50, 5.04, 5.49, 5.88, 6.18, 6.44, 6.61, 6.66), (1.48, 1.49, 1.58, 1.68, 1.78, 1.82, 1.86, 1.87)),
+}
+#: Texts without a language of FLOORS must clear the lowest of all.
+LOWEST = tuple(tuple(min(x) for x in zip(*(f[i] for f in FLOORS.values()))) for i in range(2))
 _DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, chars_per_token double, byte_share double, entropy double, reason string"
 
 
@@ -167,7 +182,22 @@ def main_script(codes: np.ndarray, offsets: np.ndarray, vocab: list[str]) -> np.
     return present[np.argmax(counts, axis=1)]
 
 
-def measure_chunk(doc_id: pa.Array, text: pa.Array, path: str) -> pa.RecordBatch:
+def floors(script: np.ndarray, lang: list[str | None], n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least characters a token, least entropy in bits) of each text."""
+    size = np.log2(np.maximum(n_tokens, 1))
+    low, most = (np.array([BANDS[s][i] for s in SCRIPTS])[script] for i in (0, 3))
+    bits = np.minimum(0.6 * size, most)
+    own = np.array([x if x in FLOORS else "" for x in lang], object)
+    latin = script == SCRIPTS.index("latin")
+    for name in ("", *FLOORS):
+        at = latin & (own == name)
+        entropy, chars = FLOORS.get(name, LOWEST)
+        bits[at] = np.interp(size[at], (0, *KNOTS), (0.0, *entropy))
+        low[at] = np.interp(size[at], KNOTS, chars)
+    return low, bits
+
+
+def measure_chunk(doc_id: pa.Array, text: pa.Array, path: str, lang: pa.Array | None = None) -> pa.RecordBatch:
     text = filled(text)
     codes, offsets, vocab = words_of(text)
     codes = codes.astype(np.int64)
@@ -184,15 +214,19 @@ def measure_chunk(doc_id: pa.Array, text: pa.Array, path: str) -> pa.RecordBatch
     script = main_script(codes, offsets, names)
     tokens = np.maximum(n_tokens, 1)
     fertile, byte_share = word_chars / tokens, n_bytes / tokens
-    evenness = np.where(n_tokens > 1, entropy / np.log2(np.maximum(np.minimum(n_tokens, 1024), 2)), 1.0)
     base = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
-    low, high, most, least = (np.array([BANDS[s][i] for s in SCRIPTS])[script] for i in range(4))
-    reason = np.select([n_words < MIN_WORDS, base, (fertile < low) | (fertile > high), byte_share > most, evenness < least], ["few_words", "repeated_words", "chars_per_token", "byte_share", "entropy"], "")
+    low, least = floors(script, [None] * len(text) if lang is None else lang.to_pylist(), n_tokens)
+    high, most = (np.array([BANDS[s][i] for s in SCRIPTS])[script] for i in (1, 2))
+    reason = np.select([n_words < MIN_WORDS, base, (fertile < low) | (fertile > high), byte_share > most, entropy < least], ["few_words", "repeated_words", "chars_per_token", "byte_share", "entropy"], "")
     types = {f.name: f for f in _schema()}
     columns = {"doc_id": doc_id, "n_words": n_words, "word_chars": word_chars, "n_symbols": sums(table[raw], at), "n_dup_lines": repeated_lines(text), "n_repeat_words": repeats, "base_failed": base, "kept": reason == "", "script": np.array(SCRIPTS, object)[script], "chars_per_token": fertile, "byte_share": byte_share, "entropy": entropy, "reason": reason.astype(object)}
     return out_batch(pa.schema([types[k] for k in columns]), **columns)
 
 
+def languages(chunk: pa.RecordBatch) -> pa.Array | None:
+    return chunk.column("lang") if "lang" in chunk.schema.names else None
+
+
 def _schema() -> pa.Schema:
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
     return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in _DDL.split(", "))])
@@ -203,22 +237,22 @@ def measure(docs: DataFrame, path: str | None = None) -> DataFrame:
     kept and the first reason against the text ('' if kept).
 
     A null text is as an empty one: no words, base_failed. Words are
-    ``[^\\x20\\x09-\\x0D]+``. Entropy is judged as a share of log2 of the number of
-    tokens (1024 at most, so that long texts are not held against a small
-    vocabulary). Rows are independent; other columns of docs are ignored."""
+    ``[^\\x20\\x09-\\x0D]+``. Entropy is judged against a floor that rises with the
+    number of tokens. Rows are independent; of the other columns of docs only
+    lang, if there, is looked at, for the band of a Latin text."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
-            yield measure_chunk(chunk.column("doc_id"), chunk.column("text"), path)
+            yield measure_chunk(chunk.column("doc_id"), chunk.column("text"), path, languages(chunk))
 
-    return docs.select("doc_id", "text").mapInArrow(run, _DDL)
+    return docs.select("doc_id", "text", *(c for c in docs.columns if c == "lang")).mapInArrow(run, _DDL)
 
 
 def keep_good(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The rows of docs, all columns, that the rules keep."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
-    return kept_rows(docs, lambda chunk: measure_chunk(chunk.column("doc_id"), chunk.column("text"), path).column("kept").to_numpy(zero_copy_only=False))
+    return kept_rows(docs, lambda chunk: measure_chunk(chunk.column("doc_id"), chunk.column("text"), path, languages(chunk)).column("kept").to_numpy(zero_copy_only=False))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from flightloom.llm import binary_records, bytebpe, dart_minhash, language_id, packing, quality_model, quality_rules, suffix_dedup, topk_search, toxicity
@@ -135,6 +136,32 @@ def test_quality_rules(docs, none):
     assert quality_rules.keep_good(docs).columns == docs.columns
 
 
+def test_quality_rules_reject_junk_and_keep_prose():
+    rnd = random.Random(5)
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table("/root/testdata/sf0.001/labels.parquet").to_pylist()}
+    path = P.path("piece_bpe_32k.model")
+
+    def reasons(rows):
+        text, lang = zip(*rows)
+        return quality_rules.measure_chunk(pa.array(range(len(rows)), pa.int64()), pa.array(text), path, pa.array(lang, pa.string())).column("reason").to_pylist()
+
+    good = [(r["text"], r["lang"]) for r in table if labels.get(r["doc_id"]) == 1]
+    got = [r for r in reasons(good) if r not in ("few_words", "repeated_words")]
+    assert len(got) > 40 and sum(r != "" for r in got) <= 0.02 * len(got)
+    long = [x for x in good if len(x[0].split()) >= 100]
+    junk = [(" ".join(w + rnd.choice(["***", "%%%", "$$$", "&&&"]) for w in t.split()), g) for t, g in long]  # symbols after each word
+    junk += [(t.upper(), g) for t, g in long] + [(" | ".join(t.split()), g) for t, g in long]  # capitals, cells of a table
+    letters = ["".join(rnd.choice(a) for _ in range(8)) for a in ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz") for _ in range(200)]
+    noise = [(" ".join(letters[:200]), g) for g in ("en", None)] + [(" ".join(letters[200:]), g) for g in ("en", None)]
+    for a, b in ((0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xE01, 0xE2F), (0x430, 0x450), (0x3041, 0x3096)):  # random letters of a script
+        noise.append((" ".join("".join(chr(rnd.randrange(a, b)) for _ in range(6)) for _ in range(60)), None))
+    noise.append((" ".join(rnd.choice(["###", "$$$", "%%%", "***"]) for _ in range(60)), None))
+    assert all(reasons(noise)) and sum(r == "" for r in reasons(junk)) <= 0.1 * len(junk)
+    prose = ["The council met on Monday evening to discuss the repair of the old stone bridge, which has been closed to heavy lorries since a flood in the spring damaged two of its arches and part of the road.", "Россия является самой большой страной в мире по площади территории, и её города, реки, леса и горы привлекают людей из разных стран, которые хотят увидеть природу своими глазами.", "भारत एक विशाल देश है जहाँ अनेक भाषाएँ बोली जाती हैं और लोग मिलकर रहते हैं तथा यहाँ की नदियाँ और पर्वत बहुत सुंदर हैं"]
+    assert reasons([(t, g) for t in prose for g in ("en", None)]) == [""] * 6
+
+
 def test_repeated_words_by_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(20):

@@ -498,7 +498,7 @@ def _(spark, d):
 
 @query("otsu_thresholds")
 def _(spark, d):
-    scaled = ad.frames(spark, d).where("frame < 200").withColumn("v", F.col("v") * 200 + 128)
+    scaled = ad.frames(spark, d).withColumn("v", F.col("v") * 200 + 128)
     return pixels.otsu(scaled, -4)
 
 

@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from flightloom.plans import catalog
@@ -37,3 +38,23 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, DATA).columns
+
+
+def test_otsu_thresholds_of_every_frame(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    n = 230
+    vectors = np.concatenate([rng.normal(-0.3, 0.1, (n, 32)), rng.normal(0.3, 0.1, (n, 32))], axis=1)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+
+    def threshold(v):
+        level = np.clip(np.rint(v * 200 + 128), 0, 255)
+        best = (-1.0, 0)
+        for t in range(256):
+            low, high = level[level <= t], level[level > t]
+            if len(low) and len(high):
+                between = len(low) * len(high) * (low.mean() - high.mean()) ** 2
+                best = (between, t) if between > best[0] * (1 + 1e-9) else best
+        return min(255, max(1, best[1] - 4))
+
+    got = {r.frame: r.threshold for r in catalog.QUERIES["otsu_thresholds"](spark, str(tmp_path)).collect()}
+    assert got == {i: threshold(v) for i, v in enumerate(vectors)}

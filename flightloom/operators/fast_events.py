@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flightloom.functions.expressions import endpoint_distance, event_confidence, fast_direction, interval_gap
+from flightloom.operators import pixels
 from flightloom.operators.grouping import components
 from flightloom.operators.pairs import pair_distances, range_join, sided
 from flightloom.operators.summary import KEY, summarise
@@ -137,11 +138,17 @@ def event_points(events: DataFrame) -> DataFrame:
     return events.select("video_id", "event_id", F.posexplode("points").alias("point_index", "p")).select("video_id", "event_id", "point_index", "p.*")
 
 
-def corridor_path(heat: DataFrame, start: tuple[float, float], end: tuple[float, float], percentile: float = 76.0, width: float = 180.0, bins: int = 22, y_max: float = -1.0, seeds: bool = False) -> DataFrame:
-    """Points of a path from ``start`` to ``end`` through the warm pixels (x, y,
-    energy) of a corridor: in each bin along the axis the mean weighted by
-    energy^1.35 (three quarters) and the axis (one quarter); then the truncated
-    mean. ``seeds`` keeps the two ends and fills empty bins on the axis."""
+def corridor_path(heat: DataFrame, start: tuple[float, float], end: tuple[float, float], percentile: float = 76.0, width: float = 180.0, bins: int = 21, y_max: float = -1.0, seeds: bool = False) -> DataFrame:
+    """Points (in the order of ``bin``) of a path through the warm pixels of a
+    corridor: those of heat (x, y, energy; one image) at or above a percentile of
+    all its positive energies, ``width`` or less from the axis, from 40 before its
+    start to 80 past its end, opened by a 3 x 3 cross. In each of ``bins`` bins
+    (the reference's setting of the name counts their edges, one more) from -20 to
+    length + 50 with 5 pixels or more the mean weighted by
+    energy^1.35 (three quarters) and its foot on the axis (one quarter); then the
+    truncated mean. The path falls in x + y. Nothing where the corridor holds under
+    10 pixels or 2 bins. ``seeds`` adds the two ends, fills empty bins on the
+    axis and keeps the order of the axis."""
     dx, dy = end[0] - start[0], end[1] - start[1]
     length = math.hypot(dx, dy)
     if length <= 1e-6:
@@ -149,19 +156,36 @@ def corridor_path(heat: DataFrame, start: tuple[float, float], end: tuple[float,
     ux, uy = dx / length, dy / length
     c = F.col
     along, across = (c("x") - start[0]) * ux + (c("y") - start[1]) * uy, F.abs(-(c("x") - start[0]) * uy + (c("y") - start[1]) * ux)
-    band = heat.where(c("energy") > 0).withColumns({"t": along, "u": across}).where(c("t").between(0, length) & (c("u") <= width / 2))
-    band = band.where(c("y") <= y_max) if y_max >= 0 else band
-    edge = band.agg(F.percentile("energy", F.lit(percentile / 100)).alias("edge"))
-    warm = band.crossJoin(F.broadcast(edge)).where(c("energy") >= c("edge"))  # one row
-    i = F.least(F.floor(c("t") / length * bins), F.lit(bins - 1)).cast("int")
+    whole = heat.agg(F.percentile(F.when(c("energy") > 0, c("energy")), F.lit(percentile / 100)).alias("edge"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    band = heat.crossJoin(F.broadcast(whole)).where((c("energy") > 0) & (c("energy") >= c("edge"))).withColumns({"t": along, "u": across})  # one row
+    band = band.where(c("t").between(-40.0, length + 80.0) & (c("u") <= width))
+    band = band.where(c("y") < y_max) if y_max > 0 else band
+    # neighbours outside the image hinder no pixel
+    cross = pixels.ellipse(3)
+    near = lambda px: px.withColumn("o", F.explode(F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i, j in cross)))).select((c("x") + c("o.dx")).alias("x"), (c("y") + c("o.dy")).alias("y"), "x1", "y1")
+    inside = sum((((c("x") + i).between(0, c("x1")) & (c("y") + j).between(0, c("y1"))).cast("int") for i, j in cross), F.lit(0))
+    core = near(band).where(c("x").between(0, c("x1")) & c("y").between(0, c("y1"))).groupBy("x", "y", "x1", "y1").agg(F.count("*").alias("n")).where(c("n") == inside)
+    warm = band.join(near(core).select("x", "y").distinct(), ["x", "y"], "left_semi")
+    n_bins = bins if seeds else max(2, bins)
+    edges = [float(v) for v in np.linspace(-20.0, length + 50.0, n_bins + 1)]
+    i = sum(((c("t") >= e).cast("int") for e in edges), F.lit(0)) - 1
     w = F.pow("energy", F.lit(1.35))
-    mean = warm.withColumn("bin", i).groupBy("bin").agg(F.count("*").alias("n"), (F.sum(w * c("x")) / F.sum(w)).alias("mx"), (F.sum(w * c("y")) / F.sum(w)).alias("my")).where("n >= 5")
-    centre = (c("bin") + 0.5) / bins * length
-    out = mean.withColumns({"px": 0.75 * c("mx") + 0.25 * (start[0] + ux * centre), "py": 0.75 * c("my") + 0.25 * (start[1] + uy * centre)})
+    mean = warm.withColumn("bin", i).groupBy("bin").agg(F.count("*").alias("n"), (F.sum(w * c("x")) / F.sum(w)).alias("mx"), (F.sum(w * c("y")) / F.sum(w)).alias("my"))
+    mean = mean.withColumn("support", F.sum("n").over(Window.partitionBy(F.lit(1)))).where((c("support") >= 10) & c("bin").between(0, n_bins - 1))  # a row a bin
+    foot = (c("mx") - start[0]) * ux + (c("my") - start[1]) * uy
+    out = mean.where("n >= 5").select("bin", (0.75 * c("mx") + 0.25 * (start[0] + ux * foot)).alias("px"), (0.75 * c("my") + 0.25 * (start[1] + uy * foot)).alias("py"))
     if seeds:
-        axis = heat.sparkSession.range(bins).select(c("id").cast("int").alias("bin"))
-        out = axis.join(out, "bin", "left").withColumns({"px": F.coalesce("px", start[0] + ux * centre), "py": F.coalesce("py", start[1] + uy * centre)})
-        out = out.withColumns({"px": F.when(c("bin") == 0, start[0]).when(c("bin") == bins - 1, end[0]).otherwise(c("px")), "py": F.when(c("bin") == 0, start[1]).when(c("bin") == bins - 1, end[1]).otherwise(c("py"))})
+        fixed = [(-1, *map(float, start)), (n_bins, *map(float, end))]
+        for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            if 0.0 <= (lo + hi) / 2 <= length:
+                fixed.append((k, start[0] + ux * (lo + hi) / 2, start[1] + uy * (lo + hi) / 2))
+        axis = heat.sparkSession.createDataFrame(fixed, "bin int, ax double, ay double")
+        out = axis.join(out, "bin", "full").select("bin", F.coalesce("px", "ax").alias("px"), F.coalesce("py", "ay").alias("py"))
+        out = out.crossJoin(F.broadcast(warm.agg(F.count("*").alias("support")))).where("support >= 10").drop("support")
+    else:
+        ends = F.max_by(c("px") + c("py"), "bin").over(Window.partitionBy(F.lit(1))) - F.min_by(c("px") + c("py"), "bin").over(Window.partitionBy(F.lit(1)))
+        out = out.withColumns({"rise": ends, "all": F.count("*").over(Window.partitionBy(F.lit(1)))}).where("all >= 2")
+        out = out.withColumn("bin", F.when(c("rise") > 0, n_bins - 1 - c("bin")).otherwise(c("bin")))
     from flightloom.operators.windows import truncated_mean
 
     rows = out.withColumn("one", F.lit(1))

@@ -191,14 +191,14 @@ def exclude_zone(vegetation: DataFrame, zone: DataFrame, background: DataFrame,
     return vegetation.join(inside, PX, "left_anti")
 
 
-def heatmap_events(events: DataFrame, frames: DataFrame, frame_count: int, threshold: float = 14.0, padding: int = 0, percentile: float = 76.0, width: float = 180.0, bins: int = 22, min_points: int = 6, min_displacement: float = 80.0, first_id: int = 20001, max_events: int = 0, y_min: float = -1.0, y_max: float = -1.0) -> DataFrame:
+def heatmap_events(events: DataFrame, frames: DataFrame, frame_count: int, threshold: float = 14.0, padding: int = 0, percentile: float = 76.0, width: float = 180.0, bins: int = 21, min_points: int = 6, min_displacement: float = 80.0, first_id: int = 20001, max_events: int = 0, y_min: float = -1.0, y_max: float = -1.0) -> DataFrame:
     """An event for each fast event whose heat makes a path: its frames by a band
-    join, motion summed within them, the path along its axis. Paths are built
+    join, motion summed within them and blurred, the path along its axis. Paths are built
     event by event on their own small heat tables."""
     spans = events.select("video_id", "event_id", "source_track_ids", F.greatest(F.col("frame_start") - padding, F.lit(0)).alias("l_start"), F.least(F.col("frame_end") + padding, F.lit(max(0, frame_count - 1))).alias("l_end")).where("l_end > l_start")
     at = frames.select("video_id", "frame").distinct().select("video_id", "frame", F.col("frame").alias("r_start"), F.col("frame").alias("r_end"))
     own = range_join(spans, at, 0, 64).select("video_id", "event_id", "frame").join(frames, ["video_id", "frame"])
-    heat = pixels.motion_energy(own.withColumn("video_id", F.concat_ws("#", "video_id", "event_id")), threshold).persist()
+    heat = pixels.blurred_heat(pixels.motion_energy(own.withColumn("video_id", F.concat_ws("#", "video_id", "event_id")), threshold)).persist()
     rows, made = event_axis(events, y_min).join(spans, ["video_id", "event_id"]).orderBy("video_id", "event_id"), []
     for r in (rows.limit(max_events) if max_events > 0 else rows).toLocalIterator():  # an axis a row
         if (r.ax, r.ay) == (r.bx, r.by):

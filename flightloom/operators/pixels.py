@@ -210,6 +210,18 @@ def per_image(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], by:
     return frames.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {'double' if c == 'v' else types[c]}" for c in frames.columns))
 
 
+def blurred_heat(heat: DataFrame, size: int = 9) -> DataFrame:
+    """The heat (video_id, x, y, energy) of each video blurred as one dense image; pixels not given are cold."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((pdf.y.max() + 1, pdf.x.max() + 1))
+        image[pdf.y, pdf.x] = pdf.energy
+        y, x = np.indices(image.shape)
+        return pd.DataFrame({"video_id": pdf.video_id.iloc[0], "x": x.ravel(), "y": y.ravel(), "energy": gaussian(image, size).ravel()})
+
+    return heat.groupBy("video_id").applyInPandas(run, "video_id string, x int, y int, energy double")
+
+
 def column_profile(background: DataFrame) -> DataFrame:
     return background.groupBy("video_id", "x").agg(F.avg("v").alias("v"))
 

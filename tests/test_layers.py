@@ -62,3 +62,50 @@ def test_heatmap_event(spark):
     out = layers.heatmap_events(events, frames, 12, 14.0, percentile=10.0, width=16.0, bins=4, min_points=3, min_displacement=20.0).collect()
     assert [(e.event_id, e.source_fast_event_id, e.direction) for e in out] == [(20001, 10001, "exit")]
     assert pixels.normalised_heat(pixels.motion_energy(frames)).agg(F.max("heat")).first()[0] == 1.0
+
+
+def corridor_by_numpy(heat, start, end, percentile, width, bins, y_max, seeds):
+    start, end = np.array(start), np.array(end)
+    length = float(np.linalg.norm(end - start))
+    unit = (end - start) / length
+    ys, xs = np.indices(heat.shape)
+    t = (xs - start[0]) * unit[0] + (ys - start[1]) * unit[1]
+    u = np.abs(-(xs - start[0]) * unit[1] + (ys - start[1]) * unit[0])
+    on = (t >= -40) & (t <= length + 80) & (u <= width) & (heat >= np.percentile(heat[heat > 0], percentile))
+    on = on & (ys < y_max) if y_max > 0 else on
+
+    def moved(image, f, fill):
+        p = np.pad(image, 1, constant_values=fill)
+        return f.reduce([p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]])
+
+    on = moved(moved(on, np.logical_and, True), np.logical_or, False)
+    assert on.sum() >= 10
+    edges, path = np.linspace(-20, length + 50, bins), [tuple(start)] if seeds else []
+    for lo, hi in zip(edges, edges[1:]):
+        at = on & (t >= lo) & (t < hi)
+        if at.sum() >= 5:
+            xy = np.array([np.average(xs[at], weights=heat[at] ** 1.35), np.average(ys[at], weights=heat[at] ** 1.35)])
+            path.append(tuple(0.75 * xy + 0.25 * (start + unit * np.dot(xy - start, unit))))
+        elif seeds and 0 <= (lo + hi) / 2 <= length:
+            path.append(tuple(start + unit * (lo + hi) / 2))
+    path += [tuple(end)] if seeds else []
+    if not seeds and sum(path[0]) < sum(path[-1]):
+        path.reverse()
+    return [path[i] if i in (0, len(path) - 1) else tuple(np.mean(path[max(0, i - 2) : i + 3], axis=0)) for i in range(len(path))]
+
+
+def test_corridor_by_numpy(spark):
+    from flightloom.operators.fast_events import corridor_path
+
+    rng = np.random.default_rng(4)
+    image = np.where(rng.random((120, 170)) < 0.2, rng.random((120, 170)), 0.0)  # noise that the opening takes
+    for x, y, r in ((0, 3, 4), (40, 35, 5), (60, 48, 6), (75, 70, 3), (100, 62, 7), (135, 92, 6), (155, 105, 4), (80, 20, 5)):  # past both ends, beside the axis
+        yy, xx = np.indices(image.shape)
+        image = np.maximum(image, np.where(np.hypot(xx - x, yy - y) <= r, 2 + rng.random(image.shape), 0.0))
+    heat = spark.createDataFrame([("v", x, y, float(image[y, x])) for y in range(120) for x in range(170)], "video_id string, x int, y int, energy double")
+    a, b = (20.0, 16.0), (110.0, 76.0)
+    for start, end, width, bins, y_max, seeds in ((a, b, 14.0, 12, -1.0, False), (b, a, 14.0, 12, 100.0, False), (a, b, 60.0, 16, -1.0, True)):
+        got = [(p.x, p.y) for p in corridor_path(heat, start, end, 60.0, width, bins - 1, y_max, seeds).orderBy("bin").collect()]
+        want = corridor_by_numpy(image, start, end, 60.0, width, bins, y_max, seeds)
+        assert len(got) == len(want) and np.allclose(got, want)
+    assert corridor_path(heat.where("x < 2 and y < 4"), a, b).count() == 0  # under 10 pixels

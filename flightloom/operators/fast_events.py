@@ -134,6 +134,15 @@ def candidate_events(assessments: DataFrame, config: dict | None = None, fps: fl
     return finish(chained.join(members(own), ["video_id", "group_id"]), cfg, height, first_id or cfg["first_event_id"])
 
 
+def both_passes(points: DataFrame, assessments: DataFrame, config: dict | None = None, fps: float = 25.0, height: float | None = None) -> DataFrame:
+    """The events from points, then those that the ends of tracks of none of these give; ids go on."""
+    first = fast_events(points, assessments, config, height).persist()
+    more = candidate_events(assessments, config, fps, height, exclude=first)
+    made = first.groupBy("video_id").agg(F.count("*").alias("_made"))
+    more = more.join(made, "video_id", "left").withColumn("event_id", F.col("event_id") + F.coalesce("_made", F.lit(0)))
+    return first.unionByName(more.drop("_made"))
+
+
 def event_points(events: DataFrame) -> DataFrame:
     return events.select("video_id", "event_id", F.posexplode("points").alias("point_index", "p")).select("video_id", "event_id", "point_index", "p.*")
 

@@ -3,12 +3,14 @@ the summary of timings. What needs a whole image is a kernel on one array."""
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flightloom.functions.expressions import heatmap_direction
 from flightloom.operators import pixels
@@ -191,22 +193,27 @@ def exclude_zone(vegetation: DataFrame, zone: DataFrame, background: DataFrame,
     return vegetation.join(inside, PX, "left_anti")
 
 
-def heatmap_events(events: DataFrame, frames: DataFrame, frame_count: int, threshold: float = 14.0, padding: int = 0, percentile: float = 76.0, width: float = 180.0, bins: int = 21, min_points: int = 6, min_displacement: float = 80.0, first_id: int = 20001, max_events: int = 0, y_min: float = -1.0, y_max: float = -1.0) -> DataFrame:
+def heatmap_events(events: DataFrame, frames: DataFrame, frame_count: int | None = None, threshold: float = 14.0, padding: int = 0, percentile: float = 76.0, width: float = 180.0, bins: int = 21, min_points: int = 6, min_displacement: float = 80.0, first_id: int = 20001, max_events: int = 0, y_min: float = -1.0, y_max: float = -1.0) -> DataFrame:
     """An event for each fast event whose heat makes a path: its frames by a band
     join, motion summed within them and blurred, the path along its axis. Paths are built
-    event by event on their own small heat tables."""
-    spans = events.select("video_id", "event_id", "source_track_ids", F.greatest(F.col("frame_start") - padding, F.lit(0)).alias("l_start"), F.least(F.col("frame_end") + padding, F.lit(max(0, frame_count - 1))).alias("l_end")).where("l_end > l_start")
+    event by event on their own small heat tables. Ids and ``max_events`` count
+    within a video; without ``frame_count`` a video ends with its last frame."""
+    last = F.lit(frame_count - 1) if frame_count else F.col("_last")
+    events = events.join(frames.groupBy("video_id").agg(F.max("frame").alias("_last")), "video_id")
+    spans = events.select("video_id", "event_id", "source_track_ids", F.greatest(F.col("frame_start") - padding, F.lit(0)).alias("l_start"), F.least(F.col("frame_end") + padding, last).alias("l_end")).where("l_end > l_start")
     at = frames.select("video_id", "frame").distinct().select("video_id", "frame", F.col("frame").alias("r_start"), F.col("frame").alias("r_end"))
     own = range_join(spans, at, 0, 64).select("video_id", "event_id", "frame").join(frames, ["video_id", "frame"])
     heat = pixels.blurred_heat(pixels.motion_energy(own.withColumn("video_id", F.concat_ws("#", "video_id", "event_id")), threshold)).persist()
-    rows, made = event_axis(events, y_min).join(spans, ["video_id", "event_id"]).orderBy("video_id", "event_id"), []
-    for r in (rows.limit(max_events) if max_events > 0 else rows).toLocalIterator():  # an axis a row
+    chosen = events.withColumn("_rank", F.row_number().over(Window.partitionBy("video_id").orderBy("event_id"))).where(F.col("_rank") <= max_events) if max_events > 0 else events
+    rows, made, ids = event_axis(chosen, y_min).join(spans, ["video_id", "event_id"]).orderBy("video_id", "event_id"), [], Counter()
+    for r in rows.toLocalIterator():  # an axis a row
         if (r.ax, r.ay) == (r.bx, r.by):
             continue
         path = [(p.x, p.y) for p in corridor_path(heat.where(F.col("video_id") == f"{r.video_id}#{r.event_id}"), (r.ax, r.ay), (r.bx, r.by), percentile, width, bins, y_max).orderBy("bin").collect()]
         if len(path) < min_points or np.hypot(path[-1][0] - path[0][0], path[-1][1] - path[0][1]) < min_displacement:
             continue
-        made.append((r.video_id, first_id + len(made), r.event_id, list(r.source_track_ids), r.l_start, r.l_end, path))
+        made.append((r.video_id, first_id + ids[r.video_id], r.event_id, list(r.source_track_ids), r.l_start, r.l_end, path))
+        ids[r.video_id] += 1
     out = events.sparkSession.createDataFrame(made, "video_id string, event_id long, source_fast_event_id long, source_track_ids array<long>, frame_start long, frame_end long, points array<struct<x:double,y:double>>")
     return out.withColumn("direction", heatmap_direction(F.col("points")[0]["y"], F.element_at("points", -1)["y"]))
 

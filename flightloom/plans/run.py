@@ -1,6 +1,7 @@
 """The whole run as one plan: detections (or points) of many videos in, tracks,
 assessments, events and audits out. Steps come in a fixed order and every one
-is lazy; only what later steps read twice is persisted."""
+is lazy, but for the heat events, built event by event; only what later steps
+read twice is persisted."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightloom.functions.expressions import resolution_scale
-from flightloom.operators import fast_events, filters, grouping, pairs, pixels, regions, summary, tracking, windows
+from flightloom.operators import fast_events, filters, grouping, layers, pairs, pixels, regions, summary, tracking, windows
 from flightloom.sources import config as settings
 
 KEY = summary.KEY
@@ -29,6 +30,7 @@ class Run:
     events: DataFrame
     fast_events: DataFrame | None
     metrics: DataFrame
+    heatmap_events: DataFrame | None = None
 
 
 def filter_detections(detections: DataFrame, cfg: dict, region: DataFrame | None = None) -> DataFrame:
@@ -50,11 +52,12 @@ def gate_bursts(detections: DataFrame, cfg: dict) -> DataFrame:
 
 
 def run(
-    config: dict, size: tuple[int, int], fps: float = 25.0, detections: DataFrame | None = None, raw_points: DataFrame | None = None, region: DataFrame | None = None, vegetation: DataFrame | None = None, secondary: DataFrame | None = None, secondary_points: DataFrame | None = None,
+    config: dict, size: tuple[int, int], fps: float = 25.0, detections: DataFrame | None = None, raw_points: DataFrame | None = None, region: DataFrame | None = None, vegetation: DataFrame | None = None, secondary: DataFrame | None = None, secondary_points: DataFrame | None = None, frames: DataFrame | None = None,
 ) -> Run:
     """region, vegetation: pixels (video_id, x, y). secondary: detections of a
     second pass, fused with the first; secondary_points: tracks of another
-    tracker, added where no primary track accompanies them."""
+    tracker, added where no primary track accompanies them. frames: pixels
+    (video_id, frame, x, y, v), for the heat events if these are on."""
     config = settings.load(config)
     t, det = config["tracking"], config["detection"]
     scaled = lambda v: resolution_scale(v, size, bool(t["auto_scale_with_resolution"]), (t["reference_width"], t["reference_height"]))
@@ -106,9 +109,14 @@ def run(
     if region is not None:
         points = regions.exclude_directions(points, regions.full_directions(regions.flag_in_region(points, region), regions.region_centre(region), float(size[1])))
     out = config["output"]
-    fast = fast_events.fast_events(merged, assessments, {k: w for k, w in config["fast_events"].items() if k != "enabled"}, float(size[1])) if config["fast_events"]["enabled"] else None
+    fast = heated = None
+    if config["fast_events"]["enabled"]:
+        fast = fast_events.both_passes(merged, assessments, {k: w for k, w in config["fast_events"].items() if k != "enabled"}, fps, float(size[1])).persist()
+    h = config["heatmap_events"]
+    if fast is not None and frames is not None and h["enabled"]:
+        heated = layers.heatmap_events(fast, frames, None, h["threshold"], h["padding_frames"], h["percentile"], h["corridor_width"], max(3, h["bins"]) - 1, h["min_points"], h["min_displacement"], h["first_event_id"], h["max_events"], h["seed_y_min"], h["y_max"])
     shown = points
     if out["trajectory_smoothing_enabled"]:
         s = windows.smooth(points, out["trajectory_smoothing_window"])
         shown = s.withColumns({"x": F.col("x_s"), "y": F.col("y_s")}).drop("x_s", "y_s")
-    return Run(raw_points, merged, merges, assessments, points, decisions, found_pairs, rescues, summary.summarise(shown), fast, summary.run_metrics(points))
+    return Run(raw_points, merged, merges, assessments, points, decisions, found_pairs, rescues, summary.summarise(shown), fast, summary.run_metrics(points), heated)

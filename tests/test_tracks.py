@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flightloom.operators import fast_events as fe
 from flightloom.operators import filters, grouping, pairs, pixels, regions, summary, tracking, windows
+from flightloom.plans import run
 from flightloom.sources import config
 
 FPS = 25.0
@@ -178,6 +179,18 @@ def test_fast_event(spark):
     assert [(x.event_id, x.source_track_ids, x.direction) for x in e] == [(900, [23, 24], "exit")] and e[0].confidence > 0.5
 
 
+def test_run_makes_events_of_each_kind(spark):
+    # eight points make an event of their own; three are too few, but their ends are far apart
+    p = points(spark, (24, line(0, 8, 130, 130, -15, -15)), (30, line(100, 3, 20, 140, 60, 0)))
+    frames = spark.createDataFrame([("v", f, x, y, 200.0 if abs(x - 130 + 15 * f) <= 5 and abs(y - 130 + 15 * f) <= 5 else 0.0) for f in range(8) for x in range(160) for y in range(160)], "video_id string, frame long, x int, y int, v double")
+    on = {"fast_events": {"enabled": True, "first_event_id": 900}, "heatmap_events": {"enabled": True, "min_points": 3, "bins": 8, "corridor_width": 30.0}}
+    r = run.run(on, (160, 160), FPS, raw_points=p, frames=frames)
+    e = r.fast_events.orderBy("event_id").collect()
+    assert [(x.event_id, x.source_track_ids, len(x.points)) for x in e] == [(900, [24], 8), (901, [30], 2)]
+    h = r.heatmap_events.collect()
+    assert [(x.event_id, x.source_fast_event_id, x.direction) for x in h] == [(20001, 900, "exit")] and h[0].points[0].x > 100 and h[0].points[-1].x < 50
+
+
 def test_merge_summary(spark):
     m = spark.createDataFrame([("v", 1, 2, 1, "overlap"), ("v", 1, 3, 1, "overlap_local"), ("v", 1, 4, 1, "handoff")], "video_id string, track_a long, track_b long, merged_to long, reason string")
     r = summary.merge_summary(m).first()

@@ -31,17 +31,25 @@ BLOCK = 128
 SEGMENT = 4096
 QUERY_BATCH = 256
 PIVOTS = 128
-#: Components saturate here, so that any score fits in 64 bits.
-LIMIT = 1 << 26
+#: Components are stored in 32 bits; scores are 64-bit sums. ``checked`` fails where either would overflow.
+LIMIT = 1 << 31
 _CELL = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id, v array<int>: floor(SCALE * component as double). Vectors that are
-    null, empty or hold null or non-finite components, and null ids, go."""
+    """vec_id, v array<bigint>: floor(SCALE * component as double). Vectors that are
+    null or hold null or non-finite components, and null ids, go."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    whole = F.transform("embedding", lambda x: F.floor(F.least(F.greatest(x.cast("double") * SCALE, F.lit(-float(LIMIT))), F.lit(float(LIMIT)))).cast("int"))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine).select("vec_id", whole.alias("v"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select("vec_id", whole.alias("v"))
+
+
+def checked(dim: int, peak: float) -> int:
+    """The dimensions (1 at least), if every sum of ``dim`` products of components up to ``peak`` fits in 64 bits."""
+    dim = max(1, dim)
+    if peak >= LIMIT or int(peak) ** 2 * dim >= 1 << 63:
+        raise OverflowError(f"inner products of {dim} components up to {peak:.0f} (x {SCALE}) do not fit in 64 bits")
+    return dim
 
 
 def matrix(lists: pa.Array, dim: int) -> np.ndarray:
@@ -122,10 +130,20 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def block_bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """No less than any score of a query in a block: the larger product of each
+    term, with room for rounding where doubles are not exact."""
+    bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    size = np.maximum(np.abs(high), np.abs(low))
+    if np.abs(q).max(initial=0) * size.max(initial=0) * q.shape[1] < 2**53:
+        return bounds
+    return bounds + (q.shape[1] + 4) * 2.0**-51 * (np.abs(q) @ size.T)
+
+
 def search_cell(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, data: np.ndarray, high: np.ndarray, low: np.ndarray, k: int) -> tuple[list[tuple[int, int, int]], int]:
     """(query, vector, score) of the segment's k best for each query, as far as
     they reach the query's floor, and the number of block scorings done."""
-    bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T  # the larger product of each term
+    bounds = block_bounds(q, high, low)
     order = np.argsort(-bounds, axis=1, kind="stable")
     found_ids, found = [np.zeros(0, np.int64) for _ in q_ids], [np.zeros(0, np.int64) for _ in q_ids]
     floor = floor.astype(np.float64).copy()
@@ -185,7 +203,7 @@ def _reach(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBat
 
 def _reaches(r: dict, dim: int) -> bool:
     q, high, low = (np.frombuffer(r[c], np.int32).reshape(-1, dim).astype(np.float64) for c in ("q", "high", "low"))
-    bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    bounds = block_bounds(q, high, low)
     return bool((bounds.max(axis=1) >= np.frombuffer(r["floor"], np.float64)).any())
 
 
@@ -203,15 +221,17 @@ def top_k(spark: SparkSession, vectors: DataFrame, modulus: int = 50, k: int = 5
     ``modulus``, the k highest inner products with all other vectors (all, if
     fewer), ties to smaller ids.
 
-    Vectors that are null, empty or hold null or non-finite components take no
-    part; components saturate at +-LIMIT; missing dimensions count as 0. Rows
+    Vectors that are null or hold null or non-finite components take no part;
+    missing dimensions count as 0 (an empty vector's scores are 0). Components
+    whose products might not fit in 64 bits raise OverflowError. Rows
     that repeat an id are candidates each, but never of their own id; a
     repeated query id has one list. No vectors give no rows; other columns
     are ignored."""
     whole = quantised(vectors)
-    dim = whole.agg(F.max(F.size("v"))).first()[0]
+    dim, peak = whole.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()
     if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dim, whole = checked(dim, peak or 0.0), whole.withColumn("v", F.col("v").cast("array<int>"))
     segs = segments(spark, whole, dim)
     queries = saved(spark, segs.mapInArrow(partial(_own, dim=dim, modulus=modulus, k=k), "batch string, q_ids binary, q binary, floor binary"), "queries")
     # the grid: each batch once for every segment; small rows first (bounds), whole segments only where a bound reaches

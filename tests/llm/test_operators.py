@@ -197,6 +197,27 @@ def test_topk(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in few] == [(0, 1, 7, 256 * 256 * 3)]
 
 
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(1)
+    x = np.floor(rng.normal(0, 900_000, (300, 8)))  # up to a few million: scores near 2^59, past what doubles hold
+    x[:20] = x[0] + rng.integers(-2, 3, (20, 8)) / 256.0
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(400, [], 0)]
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk_search.top_k(spark, wide(spark, rows).repartition(3)).collect()}
+    q = [[int(v) for v in np.floor(256 * row)] for row in x]
+    want, ids = {}, list(range(300)) + [400]
+    q += [[0] * 8]
+    for a in [i for i, d in enumerate(ids) if d % 50 == 0]:
+        scores = sorted((-sum(s * t for s, t in zip(q[a], q[b])), d) for b, d in enumerate(ids) if b != a)
+        want |= {(ids[a], r + 1): (d, -s) for r, (s, d) in enumerate(scores[:5])}
+    assert max(abs(s) for _, s in want.values()) > 2**58 and got == want
+    with pytest.raises(OverflowError):
+        topk_search.top_k(spark, wide(spark, [(0, [5e6] * 8, 0), (1, [1.0] * 8, 0)])).collect()
+
+
+def wide(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+
+
 def brute_spans(all_texts, width):
     raw = [t.encode() for t in all_texts]
     c = Counter(b[i : i + width] for b in raw for i in range(len(b) - width + 1))

@@ -1,4 +1,4 @@
-"""Repeated passages by distributed prefix doubling on sampled positions (operator 7).
+"""Repeated passages by hashed names of anchors at sampled positions, in place of prefix doubling (operator 7).
 
 A byte goes if a string of THRESHOLD bytes that covers it starts at a second
 place too. Doubling over every byte would sort a rank pair a byte in every

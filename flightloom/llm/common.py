@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once (one longer text is handled alone).
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
+#: Bytes of an Arrow batch between Spark and a worker (one longer row is a batch of its own).
+BATCH_BYTES = 2_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +26,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share. Only a local session, whose executors are this
+    process, gets a temporary one where it names none; a cluster without one is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="flightloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -53,7 +59,22 @@ def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     so a lost executor costs no more than the tasks after this point."""
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def forget(spark: SparkSession, *tables: DataFrame | None) -> None:
+    """Removes tables of ``saved`` that nothing will read again."""
+    for table in tables:
+        if path := getattr(table, "scratch", None):
+            remove_path(spark, path)
+
+
+def mapped(df: DataFrame, run, ddl) -> DataFrame:
+    """mapInArrow with batches of bounded bytes, whatever the length of the rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, ddl)
 
 
 def drop_shuffles_early(spark: SparkSession) -> None:
@@ -122,7 +143,7 @@ def kept_rows(docs: DataFrame, keep) -> DataFrame:
         for chunk in text_chunks(batches):
             yield chunk.filter(pa.array(keep(chunk)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def quiet_tokenizers() -> None:

@@ -9,6 +9,7 @@ knows, but noise, markup or encoded data."""
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,13 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from flightloom.llm.bytebpe import LETTER, codepoint_classes
-from flightloom.llm.common import documents, filled, kept_rows, out_batch, ragged, text_chunks, words_of
+from flightloom.llm.common import documents, filled, kept_rows, mapped, out_batch, ragged, text_chunks, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-CACHE_WORDS = 250_000
+#: Characters of words that a worker remembers the tokens of; beyond that it starts afresh.
+CACHE_CHARS = 2_000_000
 #: Main scripts by first code point; those between are ``other``. Fixed values of Unicode's blocks.
 SCRIPTS = ("other", "latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "thai", "hangul", "kana", "han")
 SCRIPT_RANGES = [(0x41, 0x24F, 1), (0x1E00, 0x1EFF, 1), (0x370, 0x3FF, 2), (0x1F00, 0x1FFF, 2), (0x400, 0x52F, 3), (0x590, 0x5FF, 4), (0x600, 0x6FF, 5), (0x750, 0x77F, 5), (0x900, 0xDFF, 6), (0xE00, 0xE7F, 7), (0x1100, 0x11FF, 8), (0xAC00, 0xD7AF, 8), (0x3040, 0x30FF, 9), (0x3400, 0x4DBF, 10), (0x4E00, 0x9FFF, 10)]
@@ -116,31 +118,41 @@ def repeated_lines(text: pa.Array) -> np.ndarray:
 
 
 class Fertility:
-    """Token counts of words by a sentencepiece vocabulary, remembered by word."""
+    """Tokens of words by a sentencepiece vocabulary, remembered by word in flat arrays."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.cache: dict[str, np.ndarray] = {}
-
-    def words(self, vocab: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        new = [w for w in vocab if w not in self.cache]
-        for w, ids in zip(new, self.model.encode(new, num_threads=1)):
-            self.cache[w] = np.array(ids, dtype=np.int32)
-        return [self.cache[w] for w in vocab]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index, self.ids, self.ends, self.chars = {}, array("i"), array("q", [0]), 0
+
+    def words(self, vocab: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of tokens of the words, all their tokens in a row)."""
+        if self.chars > CACHE_CHARS:
+            self._forget()
+        index = self.index
+        new = [w for w in vocab if w not in index]
+        for a in range(0, len(new), 20_000):
+            for w, ids in zip(new[a : a + 20_000], self.model.encode(new[a : a + 20_000], num_threads=1)):
+                index[w] = len(self.ends) - 1
+                self.ids.extend(ids)
+                self.ends.append(len(self.ids))
+        self.chars += sum(map(len, new))
+        at = np.fromiter(map(index.__getitem__, vocab), np.int64, len(vocab))
+        ends, flat = np.array(self.ends), np.array(self.ids, np.int32)
+        lens = ends[at + 1] - ends[at]
+        return lens, flat[ragged(lens, ends[at])]
 
     def measure(self, codes: np.ndarray, offsets: np.ndarray, vocab: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, byte-fallback tokens, entropy of the tokens in bits) of each text."""
         n_text = len(offsets) - 1
         if not len(codes):
             return np.zeros(n_text), np.zeros(n_text), np.zeros(n_text)
-        found = self.words(vocab)
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate(found).astype(np.int64)
+        lens, flat = self.words(vocab)
         heads = np.cumsum(lens) - lens
         n_tokens = sums(lens[codes], offsets)
         byte_sums = np.concatenate([[0], np.cumsum(self.is_byte[flat])])
@@ -246,7 +258,7 @@ def measure(docs: DataFrame, path: str | None = None) -> DataFrame:
         for chunk in text_chunks(batches):
             yield measure_chunk(chunk.column("doc_id"), chunk.column("text"), path, languages(chunk))
 
-    return docs.select("doc_id", "text", *(c for c in docs.columns if c == "lang")).mapInArrow(run, _DDL)
+    return docs.select("doc_id", "text", *(c for c in docs.columns if c == "lang")).transform(mapped, run, _DDL)
 
 
 def keep_good(docs: DataFrame, path: str | None = None) -> DataFrame:

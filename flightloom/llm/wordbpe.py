@@ -18,7 +18,7 @@ import pyarrow as pa
 from flightloom.llm.common import quiet_tokenizers, ragged, words_of
 
 #: Words that a worker remembers; beyond that it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 _LETTERS = "a-zßà-öø-ÿ"
 #: The vocabulary file's own pre-tokenizer pattern.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

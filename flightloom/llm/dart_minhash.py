@@ -8,11 +8,15 @@ a rank chosen for about K (ln K + 2) of them, and of those the earliest in each
 coordinates. Two texts agree in a coordinate with the probability of their
 weighted Jaccard similarity. Bands of coordinates give the buckets.
 
-A bucket's members are compared with its pivots, not with each other: first the
-member that meets most texts in its buckets (an original rather than a copy); then, as long as a bucket's members lie in several components,
-further ones among those outside its largest component. At the end all pairs of
-a bucket are compared or already connected, so no link between components is
-lost, and hot buckets cost a few comparisons a member. Comparisons are exact."""
+A bucket's members are compared with its star, the member that meets most texts
+in its buckets (an original rather than a copy), which joins copies at the cost
+of one comparison a member. Buckets whose members then still lie in several
+components may hide further links; but pairs of texts that only share a passage
+are many, and none of them is made: the shingles of such texts are put in one
+order, rare ones first, and two sets with a similarity of 0.8 have a shingle in
+common among the first ninth of the smaller and the first fifth of the larger one,
+at places that leave enough behind them. Pairs of different components that
+meet this bound are all compared, so no link of a bucket between components is lost."""
 
 from __future__ import annotations
 
@@ -22,18 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from flightloom.llm.common import documents, drop_shuffles_early, filled, out_batch, ragged, saved, text_chunks, words_of
+from flightloom.llm.common import documents, drop_shuffles_early, filled, forget, mapped, out_batch, ragged, saved, text_chunks, words_of
 from flightloom.llm.suffix_dedup import Names, mix
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: THRESHOLD as a fraction, for bounds in whole numbers.
+ABOVE, BELOW = 4, 5
 BANDS, ROWS = 30, 5
-#: Comparisons that a small bucket may take in the first round; one with more
-#: members takes one pivot. Each further round takes GROWTH times as many: groups
-#: that hang together do so after few, and for the rest all have their turn.
-ROUND_PAIRS, GROWTH = 64, 4
 
 
 def shingles(text: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,30 +114,51 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("bands", pa.list_(pa.int64()))])
-    for chunk in text_chunks(batches, limit=2_000_000):
+    schema = pa.schema([("doc_id", pa.int64()), ("name", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    for chunk in text_chunks(batches):
         owner, name, times = shingles(chunk.column("text"))
         n = chunk.num_rows
         keys = band_keys(darts(owner, name, times, n, BANDS * ROWS), BANDS, ROWS).view(np.int64)
         some = np.bincount(owner, minlength=n) > 0
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]), pa.int32()), pa.array(keys[some].ravel()))
-        yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("h"), lists], schema=schema)
+        yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("name"), lists], schema=schema)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's shingles as 32-bit names in ascending order, and their times where any is above 1."""
-    schema = pa.schema([("h", pa.int64()), ("names", pa.binary()), ("times", pa.binary())])
+    """Each text's shingles as names in ascending order, their times where any is above 1, and the sum of the times."""
+    schema = pa.schema([("h", pa.int64()), ("names", pa.binary()), ("times", pa.binary()), ("size", pa.int64())])
     for chunk in text_chunks(batches):
         owner, name, times = shingles(chunk.column("text"))
         at = np.searchsorted(owner, np.arange(chunk.num_rows + 1))
-        names, counts = [], []
-        for a, b in zip(at, at[1:]):
-            short = (name[a:b] >> np.uint64(32)).astype(np.uint32)
-            first = np.flatnonzero(np.append(True, short[1:] != short[:-1]))[: len(short)]
-            n = np.add.reduceat(times[a:b], first) if len(first) else first
-            names.append(short[first].tobytes())
-            counts.append(n.astype(np.uint32).tobytes() if (n > 1).any() else None)
-        yield out_batch(schema, h=chunk.column("h"), names=names, times=counts)
+        parts = [(name[a:b], times[a:b]) for a, b in zip(at, at[1:])]
+        yield out_batch(schema, h=chunk.column("h"), names=[x.tobytes() for x, _ in parts], times=[n.astype(np.uint32).tobytes() if (n > 1).any() else None for _, n in parts], size=[int(n.sum()) for _, n in parts])
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set, and one for each further time that it occurs."""
+    schema = pa.schema([("h", pa.int64()), ("e", pa.int64())])
+    for batch in batches:
+        for h, names, times in zip(*(batch.column(c).to_pylist() for c in ("h", "names", "times"))):
+            e = np.frombuffer(names, np.uint64)
+            if times is not None:
+                n = np.frombuffer(times, np.uint32).astype(np.int64)
+                again = ragged(n, np.zeros(len(n), np.int64)).astype(np.uint64)
+                e = np.where(again > 0, mix(np.repeat(e, n) + again * np.uint64(0x9E3779B97F4A7C15)), np.repeat(e, n))
+            yield out_batch(schema, h=np.full(len(e), h), e=e.view(np.int64))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first elements of each set, rare ones first: those at which a pair of
+    similar sets may have its first common one. ``first``: so early that the other set may be larger."""
+    schema = pa.schema([("e", pa.int64()), ("h", pa.int64()), ("label", pa.int64()), ("size", pa.int64()), ("place", pa.int64()), ("first", pa.int64())])
+    for batch in batches:
+        for h, label, size, met in zip(*(batch.column(c).to_pylist() for c in ("h", "label", "size", "met"))):
+            n, e = np.array([x["n"] for x in met]), np.array([x["e"] for x in met])
+            e = e[np.lexsort((e, n))]
+            place = np.arange(len(e)) + size - len(e)  # those that no other set holds come before
+            e, place = e[: (keep := int((place <= size - -(-ABOVE * size // BELOW)).sum()))], place[:keep]
+            own = lambda x: np.full(len(e), x)
+            yield out_batch(schema, e=e.astype(np.int64), h=own(h), label=own(label), size=own(size), place=place, first=(place <= size - -(-2 * ABOVE * size // (ABOVE + BELOW))).astype(np.int64))
 
 
 def similarity(a: np.ndarray, wa: np.ndarray | None, b: np.ndarray, wb: np.ndarray | None) -> float:
@@ -152,9 +174,9 @@ def similarity(a: np.ndarray, wa: np.ndarray | None, b: np.ndarray, wb: np.ndarr
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    get = lambda x: None if x is None else np.frombuffer(x, np.uint32)
+    get = lambda x, kind=np.uint64: None if x is None else np.frombuffer(x, kind)
     for batch in batches:
-        rows = [(r["a"], r["b"]) for r in batch.to_pylist() if similarity(get(r["na"]), get(r["ta"]), get(r["nb"]), get(r["tb"])) >= THRESHOLD - 1e-12]
+        rows = [(r["a"], r["b"]) for r in batch.to_pylist() if similarity(get(r["na"]), get(r["ta"], np.uint32), get(r["nb"]), get(r["tb"], np.uint32)) >= THRESHOLD - 1e-12]
         yield out_batch(schema, a=[r[0] for r in rows], b=[r[1] for r in rows])
 
 
@@ -181,89 +203,103 @@ def contract(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
+def bounded_pairs(spark: SparkSession, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: the pairs of sets (h, names, times, size) with different labels (h, label)
+    that may be similar, by the places of a common element in an order of all elements.
+
+    Where two sets share THRESHOLD, the first element that they have in common
+    leaves, in either, as many elements from it on as their overlap needs. An
+    element's sets of its main label meet only the others, not each other."""
+    held = sets.join(labels, "h")
+    every = saved(spark, held.select("h", "names", "times").transform(mapped, _elements, "h long, e long"), "elements")
+    shared = saved(spark, every.groupBy("e").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    met = every.join(shared, "e").groupBy("h").agg(F.collect_list(F.struct("n", "e")).alias("met"))  # as many as the text has shingles
+    early = saved(spark, met.join(held.select("h", "label", "size"), "h").transform(mapped, _prefixes, "e long, h long, label long, size long, place long, first long"), "early")
+    parts = early.groupBy("e", "label").agg(F.count("*").alias("n"), F.sum("first").alias("first"))
+    mixed = saved(spark, parts.groupBy("e").agg(F.count("*").alias("kinds"), F.sum("first").alias("able"), F.max(F.struct("n", "label"))["label"].alias("main")).where("kinds > 1 and able > 0").select("e", "main"), "mixed")
+    live = saved(spark, early.join(mixed, "e"), "live")
+    o, r = live.where("label <> main").alias("o"), live.alias("r")
+    room = F.least(F.expr("o.size - o.place"), F.expr("r.size - r.place"))
+    fit = (room * (ABOVE + BELOW) >= F.expr("o.size + r.size") * ABOVE) & (F.col("o.label") != F.col("r.label"))
+    once = (F.col("r.label") == F.col("r.main")) | (F.col("o.h") < F.col("r.h"))
+    pairs = saved(spark, o.join(r, (F.col("o.e") == F.col("r.e")) & fit & once).select(F.least("o.h", "r.h").alias("a"), F.greatest("o.h", "r.h").alias("b")).distinct(), "bounded")
+    forget(spark, every, shared, early, mixed, live)
+    return pairs
+
+
 def text_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """h, text_id, class_id, chosen: for each distinct text (its 64-bit name) the
-    least id with that text, the least id of its class, and whether it is the
-    one text of its class that stays when one is to."""
+    """name, text_id, class_id, n_links, chosen: for each distinct text (its
+    SHA-256) the least id with that text, the least id of its class, the number of
+    links found from it, and whether it is the text of its class that stays when one is to."""
     drop_shuffles_early(spark)
     full = with_name(docs.select("doc_id", "text")).where("text is not null")
-    signed = full.mapInArrow(_signatures, "doc_id long, h long, bands array<long>")
-    nodes = saved(spark, signed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
+    signed = full.transform(mapped, _signatures, "doc_id long, name binary, bands array<long>")
+    # ids of texts are given once and written, so they are short and the same for all that follows
+    distinct = signed.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    nodes = saved(spark, distinct.withColumn("h", F.monotonically_increasing_id()), "nodes")
     rows = nodes.select("h", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = saved(spark, rows.join(buckets, "key"), "met")
     # an original meets more texts than its copies do: the most met member leads a bucket
-    weight = met.groupBy("h").agg(F.sum("n").alias("w"))
-    weighted = saved(spark, met.join(weight, "h"), "weighted")
+    weighted = saved(spark, met.join(met.groupBy("h").agg(F.sum("n").alias("w")), "h"), "weighted")
     stars = weighted.groupBy("key").agg(F.max(F.struct("w", "h"))["h"].alias("star"))
-    members = saved(spark, weighted.join(stars, "key"), "members")
-    candidates = members.select("h").distinct()
-    chosen = nodes.join(candidates, "h", "left_semi").select("h", F.col("doc_id").alias("d"))
-    with_text = full.join(chosen, (full["h"] == chosen["h"]) & full["doc_id"].eqNullSafe(chosen["d"]), "left_semi")
-    sets = saved(spark, with_text.select("h", "text").mapInArrow(_sets, "h long, names binary, times binary").dropDuplicates(["h"]), "sets")
+    members = saved(spark, weighted.join(stars, "key").select("key", "h", "n", "star"), "members")
+    forget(spark, met, weighted)
+    chosen = nodes.join(members.select("h").distinct(), "h", "left_semi").select(F.col("h"), F.col("name").alias("of"), F.col("doc_id").alias("d"))
+    with_text = full.join(chosen, (full["name"] == chosen["of"]) & full["doc_id"].eqNullSafe(chosen["d"])).select("h", "text")
+    sets = saved(spark, with_text.transform(mapped, _sets, "h long, names binary, times binary, size long").dropDuplicates(["h"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         of = lambda end: sets.select(F.col("h").alias(end), F.col("names").alias(f"n{end}"), F.col("times").alias(f"t{end}"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "ta", "nb", "tb").mapInArrow(_verify, "a long, b long")
+        return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "ta", "nb", "tb").transform(mapped, _verify, "a long, b long")
 
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = saved(spark, members.where("h <> star").select(*ordered("h", "star")).distinct(), "pairs")
+    pairs = saved(spark, members.where("h <> star").select(F.least("h", "star").alias("a"), F.greatest("h", "star").alias("b")).distinct(), "pairs")
     links = saved(spark, verified(pairs), "links")
-    tested, large = pairs, members.where("n > 2").select("key", "h", "n", "w", "star")
-    used = large.where("h = star").select("key", "h")
-    labels = spark.createDataFrame([], "node long, label long") if links.isEmpty() else contract(spark, links)
-    most = 1
-    while True:
-        placed = large.join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h")).select("key", "h", "n", "w", "label")
-        parts = placed.groupBy("key", "label").agg(F.count("*").alias("own"))
-        largest = parts.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("own", "label"))["label"].alias("most")).where("kinds > 1")
-        mixed = saved(spark, placed.join(largest.select("key", "most"), "key"), "mixed")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("w"), "h"))
-        outside = mixed.where("label <> most").join(used, ["key", "h"], "left_anti")
-        pivots = outside.withColumn("r", rank).where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.lit(ROUND_PAIRS) / F.col("n"))) * most).select("key", F.col("h").alias("p"), F.col("label").alias("p_label"))
-        pivots = saved(spark, pivots, "pivots")
-        most *= GROWTH
-        if pivots.isEmpty():
-            break
-        used = saved(spark, used.unionByName(pivots.select("key", F.col("p").alias("h"))), "used")
-        fresh = saved(spark, mixed.join(pivots, "key").where("label <> p_label").select(*ordered("h", "p")).distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            continue
-        tested = saved(spark, tested.unionByName(fresh), "tested")
-        more = saved(spark, verified(fresh), "more")
-        if not more.isEmpty():
-            links = saved(spark, links.unionByName(more), "links")
-            labels = contract(spark, links)
-    own = nodes.select("h", "doc_id").join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
-    first = own.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h"))["h"].alias("first"))
-    return own.join(first, "label").select("h", F.col("doc_id").alias("text_id"), "class_id", (F.col("h") == F.col("first")).alias("chosen"))
-
-
-def with_name(docs: DataFrame, column: str = "h") -> DataFrame:
-    return docs.withColumn(column, F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    labels = linked(spark, links)
+    placed = members.where("n > 2").join(labels, "h", "left").select("key", "h", F.coalesce("label", "h").alias("label"))
+    split = saved(spark, placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "split")  # written first: a join of two written tables is split at hot keys
+    unsettled = saved(spark, placed.join(split, "key", "left_semi").select("h", "label").distinct(), "unsettled")
+    more = saved(spark, verified(bounded_pairs(spark, sets, unsettled).join(pairs, ["a", "b"], "left_anti")), "more")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = linked(spark, links)
+    n_links = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))
+    own = nodes.select("h", "name", "doc_id").join(labels, "h", "left").withColumn("label", F.coalesce("label", "h"))
+    first = own.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name"))["name"].alias("first"))
+    return own.join(first, "label").join(n_links, "h", "left").select("name", F.col("doc_id").alias("text_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("name") == F.col("first")).alias("chosen"))
+
+
+def linked(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """h, label of the components of links."""
+    return spark.createDataFrame([], "h long, label long") if links.isEmpty() else contract(spark, links).withColumnRenamed("node", "h")
+
+
+def with_name(docs: DataFrame, column: str = "name") -> DataFrame:
+    return docs.withColumn(column, F.unhex(F.sha2("text", 256)))
 
 
 def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), text_id (the least
-    doc_id with the same text) for every row of docs.
+    doc_id with the same text), n_links (verified links of the text to other
+    texts; pairs already connected are not compared) for every row of docs.
 
     Classes are the components of links between texts whose weighted Jaccard
-    similarity of five-word shingles is THRESHOLD or more; equal texts are one
-    node (of a 64-bit name). A null text and a text without words are linked to
-    no different one; empty texts are equal to each other, null ones to none
-    (their ids are their own). A null id is a class's only where no other is
+    similarity of five-word shingles (64-bit names) is THRESHOLD or more; equal
+    texts are one node (of their SHA-256). A null text and a text without words are
+    linked to no different one; empty texts are equal to each other, null ones to
+    none (their ids are their own). A null id is a class's only where no other is
     there. Repeated ids are told apart by their texts. Columns of docs but
     doc_id and text are ignored; no rows give none."""
     classes = text_classes(spark, docs).drop("chosen")
-    null = F.col("h").isNull()
-    return with_name(docs.select("doc_id", "text")).select("doc_id", "h").join(classes, "h", "left").select("doc_id", F.when(null, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(null, F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"))
+    null = F.col("name").isNull()
+    return with_name(docs.select("doc_id", "text")).select("doc_id", "name").join(classes, "name", "left").select("doc_id", F.when(null, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(null, F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, of one document for each class; rows with a null text stay."""
-    name, kept = "__text_name", text_classes(spark, docs).where("chosen").select(F.col("h").alias("__h"), F.col("text_id").alias("__id"))
+    name, kept = "__text_name", text_classes(spark, docs).where("chosen").select(F.col("name").alias("__of"), F.col("text_id").alias("__id"))
     named = with_name(docs, name)
-    one = named.join(kept, (F.col(name) == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([name])
+    one = named.join(kept, (F.col(name) == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([name])
     return one.unionByName(named.where("text is null")).drop(name)
 
 

@@ -111,7 +111,8 @@ def endpoint_distance(a: str, b: str) -> Column:
 
 def colour(track_id: Column) -> Column:
     """A stable hex colour of an id."""
-    return F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(track_id), F.lit(1 << 24)))), 6, "0"))
+    mixed = F.pmod(F.pmod(track_id.cast("long"), F.lit(1 << 24)) * F.lit(2654435761), F.lit(1 << 24))
+    return F.concat(F.lit("#"), F.lpad(F.lower(F.hex(mixed)), 6, "0"))
 
 
 def gray(r: Column, g: Column, b: Column) -> Column:
@@ -130,7 +131,7 @@ def is_red(r: Column, g: Column, b: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Items of a ';' list, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def join_list(items: Column) -> Column:

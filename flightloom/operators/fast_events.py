@@ -15,9 +15,12 @@ from flightloom.operators import pixels
 from flightloom.operators.grouping import components
 from flightloom.operators.pairs import pair_distances, range_join, sided
 from flightloom.operators.summary import KEY, summarise
+from flightloom.operators.windows import truncated_mean
+from flightloom.sources.scratch import written
 
 NAMES = ("frame", "time_sec", "x", "y", "area", "track_id")
-#: In-function defaults; a configuration overrides them by name.
+EVENT = ["video_id", "event_id"]
+#: In-function defaults, fixed values; a configuration overrides them by name.
 DEFAULTS = {
     "include_rejected_candidates": True, "include_accepted_tracks": True, "require_entry_or_exit": False, "first_event_id": 10001, "min_source_track_points": 3, "min_source_displacement": 35.0, "min_source_path_length": 60.0,
     "min_source_mean_speed": 80.0, "min_source_straightness": 0.08, "max_source_duration_sec": 5.0, "max_group_gap_frames": 45, "max_group_endpoint_distance": 260.0, "max_group_overlap_distance": 180.0, "min_event_points": 4,
@@ -136,7 +139,7 @@ def candidate_events(assessments: DataFrame, config: dict | None = None, fps: fl
 
 def both_passes(points: DataFrame, assessments: DataFrame, config: dict | None = None, fps: float = 25.0, height: float | None = None) -> DataFrame:
     """The events from points, then those that the ends of tracks of none of these give; ids go on."""
-    first = fast_events(points, assessments, config, height).persist()
+    first = written(fast_events(points, assessments, config, height))
     more = candidate_events(assessments, config, fps, height, exclude=first)
     made = first.groupBy("video_id").agg(F.count("*").alias("_made"))
     more = more.join(made, "video_id", "left").withColumn("event_id", F.col("event_id") + F.coalesce("_made", F.lit(0)))
@@ -147,59 +150,65 @@ def event_points(events: DataFrame) -> DataFrame:
     return events.select("video_id", "event_id", F.posexplode("points").alias("point_index", "p")).select("video_id", "event_id", "point_index", "p.*")
 
 
-def corridor_path(heat: DataFrame, start: tuple[float, float], end: tuple[float, float], percentile: float = 76.0, width: float = 180.0, bins: int = 21, y_max: float = -1.0, seeds: bool = False) -> DataFrame:
-    """Points (in the order of ``bin``) of a path through the warm pixels of a
-    corridor: those of heat (x, y, energy; one image) at or above a percentile of
-    all its positive energies, ``width`` or less from the axis, from 40 before its
-    start to 80 past its end, opened by a 3 x 3 cross. In each of ``bins`` bins
-    (the reference's setting of the name counts their edges, one more) from -20 to
-    length + 50 with 5 pixels or more the mean weighted by
-    energy^1.35 (three quarters) and its foot on the axis (one quarter); then the
-    truncated mean. The path falls in x + y. Nothing where the corridor holds under
-    10 pixels or 2 bins. ``seeds`` adds the two ends, fills empty bins on the
-    axis and keeps the order of the axis."""
-    dx, dy = end[0] - start[0], end[1] - start[1]
-    length = math.hypot(dx, dy)
-    if length <= 1e-6:
-        raise ValueError("the ends of the axis coincide")
-    ux, uy = dx / length, dy / length
-    c = F.col
-    along, across = (c("x") - start[0]) * ux + (c("y") - start[1]) * uy, F.abs(-(c("x") - start[0]) * uy + (c("y") - start[1]) * ux)
-    whole = heat.agg(F.percentile(F.when(c("energy") > 0, c("energy")), F.lit(percentile / 100)).alias("edge"), F.max("x").alias("x1"), F.max("y").alias("y1"))
-    band = heat.crossJoin(F.broadcast(whole)).where((c("energy") > 0) & (c("energy") >= c("edge"))).withColumns({"t": along, "u": across})  # one row
-    band = band.where(c("t").between(-40.0, length + 80.0) & (c("u") <= width))
+def corridor_paths(heat: DataFrame, axes: DataFrame, percentile: float = 76.0, width: float = 180.0, bins: int = 21, y_max: float = -1.0, seeds: bool = False) -> DataFrame:
+    """For each event (video_id, event_id) with an axis (ax, ay, bx, by) the points, in
+    the order of ``bin``, of a path through the warm pixels of a corridor: those of
+    its heat (x, y, energy) at or above a percentile of all its positive energies,
+    ``width`` or less from the axis, from 40 before its start to 80 past its end,
+    opened by a 3 x 3 cross. In each of ``bins`` bins (the reference's setting of
+    the name counts their edges, one more) from -20 to length + 50 with 5 pixels or
+    more the mean weighted by energy^1.35 (three quarters) and its foot on the axis
+    (one quarter); then the truncated mean. The path falls in x + y. Nothing where
+    the corridor holds under 10 pixels or 2 bins, or the axis has no length.
+    ``seeds`` adds the two ends, fills empty bins on the axis and keeps its order."""
+    c, n_bins = F.col, bins if seeds else max(2, bins)
+    axis = axes.select(*EVENT, *(c(k).cast("double").alias(k) for k in ("ax", "ay", "bx", "by")))
+    axis = axis.withColumn("length", F.sqrt((c("bx") - c("ax")) * (c("bx") - c("ax")) + (c("by") - c("ay")) * (c("by") - c("ay")))).where("length > 1e-6")
+    axis = axis.withColumns({"ux": (c("bx") - c("ax")) / c("length"), "uy": (c("by") - c("ay")) / c("length")})
+    whole = heat.groupBy(*EVENT).agg(F.percentile(F.when(c("energy") > 0, c("energy")), F.lit(percentile / 100)).alias("edge"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    along = (c("x") - c("ax")) * c("ux") + (c("y") - c("ay")) * c("uy")
+    across = F.abs(-(c("x") - c("ax")) * c("uy") + (c("y") - c("ay")) * c("ux"))
+    band = heat.join(whole, EVENT).where((c("energy") > 0) & (c("energy") >= c("edge"))).join(axis, EVENT).withColumns({"t": along, "u": across})
+    band = band.where((c("t") >= -40.0) & (c("t") <= c("length") + 80.0) & (c("u") <= width))
     band = band.where(c("y") < y_max) if y_max > 0 else band
     # neighbours outside the image hinder no pixel
     cross = pixels.ellipse(3)
-    near = lambda px: px.withColumn("o", F.explode(F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i, j in cross)))).select((c("x") + c("o.dx")).alias("x"), (c("y") + c("o.dy")).alias("y"), "x1", "y1")
+    offsets = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i, j in cross))
+    near = lambda px: px.withColumn("o", F.explode(offsets)).select(*EVENT, (c("x") + c("o.dx")).alias("x"), (c("y") + c("o.dy")).alias("y"), "x1", "y1")
     inside = sum((((c("x") + i).between(0, c("x1")) & (c("y") + j).between(0, c("y1"))).cast("int") for i, j in cross), F.lit(0))
-    core = near(band).where(c("x").between(0, c("x1")) & c("y").between(0, c("y1"))).groupBy("x", "y", "x1", "y1").agg(F.count("*").alias("n")).where(c("n") == inside)
-    warm = band.join(near(core).select("x", "y").distinct(), ["x", "y"], "left_semi")
-    n_bins = bins if seeds else max(2, bins)
-    edges = [float(v) for v in np.linspace(-20.0, length + 50.0, n_bins + 1)]
-    i = sum(((c("t") >= e).cast("int") for e in edges), F.lit(0)) - 1
+    core = near(band).where(c("x").between(0, c("x1")) & c("y").between(0, c("y1"))).groupBy(*EVENT, "x", "y", "x1", "y1").agg(F.count("*").alias("n")).where(c("n") == inside)
+    warm = band.join(near(core).select(*EVENT, "x", "y").distinct(), [*EVENT, "x", "y"], "left_semi")
+    edge = lambda k: F.lit(-20.0) + F.lit(float(k)) * (c("length") + 70.0) / n_bins
+    place = sum(((c("t") >= edge(k)).cast("int") for k in range(n_bins + 1)), F.lit(0)) - 1
     w = F.pow("energy", F.lit(1.35))
-    mean = warm.withColumn("bin", i).groupBy("bin").agg(F.count("*").alias("n"), (F.sum(w * c("x")) / F.sum(w)).alias("mx"), (F.sum(w * c("y")) / F.sum(w)).alias("my"))
-    mean = mean.withColumn("support", F.sum("n").over(Window.partitionBy(F.lit(1)))).where((c("support") >= 10) & c("bin").between(0, n_bins - 1))  # a row a bin
-    foot = (c("mx") - start[0]) * ux + (c("my") - start[1]) * uy
-    out = mean.where("n >= 5").select("bin", (0.75 * c("mx") + 0.25 * (start[0] + ux * foot)).alias("px"), (0.75 * c("my") + 0.25 * (start[1] + uy * foot)).alias("py"))
+    mean = warm.withColumn("bin", place).groupBy(*EVENT, "bin").agg(F.count("*").alias("n"), (F.sum(w * c("x")) / F.sum(w)).alias("mx"), (F.sum(w * c("y")) / F.sum(w)).alias("my"))
+    of_event = Window.partitionBy(*EVENT)
+    mean = mean.withColumn("support", F.sum("n").over(of_event)).where((c("support") >= 10) & c("bin").between(0, n_bins - 1)).join(axis, EVENT)
+    foot = (c("mx") - c("ax")) * c("ux") + (c("my") - c("ay")) * c("uy")
+    out = mean.where("n >= 5").select(*EVENT, "bin", (0.75 * c("mx") + 0.25 * (c("ax") + c("ux") * foot)).alias("px"), (0.75 * c("my") + 0.25 * (c("ay") + c("uy") * foot)).alias("py"))
     if seeds:
-        fixed = [(-1, *map(float, start)), (n_bins, *map(float, end))]
-        for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
-            if 0.0 <= (lo + hi) / 2 <= length:
-                fixed.append((k, start[0] + ux * (lo + hi) / 2, start[1] + uy * (lo + hi) / 2))
-        axis = heat.sparkSession.createDataFrame(fixed, "bin int, ax double, ay double")
-        out = axis.join(out, "bin", "full").select("bin", F.coalesce("px", "ax").alias("px"), F.coalesce("py", "ay").alias("py"))
-        out = out.crossJoin(F.broadcast(warm.agg(F.count("*").alias("support")))).where("support >= 10").drop("support")
+        middle = (edge(0) + (c("bin") + 0.5) * (c("length") + 70.0) / n_bins)
+        fixed = axis.withColumn("bin", F.explode(F.sequence(F.lit(-1), F.lit(n_bins)))).withColumn("m", F.when(c("bin") == -1, 0.0).when(c("bin") == n_bins, c("length")).otherwise(middle))
+        fixed = fixed.where((c("m") >= 0) & (c("m") <= c("length"))).select(*EVENT, "bin", (c("ax") + c("ux") * c("m")).alias("sx"), (c("ay") + c("uy") * c("m")).alias("sy"))
+        enough = warm.groupBy(*EVENT).agg(F.count("*").alias("support")).where("support >= 10").select(*EVENT)
+        out = fixed.join(out, [*EVENT, "bin"], "full").join(enough, EVENT, "left_semi").select(*EVENT, "bin", F.coalesce("px", "sx").alias("px"), F.coalesce("py", "sy").alias("py"))
     else:
-        ends = F.max_by(c("px") + c("py"), "bin").over(Window.partitionBy(F.lit(1))) - F.min_by(c("px") + c("py"), "bin").over(Window.partitionBy(F.lit(1)))
-        out = out.withColumns({"rise": ends, "all": F.count("*").over(Window.partitionBy(F.lit(1)))}).where("all >= 2")
+        total = c("px") + c("py")
+        rise = F.max_by(total, "bin").over(of_event) - F.min_by(total, "bin").over(of_event)
+        out = out.withColumns({"rise": rise, "all": F.count("*").over(of_event)}).where("all >= 2")
         out = out.withColumn("bin", F.when(c("rise") > 0, n_bins - 1 - c("bin")).otherwise(c("bin")))
-    from flightloom.operators.windows import truncated_mean
+    rows = truncated_mean(truncated_mean(out, "px", "bin", EVENT), "py", "bin", EVENT)
+    return rows.select(*EVENT, "bin", c("px_m").alias("x"), c("py_m").alias("y"))
 
-    rows = out.withColumn("one", F.lit(1))
-    rows = truncated_mean(truncated_mean(rows, "px", "bin", ["one"]), "py", "bin", ["one"])
-    return rows.select("bin", c("px_m").alias("x"), c("py_m").alias("y"))
+
+def corridor_path(heat: DataFrame, start: tuple[float, float], end: tuple[float, float], percentile: float = 76.0, width: float = 180.0, bins: int = 21, y_max: float = -1.0, seeds: bool = False) -> DataFrame:
+    """``corridor_paths`` along one axis in the heat of each video: video_id, bin, x, y."""
+    if math.hypot(end[0] - start[0], end[1] - start[1]) <= 1e-6:
+        raise ValueError("the ends of the axis coincide")
+    event = heat.select("video_id", F.lit(0).alias("event_id"), "x", "y", "energy")
+    ends = dict(zip(("ax", "ay", "bx", "by"), (*start, *end)))
+    axes = event.select(*EVENT).distinct().withColumns({k: F.lit(float(v)) for k, v in ends.items()})
+    return corridor_paths(event, axes, percentile, width, bins, y_max, seeds).drop("event_id")
 
 
 def event_axis(events: DataFrame, y_min: float = -1.0) -> DataFrame:

@@ -3,7 +3,6 @@ the summary of timings. What needs a whole image is a kernel on one array."""
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql.window import Window
 
 from flightloom.functions.expressions import heatmap_direction
 from flightloom.operators import pixels
-from flightloom.operators.fast_events import corridor_path, event_axis
+from flightloom.operators.fast_events import EVENT, corridor_paths, event_axis
 from flightloom.operators.pairs import range_join
 
 PX = pixels.PX
@@ -43,15 +42,6 @@ class Contour:
     strong: float = 0.70
 
 
-def shifted(mask: np.ndarray, kernel: list[tuple[int, int]], grow: bool) -> np.ndarray:
-    """Dilation (grow) or erosion of a mask; beyond the image there is nothing to grow from or to erode by."""
-    h, w = mask.shape
-    r = max(max(abs(a), abs(b)) for a, b in kernel)
-    p = np.pad(mask, r, constant_values=not grow)
-    parts = (p[r + b : r + b + h, r + a : r + a + w] for a, b in kernel)
-    return np.logical_or.reduce(list(parts)) if grow else np.logical_and.reduce(list(parts))
-
-
 def deep_layer(image: np.ndarray, allowed: np.ndarray | None = None, cfg: Layers = Layers()) -> np.ndarray:
     """The dark part at (or else nearest to) the centre column, and further
     layers of lesser depth beside it."""
@@ -60,7 +50,7 @@ def deep_layer(image: np.ndarray, allowed: np.ndarray | None = None, cfg: Layers
     kernel = pixels.ellipse(cfg.kernel)
     mask = (depth >= np.percentile(depth, min(99.9, max(50.0, cfg.percentile)))) & allowed
     for grow in (False, True, True, False):  # opened, then closed
-        mask = shifted(mask, kernel, grow)
+        mask = pixels.moved(mask, kernel, grow)
     labels = pixels.label_image(mask)
     if not labels.max():
         return mask
@@ -75,7 +65,7 @@ def deep_layer(image: np.ndarray, allowed: np.ndarray | None = None, cfg: Layers
     out = labels == chosen
     for percent, radius in zip(cfg.more_percentiles, cfg.more_dilations):
         layer = depth >= np.percentile(depth, min(99.9, max(0.0, percent)))
-        out = out | (shifted(out, pixels.ellipse(2 * radius + 1), True) & layer & allowed)
+        out = out | (pixels.moved(out, pixels.ellipse(2 * radius + 1), True) & layer & allowed)
     return out
 
 
@@ -195,26 +185,27 @@ def exclude_zone(vegetation: DataFrame, zone: DataFrame, background: DataFrame,
 
 def heatmap_events(events: DataFrame, frames: DataFrame, frame_count: int | None = None, threshold: float = 14.0, padding: int = 0, percentile: float = 76.0, width: float = 180.0, bins: int = 21, min_points: int = 6, min_displacement: float = 80.0, first_id: int = 20001, max_events: int = 0, y_min: float = -1.0, y_max: float = -1.0) -> DataFrame:
     """An event for each fast event whose heat makes a path: its frames by a band
-    join, motion summed within them and blurred, the path along its axis. Paths are built
-    event by event on their own small heat tables. Ids and ``max_events`` count
-    within a video; without ``frame_count`` a video ends with its last frame."""
+    join, motion summed within them and blurred, the path along its axis, all in one
+    plan keyed by (video, event). Ids and ``max_events`` count within a video;
+    without ``frame_count`` a video ends with its last frame."""
     last = F.lit(frame_count - 1) if frame_count else F.col("_last")
     events = events.join(frames.groupBy("video_id").agg(F.max("frame").alias("_last")), "video_id")
-    spans = events.select("video_id", "event_id", "source_track_ids", F.greatest(F.col("frame_start") - padding, F.lit(0)).alias("l_start"), F.least(F.col("frame_end") + padding, last).alias("l_end")).where("l_end > l_start")
+    if max_events > 0:
+        events = events.withColumn("_rank", F.row_number().over(Window.partitionBy("video_id").orderBy("event_id"))).where(F.col("_rank") <= max_events)
+    spans = events.select(*EVENT, "source_track_ids", F.greatest(F.col("frame_start") - padding, F.lit(0)).alias("l_start"), F.least(F.col("frame_end") + padding, last).alias("l_end")).where("l_end > l_start")
     at = frames.select("video_id", "frame").distinct().select("video_id", "frame", F.col("frame").alias("r_start"), F.col("frame").alias("r_end"))
-    own = range_join(spans, at, 0, 64).select("video_id", "event_id", "frame").join(frames, ["video_id", "frame"])
-    heat = pixels.blurred_heat(pixels.motion_energy(own.withColumn("video_id", F.concat_ws("#", "video_id", "event_id")), threshold)).persist()
-    chosen = events.withColumn("_rank", F.row_number().over(Window.partitionBy("video_id").orderBy("event_id"))).where(F.col("_rank") <= max_events) if max_events > 0 else events
-    rows, made, ids = event_axis(chosen, y_min).join(spans, ["video_id", "event_id"]).orderBy("video_id", "event_id"), [], Counter()
-    for r in rows.toLocalIterator():  # an axis a row
-        if (r.ax, r.ay) == (r.bx, r.by):
-            continue
-        path = [(p.x, p.y) for p in corridor_path(heat.where(F.col("video_id") == f"{r.video_id}#{r.event_id}"), (r.ax, r.ay), (r.bx, r.by), percentile, width, bins, y_max).orderBy("bin").collect()]
-        if len(path) < min_points or np.hypot(path[-1][0] - path[0][0], path[-1][1] - path[0][1]) < min_displacement:
-            continue
-        made.append((r.video_id, first_id + ids[r.video_id], r.event_id, list(r.source_track_ids), r.l_start, r.l_end, path))
-        ids[r.video_id] += 1
-    out = events.sparkSession.createDataFrame(made, "video_id string, event_id long, source_fast_event_id long, source_track_ids array<long>, frame_start long, frame_end long, points array<struct<x:double,y:double>>")
+    own = range_join(spans.drop("source_track_ids"), at, 0, 64).select(*EVENT, "frame").join(frames, ["video_id", "frame"])
+    name = F.concat_ws("#", "video_id", "event_id")
+    heat = pixels.blurred_heat(pixels.motion_energy(own.withColumn("video_id", name).drop("event_id"), threshold)).withColumnRenamed("video_id", "_name")
+    heat = heat.join(spans.select(*EVENT, name.alias("_name")), "_name").drop("_name")
+    found = corridor_paths(heat, event_axis(events, y_min), percentile, width, bins, y_max)
+    paths = found.groupBy(*EVENT).agg(F.sort_array(F.collect_list(F.struct("bin", "x", "y"))).alias("p")).where(F.size("p") >= min_points)
+    first, end = F.col("p")[0], F.element_at("p", -1)
+    paths = paths.where(F.sqrt(F.pow(end["x"] - first["x"], 2) + F.pow(end["y"] - first["y"], 2)) >= min_displacement)
+    number = F.row_number().over(Window.partitionBy("video_id").orderBy("event_id"))
+    out = paths.join(spans, EVENT).withColumn("_id", (F.lit(first_id - 1) + number).cast("long"))
+    points = F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))
+    out = out.select("video_id", F.col("_id").alias("event_id"), F.col("event_id").alias("source_fast_event_id"), "source_track_ids", F.col("l_start").alias("frame_start"), F.col("l_end").alias("frame_end"), points.alias("points"))
     return out.withColumn("direction", heatmap_direction(F.col("points")[0]["y"], F.element_at("points", -1)["y"]))
 
 

@@ -32,8 +32,9 @@ def range_join(left: DataFrame, right: DataFrame, gap: int, bucket: int | None =
     """Pairs of intervals (columns l_start, l_end; r_start, r_end, with video_id in
     both) at most ``gap`` frames apart. Each interval goes to the buckets of
     frames it reaches, so the join has an equality and no nested loop; a pair is
-    made in the first bucket that both reach, so nothing needs removing after."""
-    size = bucket or max(16, 2 * gap)
+    made in the first bucket that both reach, so nothing needs removing after.
+    A row comes once for each of its buckets: give keys, and join the rest after."""
+    size = bucket or max(64, 2 * gap)
     slot = lambda c: F.floor(c / F.lit(size)).cast("long")
     l_from, l_to = F.col("l_start") - gap, F.col("l_end") + gap
     lb = left.withColumns({"_lf": slot(l_from), "_b": F.explode(F.sequence(slot(l_from), slot(l_to)))})
@@ -57,9 +58,9 @@ def merge_candidates(tracks: DataFrame, max_gap: int, max_distance: float) -> Da
     """Pairs of tracks (columns of ``edges``, prefixed a_ for the lower id and b_)
     that overlap in time, or follow each other within ``max_gap`` frames and
     ``max_distance``."""
-    left = sided(tracks, "a").withColumns({"l_start": F.col("a_frame_start"), "l_end": F.col("a_frame_end")})
-    right = sided(tracks, "b").withColumns({"r_start": F.col("b_frame_start"), "r_end": F.col("b_frame_end")})
-    pairs = range_join(left, right, max_gap).where("a_track_id < b_track_id").drop("l_start", "l_end", "r_start", "r_end")
+    ends = lambda s, t: tracks.select("video_id", F.col("track_id").alias(f"{s}_track_id"), F.col("frame_start").alias(f"{t}_start"), F.col("frame_end").alias(f"{t}_end"))
+    met = range_join(ends("a", "l"), ends("b", "r"), max_gap).where("a_track_id < b_track_id").select("video_id", "a_track_id", "b_track_id")
+    pairs = met.join(sided(tracks, "a"), ["video_id", "a_track_id"]).join(sided(tracks, "b"), ["video_id", "b_track_id"])
     ab = norm(F.col("a_x_end") - F.col("b_x_start"), F.col("a_y_end") - F.col("b_y_start"))
     ba = norm(F.col("b_x_end") - F.col("a_x_start"), F.col("b_y_end") - F.col("a_y_start"))
     a_first, b_first = F.col("a_frame_end") < F.col("b_frame_start"), F.col("b_frame_end") < F.col("a_frame_start")
@@ -71,6 +72,29 @@ def merge_candidates(tracks: DataFrame, max_gap: int, max_distance: float) -> Da
     return out.where(F.col("endpoint_distance") <= max_distance)
 
 
+def handoffs(tracks: DataFrame, max_gap: int) -> DataFrame:
+    """Pairs of tracks that follow each other within ``max_gap`` frames (columns as
+    of ``merge_candidates``): an equi-join of the frames that an end looks forward
+    to with the frames where tracks start."""
+    ahead = tracks.select("video_id", F.col("track_id").alias("e"), F.explode(F.sequence(F.col("frame_end") + 1, F.col("frame_end") + max_gap)).alias("at"))
+    begun = tracks.select("video_id", F.col("track_id").alias("s"), F.col("frame_start").alias("at"))
+    met = ahead.join(begun, ["video_id", "at"]).select("video_id", F.least("e", "s").alias("a_track_id"), F.greatest("e", "s").alias("b_track_id"))
+    pairs = met.join(sided(tracks, "a"), ["video_id", "a_track_id"]).join(sided(tracks, "b"), ["video_id", "b_track_id"])
+    a_first = F.col("a_frame_end") < F.col("b_frame_start")
+    ab = norm(F.col("a_x_end") - F.col("b_x_start"), F.col("a_y_end") - F.col("b_y_start"))
+    ba = norm(F.col("b_x_end") - F.col("a_x_start"), F.col("b_y_end") - F.col("a_y_start"))
+    return pairs.withColumns({"gap_frames": F.when(a_first, F.col("b_frame_start") - F.col("a_frame_end")).otherwise(F.col("a_frame_start") - F.col("b_frame_end")), "endpoint_distance": F.when(a_first, ab).otherwise(ba)})
+
+
+def distances_of(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """video_id, a_track_id, b_track_id, common_frames, mean_distance for the given
+    pairs only: their points meet, not all points of a frame."""
+    p = points.select("video_id", "track_id", "frame", "x", "y")
+    a = pairs.select("video_id", "a_track_id", "b_track_id").join(p.withColumnsRenamed({"track_id": "a_track_id", "x": "ax", "y": "ay"}), ["video_id", "a_track_id"])
+    both = a.join(p.withColumnsRenamed({"track_id": "b_track_id", "x": "bx", "y": "by"}), ["video_id", "b_track_id", "frame"])
+    return both.groupBy("video_id", "a_track_id", "b_track_id").agg(F.count("*").alias("common_frames"), F.avg(norm(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).alias("mean_distance"))
+
+
 def duplicate_pairs(points: DataFrame, max_spatial: float = 16.0, max_gap: int = 8, min_direction: float = 0.75, min_speed: float = 0.5) -> DataFrame:
     """Every pair of tracks that shares frames (overlap) or follows closely
     (handoff), with its features, blockers and duplicate_score."""
@@ -93,7 +117,7 @@ def duplicate_pairs(points: DataFrame, max_spatial: float = 16.0, max_gap: int =
 
     zero = F.lit(0.0)
     overlap = scored(over.withColumns({"overlap_ratio_short": ratio, "gap_frames": F.lit(0).cast("long"), "endpoint_distance": zero}), raw, blocks("spatial_distance", c("median_distance") > max_spatial), "overlap_close", "overlap")
-    hand = merge_candidates(base, max_gap, float("inf")).where("kind = 'handoff'")
+    hand = handoffs(base, max_gap)
     a_first = c("a_frame_end") < c("b_frame_start")
     local = F.when(a_first, vector_cosine(c("a_evx"), c("a_evy"), c("b_svx"), c("b_svy"))).otherwise(vector_cosine(c("b_evx"), c("b_evy"), c("a_svx"), c("a_svy")))
     hand = hand.withColumns({"direction_similarity": F.least(whole, F.coalesce(local, F.lit(1.0))), "speed_similarity": speed, "gap_frames": c("gap_frames").cast("long")})

@@ -41,10 +41,25 @@ def background_median(frames: DataFrame, truncate: bool = False) -> DataFrame:
     return frames.groupBy(*PX).agg((F.floor(v).cast("int") if truncate else v).alias("v"))
 
 
-def motion_energy(frames: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """Sum of each pixel's changes from frame to frame above a threshold."""
-    d = F.abs(F.col("v") - F.lag("v").over(Window.partitionBy(*PX).orderBy("frame")))
-    return frames.withColumn("d", d).groupBy(*PX).agg(F.coalesce(F.sum(F.when(F.col("d") > threshold, F.col("d"))), F.lit(0.0)).alias("energy"))
+def motion_energy(frames: DataFrame, threshold: float = 0.0, blur: int = 0, open_size: int = 0, region: DataFrame | None = None) -> DataFrame:
+    """Sum of each pixel's changes from frame to frame above a threshold. If asked
+    for, a frame's changes are blurred before and those above it opened after, and
+    only the pixels of a region count."""
+    change = F.abs(F.col("v") - F.lag("v").over(Window.partitionBy(*PX).orderBy("frame")))
+    d = frames.withColumn("v", change)
+    if blur > 1 or open_size > 1:
+        kernel = ellipse(open_size)
+
+        def finish(image: np.ndarray) -> np.ndarray:
+            image = gaussian(np.nan_to_num(image), blur)
+            mask = image > threshold
+            for grow in (False, True) if open_size > 1 else ():
+                mask = moved(mask, kernel, grow)
+            return np.where(mask, image, 0.0)
+
+        d, threshold = per_image(d.select(*PX, "frame", "v").where("v is not null"), finish), 0.0
+    d = d.join(region.select(*PX).distinct(), PX, "left_semi") if region is not None else d
+    return d.groupBy(*PX).agg(F.coalesce(F.sum(F.when(F.col("v") > threshold, F.col("v"))), F.lit(0.0)).alias("energy"))
 
 
 def above_percentile(heat: DataFrame, percent: float, column: str = "energy", positive: bool = True, least: float = 50.0, most: float = 99.5) -> DataFrame:
@@ -93,47 +108,105 @@ def ellipse(size: int) -> list[tuple[int, int]]:
     return [(dx, dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if abs(dx) <= round(r * np.sqrt(max(0.0, 1 - (dy / r) ** 2)))]
 
 
+def _around(mask: DataFrame, kernel: list[tuple[int, int]], sign: int) -> DataFrame:
+    offsets = F.array(*(F.struct(F.lit(sign * a).alias("dx"), F.lit(sign * b).alias("dy")) for a, b in kernel))
+    return mask.select("video_id", "x", "y", F.explode(offsets).alias("o")).select("video_id", (F.col("x") + F.col("o.dx")).cast("int").alias("x"), (F.col("y") + F.col("o.dy")).cast("int").alias("y"))
+
+
 def dilate(mask: DataFrame, kernel: list[tuple[int, int]], size: tuple[int, int] | None = None) -> DataFrame:
     """Union of the mask moved by every offset, within the frame."""
-    offsets = F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in kernel))
-    out = mask.select("video_id", "x", "y", F.explode(offsets).alias("o")).select("video_id", (F.col("x") + F.col("o.dx")).cast("int").alias("x"), (F.col("y") + F.col("o.dy")).cast("int").alias("y"))
-    out = out.where((F.col("x") >= 0) & (F.col("y") >= 0))
+    out = _around(mask, kernel, 1).where((F.col("x") >= 0) & (F.col("y") >= 0))
     out = out.where((F.col("x") < size[0]) & (F.col("y") < size[1])) if size else out
     return out.distinct()
 
 
-def erode(mask: DataFrame, kernel: list[tuple[int, int]]) -> DataFrame:
-    """Pixels all of whose neighbours are in the mask."""
-    offsets = F.array(*(F.struct(F.lit(-a).alias("dx"), F.lit(-b).alias("dy")) for a, b in kernel))
-    seen = mask.select(*PX).distinct().select("video_id", "x", "y", F.explode(offsets).alias("o")).groupBy("video_id", (F.col("x") + F.col("o.dx")).cast("int").alias("x"), (F.col("y") + F.col("o.dy")).cast("int").alias("y")).agg(F.count("*").alias("n"))
-    return seen.where(F.col("n") == len(kernel)).select(*PX)
+def erode(mask: DataFrame, kernel: list[tuple[int, int]], size: tuple[int, int] | None = None) -> DataFrame:
+    """Pixels all of whose neighbours are in the mask; neighbours outside the image hinder none if its size is given."""
+    seen = _around(mask.select(*PX).distinct(), kernel, -1).groupBy(*PX).agg(F.count("*").alias("n"))
+    if size is None:
+        return seen.where(F.col("n") == len(kernel)).select(*PX)
+    x, y = F.col("x"), F.col("y")
+    inside = sum((((x + a).between(0, size[0] - 1) & (y + b).between(0, size[1] - 1)).cast("int") for a, b in kernel), F.lit(0))
+    return seen.where(x.between(0, size[0] - 1) & y.between(0, size[1] - 1) & (F.col("n") == inside)).select(*PX)
 
 
 def opened(mask: DataFrame, kernel: list[tuple[int, int]], size: tuple[int, int] | None = None) -> DataFrame:
-    return dilate(erode(mask, kernel), kernel, size)
+    return dilate(erode(mask, kernel, size), kernel, size)
 
 
-def closed(mask: DataFrame, kernel: list[tuple[int, int]]) -> DataFrame:
-    return erode(dilate(mask, kernel), kernel)
+def closed(mask: DataFrame, kernel: list[tuple[int, int]], size: tuple[int, int] | None = None, times: int = 1) -> DataFrame:
+    """Dilated ``times`` times, then eroded as often."""
+    for _ in range(times):
+        mask = dilate(mask, kernel, size) if size else _around(mask, kernel, 1).distinct()
+    for _ in range(times):
+        mask = erode(mask, kernel, size)
+    return mask
 
 
 def label_image(binary: np.ndarray) -> np.ndarray:
-    """8-connected components of an image, numbered from 1 in scan order of their first pixels."""
+    """8-connected components of an image, numbered from 1 in scan order of their
+    first pixels: runs of each row, joined to those that they touch in the row above."""
     h, w = binary.shape
-    labels = np.where(binary, np.arange(1, h * w + 1).reshape(h, w), 0)
-    while True:  # least label of the neighbourhood, until nothing changes
-        p = np.pad(np.where(binary, labels, h * w + 1), 1, constant_values=h * w + 1)
-        least = np.min([p[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
-        new = np.where(binary, least, 0)
-        if (new == labels).all():
-            break
-        labels = new
-    _, dense = np.unique(labels[binary], return_inverse=True)
+    edge = np.diff(np.pad(binary.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    up = list(range(len(row)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    first = np.searchsorted(row, np.arange(h + 1))
+    for y in range(1, h):
+        i, j = first[y - 1], first[y]
+        while i < first[y] and j < first[y + 1]:
+            if start[i] <= end[j] and start[j] <= end[i]:
+                p, q = sorted((root(i), root(j)))
+                up[q] = p
+            i, j = (i + 1, j) if end[i] < end[j] else (i, j + 1)
+    _, name = np.unique([root(i) for i in range(len(row))], return_inverse=True)
     out = np.zeros((h, w), np.int64)
-    out[binary] = dense + 1
+    for y, a, z, n in zip(row, start, end, name):
+        out[y, a:z] = n + 1
     return out
 
 
+#: Neighbours of a pixel, clockwise from the left one (y grows downwards).
+AROUND = ((-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1))
+
+
+def outline(part: np.ndarray) -> list[tuple[int, int]]:
+    """Pixels (x, y) of the outer border of a component, in order, from its first
+    pixel in scan order on; one that is passed twice comes twice."""
+    ys, xs = np.nonzero(part)
+    if not len(xs):
+        return []
+    start = at = (int(xs[0]), int(ys[0]))
+    inside = lambda x, y: 0 <= y < part.shape[0] and 0 <= x < part.shape[1] and part[y, x]
+    path, back, first = [start], 0, None  # back: direction of the last pixel outside
+    while True:
+        for d in ((back + k) % 8 for k in range(1, 9)):
+            if inside(at[0] + AROUND[d][0], at[1] + AROUND[d][1]):
+                break
+        else:
+            return path  # a single pixel
+        if at == start and first == d:
+            return path[:-1]
+        first = d if first is None else first
+        outside, to = AROUND[d - 1], AROUND[d]
+        at = (at[0] + to[0], at[1] + to[1])
+        back = AROUND.index((outside[0] - to[0], outside[1] - to[1]))
+        path.append(at)
+
+
+def polygon_area(path: list[tuple[int, int]]) -> float:
+    """Area within a closed line through pixel centres."""
+    x, y = np.array(path, float).T if path else (np.zeros(0), np.zeros(0))
+    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
+
+
 def components(mask: DataFrame, by: list[str]) -> DataFrame:
     """The mask with component: number of each pixel's 8-connected component. One
     image (the columns ``by``) is a group."""
@@ -150,16 +223,75 @@ def components(mask: DataFrame, by: list[str]) -> DataFrame:
 
 
 def blobs(foreground_px: DataFrame, min_area: float = 0, max_area: float = float("inf"), moments: bool = False) -> DataFrame:
-    """Detections of each frame: components with box, pixel area (a contour's area
-    is a little less) and centre of the box or of mass."""
+    """Detections of each frame: components with box (ends excluded), pixel area (a
+    contour's area is a little less: see ``contours``) and centre of the box or of mass."""
     parts = components(foreground_px.select("video_id", "frame", "x", "y"), ["video_id", "frame"])
     c = F.col
-    b = parts.groupBy("video_id", "frame", "component").agg(F.min("x").alias("bbox_x1"), F.min("y").alias("bbox_y1"), F.max("x").alias("bbox_x2"), F.max("y").alias("bbox_y2"), F.count("*").cast("double").alias("area"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    b = parts.groupBy("video_id", "frame", "component").agg(F.min("x").alias("bbox_x1"), F.min("y").alias("bbox_y1"), (F.max("x") + 1).alias("bbox_x2"), (F.max("y") + 1).alias("bbox_y2"), F.count("*").cast("double").alias("area"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
     place = (c("mx"), c("my")) if moments else ((c("bbox_x1") + c("bbox_x2")) / 2.0, (c("bbox_y1") + c("bbox_y2")) / 2.0)
     order = F.row_number().over(Window.partitionBy("video_id", "frame").orderBy("component")) - 1
     return b.where(c("area").between(min_area, max_area)).select("video_id", "frame", order.cast("int").alias("det_idx"), place[0].alias("x"), place[1].alias("y"), "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "area")
 
 
+def contours(foreground_px: DataFrame) -> DataFrame:
+    """video_id, frame, component, area, points: the border of each component as a
+    polygon of pixel centres and the area within it (a contour's area)."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = pdf.x.min(), pdf.y.min()
+        image = np.zeros((pdf.y.max() - y0 + 1, pdf.x.max() - x0 + 1), bool)
+        image[pdf.y - y0, pdf.x - x0] = True
+        labels = label_image(image)
+        paths = [outline(labels == i) for i in range(1, labels.max() + 1)]
+        return pd.DataFrame({"video_id": key[0], "frame": key[1], "component": range(1, len(paths) + 1), "area": [polygon_area(p) for p in paths], "points": [[{"x": int(x + x0), "y": int(y + y0)} for x, y in p] for p in paths]})
+
+    return foreground_px.groupBy("video_id", "frame").applyInPandas(run, "video_id string, frame long, component long, area double, points array<struct<x:int,y:int>>")
+
+
+def frame_stats(frames: DataFrame, background: DataFrame, threshold: float) -> DataFrame:
+    """video_id, frame, mean_shift (mean of the frame less the background's),
+    foreground (share of pixels that differ from it by more than ``threshold``)."""
+    px = frames.join(background.select(*PX, F.col("v").alias("_b")), PX)
+    return px.groupBy("video_id", "frame").agg((F.avg("v") - F.avg("_b")).alias("mean_shift"), F.avg(F.when(F.abs(F.col("v") - F.col("_b")) > threshold, 1.0).otherwise(0.0)).alias("foreground"))
+
+
+def binary_masks(frames: DataFrame, background: DataFrame, threshold: float, blur: int = 0, open_size: int = 0, close_size: int = 0) -> DataFrame:
+    """video_id, frame, x, y: foreground of each frame: difference of the blurred frame
+    from the blurred background above a threshold, opened and closed. A frame is a group."""
+    open_kernel, close_kernel = ellipse(open_size), ellipse(close_size)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((pdf.y.max() + 1, pdf.x.max() + 1))
+        image[pdf.y, pdf.x] = pdf.v
+        mask = np.abs(gaussian(image, blur)) > threshold
+        if mask.any():
+            for kernel, grow in ((open_kernel, False), (open_kernel, True), (close_kernel, True), (close_kernel, False)):
+                mask = moved(mask, kernel, grow)
+        y, x = np.nonzero(mask)
+        return pd.DataFrame({"video_id": pdf.video_id.iloc[0], "frame": pdf.frame.iloc[0], "x": x.astype(np.int32), "y": y.astype(np.int32)})
+
+    px = frames.join(background.select(*PX, F.col("v").alias("_b")), PX).select("video_id", "frame", "x", "y", (F.col("v") - F.col("_b")).alias("v"))
+    return px.groupBy("video_id", "frame").applyInPandas(run, "video_id string, frame long, x int, y int")
+
+
+def moved(mask: np.ndarray, kernel: list[tuple[int, int]], grow: bool) -> np.ndarray:
+    """Dilation (grow) or erosion of a mask; beyond the image there is nothing to grow from or to erode by."""
+    h, w = mask.shape
+    r = max(max(abs(a), abs(b)) for a, b in kernel)
+    p = np.pad(mask, r, constant_values=not grow)
+    parts = [p[r + b : r + b + h, r + a : r + a + w] for a, b in kernel]
+    return np.logical_or.reduce(parts) if grow else np.logical_and.reduce(parts)
+
+
+def median_blur(image: np.ndarray, size: int) -> np.ndarray:
+    """Median of the square of an odd size around each pixel, borders repeated."""
+    if size <= 1:
+        return image.astype(float)
+    r = size // 2
+    p = np.pad(image.astype(float), r, mode="edge")
+    return np.median([p[i : i + image.shape[0], j : j + image.shape[1]] for i in range(2 * r + 1) for j in range(2 * r + 1)], axis=0)
+
+
 def gaussian(image: np.ndarray, size: int) -> np.ndarray:
     """Separable blur of an odd size, borders mirrored."""
     if size <= 1:
@@ -258,11 +390,22 @@ def vegetation_score(frames: DataFrame) -> DataFrame:
     return s.join(whole, "video_id").select(*PX, (0.50 * unit("activity") + 0.35 * unit("spread") + 0.15 * unit("gradient")).alias("score"))
 
 
-def vegetation_mask(frames: DataFrame, percent: float = 85.0, min_area: int = 24, size: tuple[int, int] | None = None) -> DataFrame:
-    """Restless textured pixels: top scores, opened, small parts dropped, eroded; none from under 20 frames."""
+def median_mask(mask: DataFrame, size: int) -> DataFrame:
+    """The pixels most of whose neighbourhood (a square of an odd size) is in the mask."""
+    r = size // 2
+    square = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1)]
+    offsets = F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in square))
+    seen = mask.select(*PX).distinct().select("video_id", "x", "y", F.explode(offsets).alias("o")).groupBy("video_id", (F.col("x") + F.col("o.dx")).cast("int").alias("x"), (F.col("y") + F.col("o.dy")).cast("int").alias("y")).agg(F.count("*").alias("n"))
+    return seen.where((F.col("n") * 2 > len(square)) & (F.col("x") >= 0) & (F.col("y") >= 0)).select(*PX)
+
+
+def vegetation_mask(frames: DataFrame, percent: float = 85.0, min_area: int = 24, size: tuple[int, int] | None = None, median: int = 0) -> DataFrame:
+    """Restless textured pixels: top scores, opened, smoothed by a median if asked
+    for, small parts dropped, eroded; none from under 20 frames."""
     enough = frames.groupBy("video_id").agg(F.count_distinct("frame").alias("n")).where("n >= 20").select("video_id")
     px = above_percentile(vegetation_score(frames.join(enough, "video_id", "left_semi")), percent, "score", positive=False)
     square = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    parts = components(opened(px, square, size), ["video_id"])
+    px = opened(px, square, size)
+    parts = components(median_mask(px, median) if median > 1 else px, ["video_id"])
     big = parts.groupBy("video_id", "component").agg(F.count("*").alias("n")).where(F.col("n") >= max(1, min_area)).drop("n")
     return erode(parts.join(big, ["video_id", "component"], "left_semi").select(*PX), square)

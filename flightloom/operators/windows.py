@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +13,6 @@ from flightloom.functions.expressions import norm
 from flightloom.operators.summary import KEY, by_frame, of_track
 
 
-
 def smooth(points: DataFrame, window: int = 5) -> DataFrame:
     """x_s, y_s: centred moving average over an odd window, the ends padded with
     the end points; tracks shorter than the window stay as they are."""
@@ -99,17 +101,41 @@ def suppress_bursts(points: DataFrame, min_points: int, window: int, trigger: in
     return points.join(bad, KEY, "left_anti")
 
 
+class Gate:
+    """The live gate: frames are kept unless ``trigger`` crowded ones lie in the
+    last ``window`` frames, which starts a cooldown; hits count during one too."""
+
+    def __init__(self, min_detections: int, window: int, trigger: int, cooldown: int):
+        self.least, self.window, self.trigger, self.cooldown = min_detections, window, trigger, cooldown
+        self.hits: deque = deque()
+        self.until = -1
+
+    def step(self, frame: int, n: int) -> bool:
+        if n >= self.least:
+            self.hits.append(frame)
+        while self.hits and self.hits[0] <= frame - self.window:
+            self.hits.popleft()
+        cooling, fires = frame <= self.until, len(self.hits) >= self.trigger
+        if fires and not cooling:
+            self.until = frame + self.cooldown - 1
+        return not cooling and not fires
+
+
 def burst_gate(counts: DataFrame, min_detections: int, window: int, trigger: int, cooldown: int) -> DataFrame:
-    """The live gate on per-frame counts (video_id, frame, n): keep, with hits
-    also recorded during a cooldown. A fold over the frames of a video in order."""
-    entry = F.struct(F.col("frame").cast("long").alias("frame"), (F.col("n") >= min_detections).alias("hit"))
-    state = "named_struct('hits', cast(array() as array<bigint>), 'until', cast(-1 as bigint), 'out', cast(array() as array<struct<frame:bigint,keep:boolean>>))"
-    hits = f"filter(if(e.hit, array_append(s.hits, e.frame), s.hits), h -> h > e.frame - {window})"
-    cooling, fires = "e.frame <= s.until", f"size({hits}) >= {trigger}"
-    step = f"""named_struct('hits', {hits}, 'until', if(not ({cooling}) and {fires}, e.frame + {cooldown - 1}, s.until),
-      'out', array_append(s.out, named_struct('frame', e.frame, 'keep', not ({cooling}) and not ({fires}))))"""
-    folded = counts.groupBy("video_id").agg(F.sort_array(F.collect_list(entry)).alias("f")).select("video_id", F.expr(f"aggregate(f, {state}, (s, e) -> {step})").alias("s"))
-    return folded.select("video_id", F.explode("s.out").alias("o")).select("video_id", "o.frame", "o.keep")
+    """The live gate on per-frame counts (video_id, frame, n): keep. No state
+    outlives window + cooldown frames without a crowded one, so a video falls
+    into stretches there, and each is one pass over its frames."""
+    w = Window.partitionBy("video_id").orderBy("frame")
+    crowded = F.last(F.when(F.col("n") >= min_detections, F.col("frame")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.when((F.col("n") >= min_detections) & (F.col("frame") - crowded <= window + cooldown), 0).when(F.col("n") >= min_detections, 1).otherwise(0)
+    parts = counts.withColumn("_cut", cut).withColumn("stretch", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        gate = Gate(min_detections, window, trigger, cooldown)
+        pdf = pdf.sort_values("frame")
+        return pd.DataFrame({"video_id": key[0], "frame": pdf.frame, "keep": [gate.step(int(f), int(n)) for f, n in zip(pdf.frame, pdf.n)]})
+
+    return parts.groupBy("video_id", "stretch").applyInPandas(run, "video_id string, frame long, keep boolean")
 
 
 def coherent_trails(points: DataFrame, history: int = 12, max_gap: int = 2, min_points: int = 3, min_path: float = 14.0, min_displacement: float = 10.0, min_straightness: float = 0.2, radius: float = 14.0, min_segment: float = 4.0) -> DataFrame:

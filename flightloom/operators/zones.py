@@ -43,26 +43,57 @@ def top_zones(rows: DataFrame, k: int = 3) -> DataFrame:
     return rows.withColumn("zone_id", rank).where(F.col("zone_id") <= k)
 
 
-def candidate_zones(background: DataFrame, heat: DataFrame, size: tuple[int, int], method: str = "hybrid", motion_percent: float = 94.0, dark_percent: float = 18.0, connect: int = 18, mask: DataFrame | None = None) -> DataFrame:
-    """Pixels of the candidate mask: a given one, or moving ones, dark ones, or
-    (hybrid) moving ones with the dark ones near them."""
+#: Kernels of the candidate masks, fixed values.
+MOTION_KERNEL, DARK_KERNEL = 7, 9
+
+
+def candidate_masks(background: DataFrame, heat: DataFrame, size: tuple[int, int], method: str = "hybrid", motion_percent: float = 94.0, dark_percent: float = 18.0, connect: int = 18, mask: DataFrame | None = None, kernels: tuple[int, int] = (MOTION_KERNEL, DARK_KERNEL)) -> dict[str, DataFrame]:
+    """Pixels of the candidate masks by source: a given one, or moving ones, dark
+    ones, or (hybrid) moving ones and the dark ones near them; each closed twice and opened."""
     if method not in ("hybrid", "annotation", "motion", "dark"):
         raise ValueError(f"method must be hybrid, annotation, motion or dark, got {method}")
     if mask is not None or method == "annotation":
-        return mask
-    kernel = pixels.ellipse(5)
-    moving = pixels.closed(pixels.above_percentile(heat, motion_percent), kernel)
-    dark = pixels.closed(pixels.below_percentile(background, dark_percent), kernel)
+        return {} if mask is None else {"annotation": mask}
+    clean = lambda px, k: pixels.opened(pixels.closed(px, pixels.ellipse(k), size, 2), pixels.ellipse(k), size)
+    moving = clean(pixels.above_percentile(heat, motion_percent), kernels[0])
+    dark = clean(pixels.below_percentile(background, dark_percent), kernels[1])
     if method == "motion":
-        return moving
+        return {"motion_heatmap": moving}
     if method == "dark":
-        return dark
+        return {"dark_regions": dark}
     near = pixels.dilate(moving, pixels.ellipse(2 * connect + 1), size)
-    return moving.union(dark.intersect(near)).distinct()
+    still = dark.join(moving.select("video_id").distinct(), "video_id", "left_anti")  # without motion there is no gate
+    return {"motion_heatmap": moving, "dark_regions": dark.select(*PX).intersect(near).union(still.select(*PX))}
+
+
+def candidate_zones(background: DataFrame, heat: DataFrame, size: tuple[int, int], **options) -> DataFrame | None:
+    """Pixels of all candidate masks."""
+    masks = list(candidate_masks(background, heat, size, **options).values())
+    out = masks[0] if masks else None
+    for more in masks[1:]:
+        out = out.union(more).distinct()
+    return out
+
+
+def entry_zones(background: DataFrame, heat: DataFrame, size: tuple[int, int], k: int = 3, dilate_px: int = 8, min_ratio: float = 0.002, **options) -> tuple[DataFrame, DataFrame]:
+    """(zones, pixels): the k best components of the candidate masks, widened, their
+    pixels labelled and scored anew, so that zones are what the final mask shows."""
+    rows = parts = None
+    for source, mask in candidate_masks(background, heat, size, **options).items():
+        given = source == "annotation"
+        own = pixels.components(mask.select(*PX), ["video_id"]).withColumn("source", F.lit(source))
+        scored = score_components(mask, background, heat, size, given, min_ratio=min_ratio).withColumn("source", F.lit(source))
+        rows, parts = (scored, own) if rows is None else (rows.unionByName(scored), parts.unionByName(own))
+    rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score"), "source", "component"))
+    best = rows.withColumn("_r", rank).where(F.col("_r") <= k).select("video_id", "source", "component")
+    final = parts.join(best, ["video_id", "source", "component"], "left_semi").select(*PX).distinct()
+    final = pixels.dilate(final, pixels.ellipse(2 * dilate_px + 1), size) if dilate_px > 0 else final
+    return top_zones(score_components(final, background, heat, size, min_ratio=0.0), size[0] * size[1]), final
 
 
 def source_scores(masks: DataFrame, points: DataFrame, background: DataFrame, heat: DataFrame, size: tuple[int, int], vegetation: DataFrame | None = None, weights: dict | None = None) -> DataFrame:
     """A row for each candidate source (kind of mask) with its evidence and score."""
+    # fixed values
     w = {"motion_weight": 0.25, "dark_weight": 0.25, "endpoint_weight": 0.30, "area_weight": 0.20, "vegetation_overlap_penalty": 0.45, "dark_percentile": 18.0, "ideal_area_ratio": 0.04, "max_reasonable_area_ratio": 0.18, "cavemark_bias": 0.12, "cave_zones_bias": 0.0, "valid_region_bias": -0.15} | (weights or {})
     c = F.col
     px = with_evidence(masks.select("kind", *PX).distinct(), background, heat, w["dark_percentile"])

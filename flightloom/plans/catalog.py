@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightloom.operators import fast_events as fe
-from flightloom.operators import filters, grouping, pairs, pixels, regions, summary, tracking, windows, zones
+from flightloom.operators import filters, grouping, pairs, pixels, regions, summary, tracking, windows
 from flightloom.sources import adapters as ad
-from flightloom.sources.sinks import render_payload, svg_tracks
 
 KEY = summary.KEY
 QUERIES: dict = {}
@@ -260,8 +259,8 @@ def fragments(spark, d):
     return s.withColumn("track_id", F.col("track_id") * 1000 + F.col("session")).drop("session")
 
 
-FRAG = PTS.replace("pts AS (", "pts0 AS (") + ", pts AS (SELECT video_id, track_id * 1000 + sum(g) OVER (PARTITION BY video_id, track_id ORDER BY frame) AS track_id, frame, time_sec, x, y, area FROM (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY video_id, track_id ORDER BY frame) > 24 THEN 1 ELSE 0 END AS g FROM pts0) z)"
-FRAG_EDGES = EDGES.replace(PTS, FRAG.replace("track_id * 1000 + sum(g)", "track_id * 1000 + CAST(sum(g)").replace("ORDER BY frame) AS track_id, frame", "ORDER BY frame) AS BIGINT) AS track_id, frame"))
+FRAG_PTS = PTS.replace("pts AS (", "pts0 AS (") + ", pts AS (SELECT video_id, track_id * 1000 + CAST(sum(g) OVER (PARTITION BY video_id, track_id ORDER BY frame) AS BIGINT) AS track_id, frame, time_sec, x, y, area FROM (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY video_id, track_id ORDER BY frame) > 24 THEN 1 ELSE 0 END AS g FROM pts0) z)"
+FRAG_EDGES = EDGES.replace(PTS, FRAG_PTS)
 HAND = f"""hp AS (SELECT a.video_id, a.track_id AS track_a, b.track_id AS track_b, a.frame_end < b.frame_start AS af, CASE WHEN a.frame_end < b.frame_start THEN b.frame_start - a.frame_end ELSE a.frame_start - b.frame_end END AS gap_frames,
   CASE WHEN a.frame_end < b.frame_start THEN sqrt((a.x_end - b.x_start) * (a.x_end - b.x_start) + (a.y_end - b.y_start) * (a.y_end - b.y_start)) ELSE sqrt((b.x_end - a.x_start) * (b.x_end - a.x_start) + (b.y_end - a.y_start) * (b.y_end - a.y_start)) END AS endpoint_distance,
   coalesce({cosine_sql('a.vecx', 'a.vecy', 'b.vecx', 'b.vecy')}, 1.0) AS whole, coalesce(CASE WHEN a.frame_end < b.frame_start THEN {cosine_sql('a.evx', 'a.evy', 'b.svx', 'b.svy')} ELSE {cosine_sql('b.evx', 'b.evy', 'a.svx', 'a.svy')} END, 1.0) AS local, {SPEED_SIM} AS ss
@@ -345,57 +344,11 @@ def _(spark, d):
     return fe.grouped(rows, fe.group_pairs(rows, cfg)).select("video_id", "track_id", "group_id")
 
 
-def events_of(spark, d):
-    return fe.fast_events(points(spark, d), assessed(spark, d), FAST, float(SIZE[1]))
-
-
-@query("fast_events")
-def _(spark, d):
-    return events_of(spark, d).drop("points")
-
-
-@query("fast_tracks")
-def _(spark, d):
-    return fe.event_points(events_of(spark, d))
-
-
-@query("fast_candidate_events")
-def _(spark, d):
-    return fe.candidate_events(assessed(spark, d), FAST, ad.FPS, float(SIZE[1])).drop("points")
-
-
-@query("event_axes")
-def _(spark, d):
-    return fe.event_axis(events_of(spark, d))
-
-
-@query("coexisting_dedupe")
-def _(spark, d):
-    return grouping.coexisting_duplicates(fragments(spark, d), 1, 200.0, 0.3, 30, 0.9, -1.0)
-
-
 def merges_of(spark, d):
     p = fragments(spark, d)
     return grouping.guarded_merges(p, grouping.merge_features(p, max_endpoint=60.0), max_group=6)
 
 
-@query("auto_merge")
-def _(spark, d):
-    return merges_of(spark, d)
-
-
-@query("auto_merge_summary")
-def _(spark, d):
-    return summary.merge_summary(merges_of(spark, d))
-
-
-@query("crossing_rescue")
-def _(spark, d):
-    p = fragments(spark, d)
-    a = filters.assess(p, filters.TrackFilter(min_length=12, min_path=100.0), ad.FPS, SIZE)
-    return grouping.crossing_rescues(p, filters.accepted_points(p, a), a, ("min_track_length",), 12, 200.0, 2, 1, 5.0)
-
-
 @query("motion_rescue", f"""WITH {ASSESS}, fl AS (SELECT DISTINCT video_id, track_id FROM pts WHERE {ad.MASK_TEST_SQL}), ok AS (SELECT a.video_id, a.track_id FROM ass a JOIN fl USING (video_id, track_id) WHERE len(reasons) > 0 AND len(list_intersect(reasons, ['min_track_displacement', 'loiter', 'static_noise', 'min_track_straightness'])) = len(reasons) AND path_length_px >= 24.0 AND mean_speed_px_sec >= 60.0)
   SELECT video_id, track_id, frame, x, y FROM pts JOIN (SELECT video_id, track_id FROM ass WHERE len(reasons) = 0 UNION SELECT * FROM ok) k USING (video_id, track_id)""")
 def _(spark, d):
@@ -434,12 +387,6 @@ def _(spark, d):
     return filters.drop_crowded_frames(kept, 14).select("video_id", "frame", "x", "y", "area")
 
 
-@query("detection_fusion")
-def _(spark, d):
-    det = ad.detections(spark, d)
-    return tracking.fuse_detections(det.where("det_idx % 2 = 0"), det.where("det_idx % 2 = 1"), 8.0, 0.1)
-
-
 @query("detection_fusion_antijoin", f"WITH {DET}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame ORDER BY seq) - 1 AS i FROM raw), p AS (SELECT * FROM n WHERE i % 2 = 0), s AS (SELECT * FROM n WHERE i % 2 = 1) SELECT video_id, frame, x, y FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.video_id = s.video_id AND p.frame = s.frame AND sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) <= 8.0)")
 def _(spark, d):
     det = ad.detections(spark, d)
@@ -491,65 +438,15 @@ def _(spark, d):
     return pixels.column_profile(pixels.background_median(ad.frames(spark, d)))
 
 
-@query("valid_band")
-def _(spark, d):
-    return pixels.valid_band(pixels.column_profile(pixels.background_median(ad.frames(spark, d))), 3, 0.45, 1, 0.35)
-
-
-@query("otsu_thresholds")
-def _(spark, d):
-    scaled = ad.frames(spark, d).withColumn("v", F.col("v") * 200 + 128)
-    return pixels.otsu(scaled, -4)
-
-
-@query("foreground_blobs")
-def _(spark, d):
-    f = ad.frames(spark, d)
-    return pixels.blobs(pixels.foreground(f, pixels.background_median(f), 0.25), 1)
-
-
 @query("dilated_mask", f"WITH {HEAT}, m AS (SELECT video_id, x, y FROM heat WHERE energy >= (SELECT quantile_cont(energy, 0.8) FROM heat)) SELECT DISTINCT video_id, CAST(x + dx AS INTEGER) AS x, CAST(y + dy AS INTEGER) AS y FROM m, (SELECT unnest([-1, 0, 1]) AS dx) a, (SELECT unnest([-1, 0, 1]) AS dy) b WHERE x + dx BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 7")
 def _(spark, d):
     return pixels.dilate(pixels.above_percentile(heat_of(spark, d), 80.0, positive=False), [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)], (8, 8))
 
 
-@query("vegetation_scores")
-def _(spark, d):
-    return pixels.vegetation_score(ad.frames(spark, d))
-
-
 def background_of(spark, d):
     return pixels.background_median(ad.frames(spark, d))
 
 
-@query("zone_topk")
-def _(spark, d):
-    heat, bg = heat_of(spark, d), background_of(spark, d)
-    return zones.top_zones(zones.score_components(zones.candidate_zones(bg, heat, (8, 8), 'motion', motion_percent=60.0), bg, heat, (8, 8)))
-
-
-@query("source_arbitration")
-def _(spark, d):
-    heat, bg = heat_of(spark, d), background_of(spark, d)
-    masks = pixels.above_percentile(heat, 80.0).withColumn("kind", F.lit("cave_zones")).unionByName(pixels.below_percentile(bg, 40.0).withColumn("kind", F.lit("valid_region")))
-    return zones.choose_source(zones.source_scores(masks, points(spark, d), bg, heat, (8, 8)))
-
-
-@query("corridor_path")
-def _(spark, d):
-    return fe.corridor_path(heat_of(spark, d), (7.0, 7.0), (0.0, 0.0), 20.0, 8.0, 3)
-
-
-@query("tracks_render_json")
-def _(spark, d):
-    return render_payload(points(spark, d), directed(spark, d))
-
-
-@query("tracks_svg")
-def _(spark, d):
-    return svg_tracks(points(spark, d))
-
-
 @query("big_track_summary", f"""WITH raw AS (SELECT 'v0' AS video_id, l_suppkey AS track_id, date_diff('day', TIMESTAMP '1992-01-01', l_shipdate) AS frame, l_quantity AS x, l_extendedprice / 1000 AS y, CAST(l_partkey % 37 + 1 AS DOUBLE) AS area, l_orderkey * 8 + l_linenumber AS seq FROM lineitem),
   pts AS (SELECT video_id, track_id, frame, frame / 25.0 AS time_sec, x, y, area FROM (SELECT *, row_number() OVER (PARTITION BY track_id, frame ORDER BY area DESC, x, y, seq) AS rn FROM raw) q WHERE rn = 1), {sql_summary()} SELECT video_id, track_id, frame_start, frame_end, num_detections, path_length_px, displacement_px FROM sm""")
 def _(spark, d):

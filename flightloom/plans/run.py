@@ -1,7 +1,7 @@
-"""The whole run as one plan: detections (or points) of many videos in, tracks,
-assessments, events and audits out. Steps come in a fixed order and every one
-is lazy, but for the heat events, built event by event; only what later steps
-read twice is persisted."""
+"""The whole run: frames, detections or points of many videos in; tracks,
+assessments, events and audits out. Steps come in a fixed order; a result that
+later steps read more than once is written to the shared folder, so that every
+plan is short and a lost executor costs no more than tasks of one step."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightloom.functions.expressions import resolution_scale
-from flightloom.operators import fast_events, filters, grouping, layers, pairs, pixels, regions, summary, tracking, windows
+from flightloom.operators import detection, fast_events, filters, grouping, layers, pairs, pixels, regions, summary, tracking, windows, zones
 from flightloom.sources import config as settings
+from flightloom.sources.scratch import written
 
 KEY = summary.KEY
 
@@ -31,6 +32,10 @@ class Run:
     fast_events: DataFrame | None
     metrics: DataFrame
     heatmap_events: DataFrame | None = None
+    background: DataFrame | None = None
+    region: DataFrame | None = None
+    zones: DataFrame | None = None
+    source_scores: DataFrame | None = None
 
 
 def filter_detections(detections: DataFrame, cfg: dict, region: DataFrame | None = None) -> DataFrame:
@@ -51,32 +56,73 @@ def gate_bursts(detections: DataFrame, cfg: dict) -> DataFrame:
     return detections.join(kept.select("video_id", "frame"), ["video_id", "frame"], "left_semi")
 
 
+def sampled_background(frames: DataFrame, cfg: dict, fps: float) -> DataFrame:
+    """Median of the sampled frames of the context, as whole levels."""
+    n = (frames.agg(F.max("frame")).first()[0] or 0) + 1
+    first, end = settings.context_frames(cfg, "background", fps, n)
+    b = cfg["background"]
+    return written(pixels.background_median(pixels.at_frames(frames, pixels.sample_frames(n, b["sample_frames"], b["uniform_sampling"], first, end)), truncate=True))
+
+
+def band_region(background: DataFrame, cfg: dict) -> DataFrame:
+    """Pixels of the valid band of columns."""
+    v = cfg["valid_region"]
+    band = pixels.valid_band(pixels.column_profile(background), v["profile_smooth_window"], v["threshold_ratio"], v["safety_margin"], v["min_region_width_ratio"])
+    return background.join(band, "video_id").where(F.col("x").between(F.col("x_start"), F.col("x_end"))).select(*pixels.PX)
+
+
+def choose_region(points: DataFrame, background: DataFrame, heat: DataFrame, cfg: dict, size: tuple[int, int], vegetation: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """(pixels of the entry zone, zones, scores of the sources): the valid band and
+    the zones are scored by what they cover; the wanted one, or the best, is it."""
+    masks, found = None, None
+    if cfg["valid_region"]["enabled"]:
+        masks = band_region(background, cfg).withColumn("kind", F.lit("valid_region"))
+    z = cfg["cave_zones"]
+    if z["enabled"]:
+        found, px = zones.entry_zones(background, heat, size, z["max_components"], z["dilate_px"], z["min_component_area_ratio"], method=z["method"], motion_percent=z["motion_percentile"], dark_percent=z["dark_percentile"], connect=z["motion_dark_connect_dilate_px"])
+        px = px.withColumn("kind", F.lit("cave_zones"))
+        masks = px if masks is None else masks.unionByName(px)
+    if masks is None:
+        return None, None, None
+    masks = written(masks)
+    scores = written(zones.source_scores(masks, points, background, heat, size, vegetation))
+    chosen = zones.choose_source(scores, cfg["tracking"]["entry_exit_zone_source"]).select("video_id", "kind")
+    return written(masks.join(chosen, ["video_id", "kind"]).select(*pixels.PX)), found, scores
+
+
 def run(
     config: dict, size: tuple[int, int], fps: float = 25.0, detections: DataFrame | None = None, raw_points: DataFrame | None = None, region: DataFrame | None = None, vegetation: DataFrame | None = None, secondary: DataFrame | None = None, secondary_points: DataFrame | None = None, frames: DataFrame | None = None,
 ) -> Run:
     """region, vegetation: pixels (video_id, x, y). secondary: detections of a
     second pass, fused with the first; secondary_points: tracks of another
     tracker, added where no primary track accompanies them. frames: pixels
-    (video_id, frame, x, y, v), for the heat events if these are on."""
+    (video_id, frame, x, y, v): detections come from them if none are given, the entry
+    region (where no region is given) from their band and zones, and heat events if these are on."""
     config = settings.load(config)
     t, det = config["tracking"], config["detection"]
     scaled = lambda v: resolution_scale(v, size, bool(t["auto_scale_with_resolution"]), (t["reference_width"], t["reference_height"]))
+    background = sampled_background(frames, config, fps) if frames is not None else None
     if raw_points is None:
-        d = filter_detections(detections, det, region)
+        d = detection.detect(frames, background, det, size, region) if detections is None else filter_detections(detections, det, region)
         if secondary is not None:
             s = config["secondary_detection"]
             d = tracking.fuse_detections(d, filter_detections(secondary, settings.secondary_detection(det, s)), s["dedupe_max_distance_px"], s["dedupe_min_iou"]).drop("origin")
         options = {"max_distance": scaled(t["max_distance"]), "max_missed": t["max_missed"], "fps": fps}
         if t["tracker"] == "kalman":
             options |= {"sigma": t["kalman_sigma_acc"], "measured": t["kalman_measurement_std"], "strong_area": t["kalman_high_area_threshold"]}
-        raw_points = tracking.track(gate_bursts(d, det), t["tracker"], **options)
-    raw_points = raw_points.persist()
+        raw_points = tracking.track(gate_bursts(written(d), det), t["tracker"], **options)
+    raw_points = written(raw_points)
+    v, found_zones, scores = config["vegetation_noise"], None, None
+    if vegetation is None and frames is not None and v["enabled"]:
+        vegetation = written(pixels.vegetation_mask(frames, v["auto_percentile"], v["auto_min_component_area"], size))
+    if region is None and frames is not None and (config["valid_region"]["enabled"] or config["cave_zones"]["enabled"]):
+        region, found_zones, scores = choose_region(raw_points, background, written(pixels.motion_energy(frames)), config, size, vegetation)
     merges, merged = None, raw_points
     if t["auto_merge_suggested"]:
         found = grouping.merge_features(raw_points, t["merge_max_gap_frames"], scaled(t["merge_max_endpoint_distance"]), t["merge_overlap_min_common_frames"], scaled(t["merge_overlap_max_mean_distance"]), t["merge_overlap_min_direction_cosine"], scaled(t["merge_overlap_proximity_override_distance"]))
-        merges = grouping.guarded_merges(raw_points, found, t["merge_max_group_overlap_frames"], scaled(t["merge_duplicate_max_distance"]), t["merge_max_group_size"]).persist()
-        merged = grouping.apply_merges(raw_points, merges).persist()
-    stripped, v = None, config["vegetation_noise"]
+        merges = written(grouping.guarded_merges(raw_points, written(found), t["merge_max_group_overlap_frames"], scaled(t["merge_duplicate_max_distance"]), t["merge_max_group_size"]))
+        merged = written(grouping.apply_merges(raw_points, merges))
+    stripped = None
     if vegetation is not None and v["enabled"]:
         diag = max(1.0, (size[0] ** 2 + size[1] ** 2) ** 0.5)
         stripped = windows.strip_jitter(regions.flag_in_region(merged, vegetation), "inside", v["min_motion_ratio_per_sec"] * diag, v["min_consecutive_points"], v["drop_all_points_in_mask"]).drop("inside")
@@ -86,21 +132,22 @@ def run(
         gate = pixels.dilate(region, pixels.ellipse(2 * t["valid_region_gate_dilate_px"] + 1), size) if t["valid_region_gate_dilate_px"] > 0 else region
         centre = regions.region_centre(gate)
         directions = regions.full_directions(regions.flag_in_region(kept, gate), centre, float(size[1]))
-    assessments = filters.assess(merged, filters.TrackFilter.from_config(t), fps, size, stripped, directions).persist()
+    assessments = written(filters.assess(merged, filters.TrackFilter.from_config(t), fps, size, stripped, directions))
     points, rescues = filters.accepted_points(kept, assessments), None
     if t["rescue_crossing_continuations"]:
-        rescues = grouping.crossing_rescues(merged, points, assessments).persist()
+        rescues = written(grouping.crossing_rescues(merged, points, assessments))
         points = grouping.apply_rescues(points, merged, rescues)
     if t["rescue_motion_candidates"] and region is not None:
         wide = pixels.dilate(region, pixels.ellipse(2 * t["rescue_motion_interaction_dilate_px"] + 1), size) if t["rescue_motion_interaction_dilate_px"] > 0 else region
         touching = regions.flag_in_region(merged, wide).where("inside")
         points = filters.rescue_by_motion(points, merged.select(*points.columns), assessments, touching, tuple(r.strip() for r in t["rescue_motion_reject_reasons"].split(";") if r.strip()), t["rescue_motion_min_points"], scaled(t["rescue_motion_min_displacement"]), scaled(t["rescue_motion_min_path_length"]), t["rescue_motion_min_mean_speed"], t["rescue_motion_min_straightness"])
+    points = written(points)
     if t["dedupe_coexisting_tracks"]:
         points = points.join(grouping.coexisting_duplicates(points), KEY, "left_anti")
     decisions = found_pairs = None
     if t["enable_track_deduplication"]:
-        found_pairs = pairs.duplicate_pairs(points, scaled(t["max_spatial_distance_px"]), t["max_temporal_gap_frames"], t["min_direction_similarity"], t["min_speed_similarity"]).persist()
-        decisions = grouping.dedup_decisions(points, found_pairs, t["merge_strategy"], t["min_duplicate_score"]).persist()
+        found_pairs = written(pairs.duplicate_pairs(points, scaled(t["max_spatial_distance_px"]), t["max_temporal_gap_frames"], t["min_direction_similarity"], t["min_speed_similarity"]))
+        decisions = written(grouping.dedup_decisions(points, found_pairs, t["merge_strategy"], t["min_duplicate_score"]))
         points = grouping.apply_decisions(points, decisions)
     if secondary_points is not None:
         s = config["secondary_detection"]
@@ -108,10 +155,10 @@ def run(
         points = points.unionByName(extra.select(*points.columns))
     if region is not None:
         points = regions.exclude_directions(points, regions.full_directions(regions.flag_in_region(points, region), regions.region_centre(region), float(size[1])))
-    out = config["output"]
+    points, out = written(points), config["output"]
     fast = heated = None
     if config["fast_events"]["enabled"]:
-        fast = fast_events.both_passes(merged, assessments, {k: w for k, w in config["fast_events"].items() if k != "enabled"}, fps, float(size[1])).persist()
+        fast = written(fast_events.both_passes(merged, assessments, {k: w for k, w in config["fast_events"].items() if k != "enabled"}, fps, float(size[1])))
     h = config["heatmap_events"]
     if fast is not None and frames is not None and h["enabled"]:
         heated = layers.heatmap_events(fast, frames, None, h["threshold"], h["padding_frames"], h["percentile"], h["corridor_width"], max(3, h["bins"]) - 1, h["min_points"], h["min_displacement"], h["first_event_id"], h["max_events"], h["seed_y_min"], h["y_max"])
@@ -119,4 +166,4 @@ def run(
     if out["trajectory_smoothing_enabled"]:
         s = windows.smooth(points, out["trajectory_smoothing_window"])
         shown = s.withColumns({"x": F.col("x_s"), "y": F.col("y_s")}).drop("x_s", "y_s")
-    return Run(raw_points, merged, merges, assessments, points, decisions, found_pairs, rescues, summary.summarise(shown), fast, summary.run_metrics(points), heated)
+    return Run(raw_points, merged, merges, assessments, points, decisions, found_pairs, rescues, summary.summarise(shown), fast, summary.run_metrics(points), heated, background, region, found_zones, scores)

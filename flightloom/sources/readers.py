@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flightloom.functions.expressions import is_red
 from flightloom.operators.pixels import closed, dilate, ellipse, opened
@@ -56,17 +57,20 @@ def mask(spark: SparkSession, path: str, size: tuple[int, int] | None = None, vi
     return image_pixels(spark, path, video_id).where("r > 0 or g > 0 or b > 0").select("video_id", "x", "y")
 
 
-def annotation_mask(px: DataFrame) -> DataFrame:
-    """The red marks of an annotation, closed twice and opened once."""
+def annotation_mask(px: DataFrame, size: tuple[int, int] | None = None) -> DataFrame:
+    """The red marks of an annotation, closed twice and opened once; an annotation
+    that is not of the frame's size is an error, if that is given."""
+    if size is not None:
+        px = px.withColumn("x", F.when((F.max("x").over(Window.partitionBy("video_id")) == size[0] - 1) & (F.max("y").over(Window.partitionBy("video_id")) == size[1] - 1), F.col("x")).otherwise(F.raise_error(F.lit(f"the annotation is not {size[0]} x {size[1]}")).cast("int")))
     red, kernel = px.where(is_red(F.col("r"), F.col("g"), F.col("b"))).select("video_id", "x", "y"), ellipse(5)
-    return opened(closed(closed(red, kernel), kernel), kernel)
+    return opened(closed(red, kernel, size, 2), kernel, size)
 
 
 def marked_region(spark: SparkSession, mask_path: str = "", annotation_path: str = "", size: tuple[int, int] | None = None, dilate_px: int = 0) -> DataFrame | None:
     """A region from a mask, or else an annotation, widened."""
     if not mask_path and not annotation_path:
         return None
-    px = mask(spark, mask_path, size) if mask_path else annotation_mask(image_pixels(spark, annotation_path))
+    px = mask(spark, mask_path, size) if mask_path else annotation_mask(image_pixels(spark, annotation_path), size)
     return dilate(px, ellipse(2 * dilate_px + 1), size) if dilate_px > 0 else px
 
 

@@ -7,15 +7,22 @@ batch holds. Points of a new track may be two frames older than the batch."""
 
 from __future__ import annotations
 
+import math
 import pickle
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flightloom.operators.tracking import NAMES, POINT_DDL, make_tracker, walk
+from flightloom.operators.windows import Gate
+
+#: State of a track or pixel that nothing has come for in so long is dropped.
+IDLE_MS = 3_600_000
 
 
 def track_stream(detections: DataFrame, kind: str = "kalman", **options) -> DataFrame:
@@ -36,35 +43,111 @@ def track_stream(detections: DataFrame, kind: str = "kalman", **options) -> Data
 
 
 def gate_stream(counts: DataFrame, min_detections: int, window: int, trigger: int, cooldown: int) -> DataFrame:
-    """The burst gate on a stream of (video_id, frame, n): video_id, frame, keep."""
+    """The burst gate on a stream of (video_id, frame, n): video_id, frame, keep. Late frames are dropped."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hits, until = pickle.loads(state.get[0]) if state.exists else ([], -1)
-        out = []
-        for r in pd.concat(list(pdfs)).sort_values("frame").itertuples():
-            hits = [h for h in (*hits, *([r.frame] if r.n >= min_detections else [])) if h > r.frame - window]
-            cooling, fires = r.frame <= until, len(hits) >= trigger
-            until = r.frame + cooldown - 1 if fires and not cooling else until
-            out.append((key[0], int(r.frame), not cooling and not fires))
-        state.update((pickle.dumps((hits, until)),))
+        gate, last = pickle.loads(state.get[0]) if state.exists else (Gate(min_detections, window, trigger, cooldown), -1)
+        pdf = pd.concat(list(pdfs)).sort_values("frame")
+        pdf = pdf[pdf.frame > last]
+        out = [(key[0], int(r.frame), gate.step(int(r.frame), int(r.n))) for r in pdf.itertuples()]
+        state.update((pickle.dumps((gate, max([last, *(o[1] for o in out)]))),))
         yield pd.DataFrame(out, columns=["video_id", "frame", "keep"])
 
     return counts.groupBy("video_id").applyInPandasWithState(step, "video_id string, frame long, keep boolean", "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def trail_energy_stream(points: DataFrame, decay: float = 0.9) -> DataFrame:
-    """Decayed weight of each pixel a track point fell on: video_id, x, y, frame, energy, at each batch."""
+def coherent(history: deque, min_points: int = 3, min_path: float = 14.0, min_displacement: float = 10.0, min_straightness: float = 0.2, radius: float = 14.0, min_segment: float = 4.0) -> bool:
+    """Whether the points (x, y) look like flight; as ``windows.coherent_trails`` has it."""
+    xy = list(history)
+    steps = [math.dist(a, b) for a, b in zip(xy, xy[1:])]
+    path, away = sum(steps), math.dist(xy[0], xy[-1])
+    span = math.hypot(*(max(v) - min(v) for v in zip(*xy)))
+    straight = away / path if path > 1e-6 else 1.0
+    return len(xy) >= min_points and path >= min_path and away >= min_displacement and straight >= min_straightness and span >= radius and max(steps, default=0.0) >= min_segment
+
+
+def trail_stream(points: DataFrame, history: int = 12, max_gap: int = 2, idle_ms: int = IDLE_MS, **limits) -> DataFrame:
+    """video_id, track_id, frame, coherent on a stream of track points. A track's
+    state is its last ``history`` points since a gap of over ``max_gap`` frames; it is
+    evicted when nothing comes for ``idle_ms``."""
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, kept = pickle.loads(state.get[0]) if state.exists else (None, deque(maxlen=history))
+        out = []
+        for r in pd.concat(list(pdfs)).sort_values("frame").itertuples():
+            if last is not None and r.frame <= last:  # late
+                continue
+            if last is not None and r.frame - last > max_gap:
+                kept.clear()
+            kept.append((float(r.x), float(r.y)))
+            last = int(r.frame)
+            out.append((*key, last, coherent(kept, **limits)))
+        state.update((pickle.dumps((last, kept)),))
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["video_id", "track_id", "frame", "coherent"])
+
+    return points.groupBy("video_id", "track_id").applyInPandasWithState(step, "video_id string, track_id long, frame long, coherent boolean", "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def trail_energy_stream(points: DataFrame, decay: float = 0.9, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Decayed weight of each pixel a track point fell on: video_id, x, y, frame,
+    energy, at each batch. A pixel that nothing meets for ``idle_ms`` is forgotten:
+    its weight has decayed."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         energy, last = state.get if state.exists else (0.0, None)
         for f in sorted(f for pdf in pdfs for f in pdf.frame):
             energy = energy * decay ** (f - last) + 1.0 if last is not None else 1.0
             last = int(f)
         state.update((float(energy), last))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(*key, last, float(energy))], columns=["video_id", "x", "y", "frame", "energy"])
 
     px = points.select("video_id", F.rint("x").cast("int").alias("x"), F.rint("y").cast("int").alias("y"), "frame")
-    return px.groupBy("video_id", "x", "y").applyInPandasWithState(step, "video_id string, x int, y int, frame long, energy double", "energy double, frame long", "update", GroupStateTimeout.NoTimeout)
+    return px.groupBy("video_id", "x", "y").applyInPandasWithState(step, "video_id string, x int, y int, frame long, energy double", "energy double, frame long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def motion_heat_stream(frames: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """Sum of each pixel's changes above a threshold on a stream of (video_id, frame,
+    x, y, v): video_id, x, y, frame (the last), energy, at each batch. The state of a
+    pixel is its last value and its sum; late frames are dropped."""
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, value, energy = state.get if state.exists else (-1, None, 0.0)
+        pdf = pd.concat(list(pdfs)).sort_values("frame")
+        for f, v in zip(pdf.frame, pdf.v):
+            if f <= last:
+                continue
+            change = abs(v - value) if value is not None else 0.0
+            energy += change if change > threshold else 0.0
+            last, value = int(f), float(v)
+        state.update((last, value, float(energy)))
+        yield pd.DataFrame([(*key, last, float(energy))], columns=["video_id", "x", "y", "frame", "energy"])
+
+    return frames.groupBy("video_id", "x", "y").applyInPandasWithState(step, "video_id string, x int, y int, frame long, energy double", "frame long, v double, energy double", "update", GroupStateTimeout.NoTimeout)
+
+
+class Progress(StreamingQueryListener):
+    """Listener that keeps, for each batch of any query, its rows and times by phase."""
+
+    def __init__(self):
+        self.batches: list[dict] = []
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.batches.append({"name": p.name, "batch": p.batchId, "rows": p.numInputRows, **{f"{k}_ms": v for k, v in p.durationMs.items()}})
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
 
 
 def counts_stream(events: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -6,9 +6,11 @@ import duckdb
 import numpy as np
 import pytest
 
-from flightloom.plans import catalog
+from flightloom.plans import queries as catalog
 
 DATA = "/root/testdata/sf0.001"
+#: Queries that the smallest tables give no rows.
+EMPTY_AT_SMALLEST: set[str] = set()
 
 
 def plain(v):
@@ -20,7 +22,7 @@ def plain(v):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("events", "lineitem", "embeddings"):
+    for t in ("events", "lineitem", "embeddings", "nation"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return con
 
@@ -32,12 +34,14 @@ def test_oracle(spark, duck, name):
     assert columns == sorted(sql.columns)
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
     at = [sql.columns.index(c) for c in columns]
+    assert got or name in EMPTY_AT_SMALLEST
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in sql.fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).columns
+    """What SQL does not say is run all the same, and gives rows."""
+    assert catalog.QUERIES[name](spark, DATA).count() > 0
 
 
 def test_otsu_thresholds_of_every_frame(spark, tmp_path):

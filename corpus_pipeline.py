@@ -27,8 +27,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out of the texts; every document stays."""
-    return suffix_dedup.dedup_rows(spark, docs)
+    """Passages of some 50 words that repeat are cut out of the texts; every document stays."""
+    return suffix_dedup.dedup_rows(spark, docs, suffix_dedup.PASSAGE, suffix_dedup.PASSAGE_GRAM)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -475,5 +475,5 @@ def _(spark, d):
 @query("trail_coherent_stream", base.SQL["trail_coherent_points"])
 def _(spark, d):
     p = points(spark, d).select("video_id", "track_id", "frame", "x", "y")
-    return gathered(spark, stateful.trail_stream(in_batches(spark, p, "frame"), max_gap=12))
+    return gathered(spark, stateful.trail_stream(in_batches(spark, p, "frame"), max_gap=12, idle_ms=None))
 

@@ -42,6 +42,10 @@ def track_stream(detections: DataFrame, kind: str = "kalman", **options) -> Data
     return detections.groupBy("video_id").applyInPandasWithState(step, POINT_DDL, "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+
 def gate_stream(counts: DataFrame, min_detections: int, window: int, trigger: int, cooldown: int) -> DataFrame:
     """The burst gate on a stream of (video_id, frame, n): video_id, frame, keep. Late frames are dropped."""
 
@@ -66,10 +70,11 @@ def coherent(history: deque, min_points: int = 3, min_path: float = 14.0, min_di
     return len(xy) >= min_points and path >= min_path and away >= min_displacement and straight >= min_straightness and span >= radius and max(steps, default=0.0) >= min_segment
 
 
-def trail_stream(points: DataFrame, history: int = 12, max_gap: int = 2, idle_ms: int = IDLE_MS, **limits) -> DataFrame:
+def trail_stream(points: DataFrame, history: int = 12, max_gap: int = 2, idle_ms: int | None = IDLE_MS, **limits) -> DataFrame:
     """video_id, track_id, frame, coherent on a stream of track points. A track's
     state is its last ``history`` points since a gap of over ``max_gap`` frames; it is
-    evicted when nothing comes for ``idle_ms``."""
+    evicted when nothing comes for ``idle_ms`` (None: never, for a run that ends
+    with its input, as a query with timeouts goes on)."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -86,13 +91,14 @@ def trail_stream(points: DataFrame, history: int = 12, max_gap: int = 2, idle_ms
             last = int(r.frame)
             out.append((*key, last, coherent(kept, **limits)))
         state.update((pickle.dumps((last, kept)),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["video_id", "track_id", "frame", "coherent"])
 
-    return points.groupBy("video_id", "track_id").applyInPandasWithState(step, "video_id string, track_id long, frame long, coherent boolean", "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return points.groupBy("video_id", "track_id").applyInPandasWithState(step, "video_id string, track_id long, frame long, coherent boolean", "state binary", "append", _timeout(idle_ms))
 
 
-def trail_energy_stream(points: DataFrame, decay: float = 0.9, idle_ms: int = IDLE_MS) -> DataFrame:
+def trail_energy_stream(points: DataFrame, decay: float = 0.9, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Decayed weight of each pixel a track point fell on: video_id, x, y, frame,
     energy, at each batch. A pixel that nothing meets for ``idle_ms`` is forgotten:
     its weight has decayed."""
@@ -106,11 +112,12 @@ def trail_energy_stream(points: DataFrame, decay: float = 0.9, idle_ms: int = ID
             energy = energy * decay ** (f - last) + 1.0 if last is not None else 1.0
             last = int(f)
         state.update((float(energy), last))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(*key, last, float(energy))], columns=["video_id", "x", "y", "frame", "energy"])
 
     px = points.select("video_id", F.rint("x").cast("int").alias("x"), F.rint("y").cast("int").alias("y"), "frame")
-    return px.groupBy("video_id", "x", "y").applyInPandasWithState(step, "video_id string, x int, y int, frame long, energy double", "energy double, frame long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return px.groupBy("video_id", "x", "y").applyInPandasWithState(step, "video_id string, x int, y int, frame long, energy double", "energy double, frame long", "update", _timeout(idle_ms))
 
 
 def motion_heat_stream(frames: DataFrame, threshold: float = 0.0) -> DataFrame:

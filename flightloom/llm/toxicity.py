@@ -5,11 +5,14 @@ labelled clean. With class prior p among the unlabelled, the risk is
 p E_P[l(f)] + max(0, E_U[l(-f)] - p E_P[l(-f)]); where the second part of a batch
 falls below zero, the step goes against its gradient (over-fitting of the
 negative part is undone). The model, in numpy, is linear over the words whose
-rate among positive texts stands out from that among unlabelled ones."""
+rate among positive texts stands out from that among unlabelled ones. The class
+prior comes from the same two samples, by the best bin: the least ratio of the
+shares of unlabelled and of positive texts above a score."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +21,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightloom.llm.bytebpe import LETTER, codepoint_classes
-from flightloom.llm.common import crc_mod, documents, out_batch, ragged, text_chunks, words_of
+from flightloom.llm.common import crc_mod, documents, forget, mapped, out_batch, ragged, saved, text_chunks, words_of
 
 DIM = 1 << 18
 #: Bounds of the fitted sample: positive texts and unlabelled ones.
 MAX_POSITIVE = 8_000
 MAX_UNLABELLED = 16_000
 #: A word is a feature from so many positive texts and so large a ratio on.
-MIN_POSITIVE, MIN_RATIO, MAX_WORDS = 3, 15.0, 256
+MIN_POSITIVE, MIN_RATIO, MAX_WORDS = 3, 10.0, 512
 EPOCHS = 40
 #: Small samples are gone through more often, for so many steps at least.
 MIN_STEPS = 1500
 BATCH = 1024
+#: Share of toxic texts that is assumed for a first fit, and where the samples are too small to tell.
+DEFAULT_PRIOR = 0.05
 RATE = 0.03
 DECAY = 1e-5
 PARTS = 1 << 20
@@ -75,15 +80,13 @@ def part_of(salt: int):
     return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(PARTS))
 
 
-def telling_words(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """The hashed words found in MIN_POSITIVE positive texts or more, and so much
-    more often there than among the unlabelled that the log-likelihood ratio of
-    the two rates reaches MIN_RATIO; the MAX_WORDS most telling of them, ascending."""
-    n_p, n_u = len(positive), len(unlabelled)
+def telling_words(k_p: np.ndarray, k_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """The hashed words found in MIN_POSITIVE of ``n_p`` positive texts or more, and
+    so much more often there than among ``n_u`` unlabelled ones that the log-likelihood
+    ratio of the two rates reaches MIN_RATIO; the MAX_WORDS most telling of them,
+    ascending. k_p, k_u: texts that hold each hashed word."""
     if not n_p or not n_u:
         return np.zeros(0, np.int64)
-    k_p = np.bincount(np.concatenate(positive), minlength=DIM).astype(float)
-    k_u = np.bincount(np.concatenate(unlabelled), minlength=DIM).astype(float)
     rate = (k_p + k_u) / (n_p + n_u)
     part = lambda k, n, r: k * np.log(np.maximum(k, 1e-9) / np.maximum(n * r, 1e-9)) + (n - k) * np.log(np.maximum(n - k, 1e-9) / np.maximum(n * (1 - r), 1e-9))
     ratio = np.where((k_p >= MIN_POSITIVE) & (k_p / n_p > k_u / n_u), 2 * (part(k_p, n_p, rate) + part(k_u, n_u, rate)), 0)
@@ -99,7 +102,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
     theta[-1] = np.log(prior / (1 - prior))
     if not len(positive) or not len(unlabelled):
         return theta[:-1], float(theta[-1])
-    one = lambda x: np.concatenate([x.astype(np.float64), np.ones((len(x), 1))], axis=1)
+    one = lambda x: np.concatenate([x.astype(np.float32), np.ones((len(x), 1), np.float32)], axis=1)
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     xp_all, xu_all = one(positive), one(unlabelled)
     m, v, t = np.zeros(dim + 1), np.zeros(dim + 1), 0
@@ -121,39 +124,67 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
     return theta[:-1], float(theta[-1])
 
 
-def present(rows: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), len(words)), np.float32)
-    for i, row in enumerate(rows):
-        at = np.searchsorted(words, row)
-        out[i, at[(at < len(words)) & (words[np.minimum(at, max(0, len(words) - 1))] == row)] if len(words) else []] = 1
-    return out
+def best_bin_prior(f_positive: np.ndarray, f_unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled: the least, over scores, of the ratio of
+    the two shares above it, each widened by its sampling error; so no text labelled
+    clean is needed. DEFAULT_PRIOR where there are too few texts to tell."""
+    n_p, n_u = len(f_positive), len(f_unlabelled)
+    if n_p < 20 or n_u < 20:
+        return DEFAULT_PRIOR
+    edges = np.unique(f_positive)
+    p = 1 - np.searchsorted(np.sort(f_positive), edges) / n_p
+    u = 1 - np.searchsorted(np.sort(f_unlabelled), edges) / n_u
+    p, u = p[p >= 0.1], u[p >= 0.1]
+    most = (u + np.sqrt((u + 1 / n_u) / n_u)) / (p - np.sqrt(p * (1 - p) / n_p))
+    best = int(np.argmin(most))
+    return float(np.clip(u[best] / p[best], 0.001, 0.9))
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """0/1 of the chosen words, packed, for each text."""
+    schema = pa.schema([("positive", pa.bool_()), ("x", pa.binary())])
+    for batch in batches:
+        out = []
+        for row in batch.column("features"):
+            x = np.zeros(len(words), np.uint8)
+            own = row.values.to_numpy()
+            at = np.minimum(np.searchsorted(words, own), max(0, len(words) - 1))
+            if len(words):
+                x[at[words[at] == own]] = 1
+            out.append(np.packbits(x).tobytes())
+        yield out_batch(schema, positive=batch.column("positive"), x=out)
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[np.ndarray, float, float]:
-    """(weights, bias, class prior). Labels come only from rows whose
-    crc32(doc_id as text) mod ``folds`` is not 0; unlabelled texts from the same
-    rows of docs, whatever their label. Both are hash samples of bounded
-    expected size; the prior is the positives' share of the labelled rows."""
-    taught = labels.where((crc_mod("doc_id", folds) != 0) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    n, n_pos = taught.agg(F.count("*"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
-    n_pos = n_pos or 0
-    prior = min(0.9, max(0.001, n_pos / n)) if n else 0.01
-    n_docs = docs.count()
+    """(weights, bias, class prior). The only labels used are the toxic ones, of rows
+    whose crc32(doc_id as text) mod ``folds`` is not 0; unlabelled texts are from the
+    same rows of docs, whatever their label. Both are hash samples of distinct texts, bounded in
+    expectation. Words are counted in the cluster; the driver gets DIM pairs of
+    counts and MAX_WORDS bits a sampled text."""
+    spark = docs.sparkSession
+    toxic = labels.where((crc_mod("doc_id", folds) != 0) & (F.col("toxic") == 1)).select("doc_id").distinct()
+    n_pos, n_docs = toxic.count(), docs.count()
     own = docs.where(crc_mod("doc_id", folds) != 0).select("doc_id", "text")
-    chosen = taught.where((F.col("toxic") == 1) & (part_of(1) < int(PARTS * min(1.0, MAX_POSITIVE / max(1, n_pos))))).select("doc_id").distinct().limit(2 * MAX_POSITIVE)
+    chosen = toxic.where(part_of(1) < int(PARTS * min(1.0, MAX_POSITIVE / max(1, n_pos)))).limit(2 * MAX_POSITIVE)
     pos = own.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("positive", F.lit(True))
     unl = own.where(part_of(2) < int(PARTS * min(1.0, MAX_UNLABELLED / max(1, n_docs * (folds - 1) / folds)))).withColumn("positive", F.lit(False))
-    rows = pos.unionByName(unl).select("positive", "text").mapInArrow(_features, "positive boolean, features array<int>").toArrow()
-    flags = rows["positive"].to_numpy()
-    lists = rows["features"].combine_chunks()
-    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-    every = [values[a:b] for a, b in zip(offsets, offsets[1:])]
-    key = lambda x: (len(x), x.tobytes())  # noqa: E731  the same order of samples in every run
-    positive, unlabelled = (sorted((x for x, f in zip(every, flags) if f == kind), key=key) for kind in (True, False))
-    words = telling_words(positive, unlabelled)
-    own, b = fit_nnpu(present(positive, words), present(unlabelled, words), prior)
+    sample = pos.unionByName(unl).select("positive", "text").dropDuplicates(["positive", "text"])
+    rows = saved(spark, sample.transform(mapped, _features, "positive boolean, features array<int>"), "features")
+    n = dict(rows.groupBy("positive").count().collect())
+    seen = rows.select("positive", F.explode("features").alias("f")).groupBy("f").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).toArrow()
+    k_p, k_u = (np.bincount(seen["f"].to_numpy(), weights=seen[c].to_numpy(), minlength=DIM) for c in ("p", "u"))
+    words = telling_words(k_p, k_u, n.get(True, 0), n.get(False, 0))
+    bits = rows.transform(mapped, partial(_chosen, words=words), "positive boolean, x binary").toArrow()
+    forget(spark, rows)
+    bits = bits.sort_by([("positive", "ascending"), ("x", "ascending")])  # the same order of samples in every run
+    x = np.unpackbits(np.frombuffer(b"".join(bits["x"].to_pylist()), np.uint8).reshape(len(bits), -1), axis=1, count=len(words)) if len(words) else np.zeros((len(bits), 0), np.uint8)
+    flags = bits["positive"].to_numpy()
+    positive, unlabelled = x[flags], x[~flags]
+    rough = fit_nnpu(positive[::2], unlabelled[::2], DEFAULT_PRIOR)
+    prior = best_bin_prior(*(half.astype(float) @ rough[0] for half in (positive[1::2], unlabelled[1::2])))
+    own_w, b = fit_nnpu(positive, unlabelled, prior)
     w = np.zeros(DIM, np.float32)
-    w[words] = own
+    w[words] = own_w
     return w, b, prior
 
 
@@ -171,7 +202,7 @@ def score(docs: DataFrame, w: np.ndarray, b: float) -> DataFrame:
             f = run_sum[offsets[1:]] - run_sum[offsets[:-1]] + bias
             yield out_batch(schema, doc_id=chunk.column("doc_id"), score=1 / (1 + np.exp(-np.clip(f, -30, 30))))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").transform(mapped, run, "doc_id long, score double")
 
 
 def op5_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -23,14 +23,12 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from flightloom.llm.common import documents, filled, out_batch, ragged, text_chunks
+from flightloom.llm.common import documents, filled, mapped, out_batch, ragged, text_chunks
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 200_000
 #: Pieces longer than this are merged with a heap.
 LONG_PIECE = 256
 BLOCK = 128
-#: White space of the pattern's \s, fixed values of the Unicode property.
-WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, OTHER, SPACE_THEN, BLANK, BLANK_LAST, QUOTE1, QUOTE2, RESET = range(9)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_BLANKS, AFTER_SPACE, TAIL1, TAIL2 = range(8)
 
@@ -75,8 +73,15 @@ def automaton():
 
 @lru_cache(maxsize=1)
 def codepoint_classes() -> np.ndarray:
-    table = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], dtype=np.uint8)
-    table[WHITE_SPACE] = BLANK
+    """Class of each code point as the public tokenizer library sees it: it is asked once for all
+    letters and all numbers, as its Unicode version may differ from Python's."""
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    table = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s")):
+        probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        table[np.frombuffer(bytes(probe.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)] = kind
     return table
 
 
@@ -137,7 +142,7 @@ class ByteEncoder:
         self.sizes = np.array([len(v) for v in values], dtype=np.int64)
         self.values = np.frombuffer(b"".join(values), np.uint8)
         self.at = np.cumsum(self.sizes) - self.sizes
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: adjacent parts merge in order of rank, leftmost first."""
@@ -213,10 +218,10 @@ class ByteEncoder:
         for piece in coded.dictionary.to_pylist():
             ids = known.get(piece)
             if ids is None:
-                ids = known[piece] = np.array(self.merge(piece), dtype=np.uint32)
+                ids = known[piece] = array("I", self.merge(piece)).tobytes()
             found.append(ids)
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
         codes, text_of_cut = codes[own], text_of_cut[own]
         per_piece = lens[codes]
         ids = flat[ragged(per_piece, (np.cumsum(lens) - lens)[codes])]
@@ -265,12 +270,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, byte_offsets (the first byte of each id in its text) for
     every row of docs. A null text is as an empty one (no ids); repeated rows,
     null doc_ids and other columns need no care: rows are independent."""
-    return docs.select("doc_id", "text").mapInArrow(partial(_encode, path=path), "doc_id long, ids array<int>, byte_offsets array<int>")
+    return docs.select("doc_id", "text").transform(mapped, partial(_encode, path=path), "doc_id long, ids array<int>, byte_offsets array<int>")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Ids of every whole text and the bytes decoded from them, as digests; nulls as in ``encode``."""
-    return docs.select("doc_id", "text").mapInArrow(partial(_digest, path=path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").transform(mapped, partial(_digest, path=path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,14 +15,13 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import documents, saved, text_chunks
+from flightloom.llm.common import documents, mapped, saved, text_chunks
 from flightloom.llm.wordbpe import encoder
 
 WINDOW = 4096
@@ -118,24 +117,23 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id:
     yield packer.batch()
 
 
-def _merge_group(pdf: pd.DataFrame, level: int, last: bool, window: int, n_open: int) -> pd.DataFrame:
-    group = int(pdf["grp"].iloc[0])
-    packer = Packer(window, n_open, level, group)
-    pdf = pdf.sort_values(["length", "part", "doc_id", "start"], ascending=[False, True, True, True], kind="stable")
-    for doc_id, start, total, ids in zip(pdf["doc_id"], pdf["start"], pdf["doc_tokens"], pdf["ids"]):
-        packer.add(None if pd.isna(doc_id) else int(doc_id), int(start), np.frombuffer(ids, "<u4"), int(total))
+def _merge_group(left: pa.Table, level: int, last: bool, window: int, n_open: int) -> pa.Table:
+    packer = Packer(window, n_open, level, left["grp"][0].as_py())
+    left = left.sort_by([("length", "descending"), *((c, "ascending") for c in ("part", "doc_id", "start", "ids"))])
+    for doc_id, start, total, ids in zip(*(left[c].to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids"))):
+        packer.add(doc_id, start, np.frombuffer(ids, "<u4"), total)
     packer.finish() if last else packer.close()
-    return packer.batch().to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+    return pa.Table.from_batches([packer.batch()])
 
 
 def _merger(level: int, last: bool, window: int, n_open: int):
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _merge_group(pdf, level, last, window, n_open)
+    def merge(left: pa.Table) -> pa.Table:
+        return _merge_group(left, level, last, window, n_open)
 
     return merge
 
 
-def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, n_open: int = OPEN_WINDOWS) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, n_open: int = OPEN_WINDOWS, fan_in: int = FAN_IN) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. Every id of every row of docs lies in one piece and
     every sequence is full (or, a few at the end, a power of two), so there is
@@ -144,7 +142,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2,
 
     The tables of a level go to the shared folder: emitted rows are small, ids
     are kept only for the windows left open (n_open for each task)."""
-    found = docs.select("doc_id", "text").mapInArrow(partial(_pack_partition, vocabulary=vocabulary, end_id=end_id, window=window, n_open=n_open), _DDL)
+    found = docs.select("doc_id", "text").transform(mapped, partial(_pack_partition, vocabulary=vocabulary, end_id=end_id, window=window, n_open=n_open), _DDL)
     table = saved(spark, found, "pack")
     columns = [c for c in table.columns if c not in ("part", "ids")]
     done = table.where("sequence_id is not null").select(columns)
@@ -155,9 +153,9 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2,
         if top is None:
             return done
         level += 1
-        last = top < FAN_IN
+        last = top < fan_in
         merge = _merger(level, last, window, n_open)
-        merged = left.withColumn("grp", F.floor(F.col("part") / FAN_IN)).groupBy("grp").applyInPandas(merge, _DDL)
+        merged = left.withColumn("grp", F.floor(F.col("part") / fan_in)).groupBy("grp").applyInArrow(merge, _DDL)
         table = saved(spark, merged, f"pack{level}")
         done = done.unionByName(table.where("sequence_id is not null").select(columns))
         if last:

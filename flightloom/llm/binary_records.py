@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import documents, out_batch, scratch_path, text_chunks
+from flightloom.llm.common import documents, mapped, out_batch, scratch_path, text_chunks
 from flightloom.llm.wordbpe import encoder
 
 _HEAD = struct.Struct("<QI")
@@ -79,6 +79,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, end_
         if out is None:
             out, index = fs.open_output_stream(f"{where}.rec"), fs.open_output_stream(f"{where}.idx")
         ids, offsets = enc.encode(chunk.column("text"), end_id)
+        if len(ids) and int(ids.max()) >> (8 * width):
+            raise ValueError(f"id {ids.max()} does not fit in {width} bytes")
         rows = np.zeros(chunk.num_rows, INDEX_DTYPE)
         parts = []
         for i, doc_id in enumerate(chunk.column("doc_id").to_pylist()):
@@ -99,15 +101,18 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2
     """Writes the shards and returns one dict for each (shard, path, records,
     tokens, bytes), in order; the list grows with the number of tasks only.
 
-    One range shuffle on doc_id gives every task a contiguous range; ties of
-    doc_id are in the order of their texts, null ids come first, a null text is
-    empty. Other columns of docs are ignored. ``width`` is the bytes of an id
-    (2 or 4). No rows: no files, an empty list."""
+    One range shuffle gives every task a contiguous range of (doc_id, hash of the
+    text, row), so neither one id nor one text fills a task; ties of doc_id are in that
+    order, null ids come first, a null text is empty. Other columns of docs are
+    ignored. ``width`` is the bytes of an id (2 or 4); an id that does not fit
+    raises ValueError. No rows: no files, an empty list."""
     folder_uri = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
     fs, where = _open(folder_uri)
     fs.create_dir(where, recursive=True)
-    sorted_docs = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    stats = sorted_docs.mapInArrow(partial(_write, folder=folder_uri, vocabulary=vocabulary, end_id=end_id, width=width), "shard int, path string, records long, tokens long, bytes long").collect()
+    order = ["doc_id", "h", "n"]
+    placed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
+    sorted_docs = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    stats = sorted_docs.transform(mapped, partial(_write, folder=folder_uri, vocabulary=vocabulary, end_id=end_id, width=width), "shard int, path string, records long, tokens long, bytes long").collect()
     return sorted((r.asDict() for r in stats), key=lambda r: r["shard"])
 
 
@@ -159,7 +164,7 @@ def read_records(spark: SparkSession, shards: list[dict]) -> DataFrame:
         rows.append((s["shard"], s["path"], base))
         base += s["tokens"]
     todo = spark.createDataFrame(rows, "shard int, path string, base long")
-    return todo.repartition(max(1, len(rows)), F.col("shard")).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, record_offset long") if rows else spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, record_offset long")
+    return todo.repartition(max(1, len(rows)), F.col("shard")).transform(mapped, _read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, record_offset long") if rows else spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, record_offset long")
 
 
 def op2_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:

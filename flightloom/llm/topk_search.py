@@ -7,10 +7,12 @@ every term's largest and smallest weight in it. A query's bound for a block is
 the sum over terms of the larger product with the two. Blocks are scored in
 order of their bounds until those fall below the k-th score so far.
 
-The work is a grid: batches of queries by segments of blocks, each cell a row
-of a join on the segment. A first pass scores each query against the block
-that it lies in itself, which gives its k-th score to start with; cells whose
-bound stays below that for all their queries are never made."""
+The work is a grid: batches of queries by segments of blocks. A first pass scores
+each query against the segment that it lies in itself, which gives its k-th score
+to start with. Through the grid go only ids, the least k-th score of a batch and the
+largest and smallest value of each term in a batch and a segment; cells whose
+bound stays below that score end there. Those left are searched by segment, whose
+vectors come once for so many batches."""
 
 from __future__ import annotations
 
@@ -24,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flightloom.llm.common import saved
+from flightloom.llm.common import mapped, out_batch, saved
 
 SCALE = 256
 BLOCK = 128
 SEGMENT = 4096
 QUERY_BATCH = 256
+#: Segments whose bounds a batch meets at once; batches that are searched in one segment at once.
+PAGE, SHARE = 256, 64
 PIVOTS = 128
 #: Components are stored in 32 bits; scores are 64-bit sums. ``checked`` fails where either would overflow.
 LIMIT = 1 << 31
@@ -84,12 +88,12 @@ def _orders(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, dim: int) ->
 
 
 def segments(spark: SparkSession, vectors: DataFrame, dim: int) -> DataFrame:
-    """seg, ids, data (int32 [vector, dim]), high and low (int32 [block, dim]) of
-    runs of SEGMENT vectors of each task, in the order of similarity."""
+    """seg, ids, data (int32 [vector, dim]), high and low (int32 [block, dim]), top and
+    bottom (int32 [dim]) of runs of SEGMENT vectors of each task, in the order of similarity."""
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("v").toArrow()["v"].combine_chunks()
     pivots = matrix(sample, dim) if len(sample) else np.zeros((0, dim))
     pivots = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-9)
-    placed = vectors.mapInArrow(partial(_orders, pivots=pivots, dim=dim), "vec_id long, v array<int>, near int")
+    placed = vectors.transform(mapped, partial(_orders, pivots=pivots, dim=dim), "vec_id long, v array<int>, near int")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -103,7 +107,7 @@ def segments(spark: SparkSession, vectors: DataFrame, dim: int) -> DataFrame:
             ids, rows, held = [every[take:]], [x[take:]], held - take
             every, x = every[:take], x[:take]
             first = np.arange(0, len(x), BLOCK)
-            out = pa.RecordBatch.from_pydict({"seg": [(part << 32) | n], "ids": [every.astype("<i8").tobytes()], "data": [x.tobytes()], "high": [np.maximum.reduceat(x, first).tobytes()], "low": [np.minimum.reduceat(x, first).tobytes()]}, schema=pa.schema([("seg", pa.int64()), ("ids", pa.binary()), ("data", pa.binary()), ("high", pa.binary()), ("low", pa.binary())]))
+            out = pa.RecordBatch.from_pydict({"seg": [(part << 32) | n], "ids": [every.astype("<i8").tobytes()], "data": [x.tobytes()], "high": [np.maximum.reduceat(x, first).tobytes()], "low": [np.minimum.reduceat(x, first).tobytes()], "top": [x.max(axis=0).tobytes()], "bottom": [x.min(axis=0).tobytes()]}, schema=pa.schema([("seg", pa.int64()), *((c, pa.binary()) for c in ("ids", "data", "high", "low", "top", "bottom"))]))
             n += 1
             return out
 
@@ -118,7 +122,7 @@ def segments(spark: SparkSession, vectors: DataFrame, dim: int) -> DataFrame:
             yield made(held)
 
     ordered = placed.repartitionByRange("near", "vec_id").sortWithinPartitions("near", "vec_id")
-    return saved(spark, ordered.mapInArrow(build, "seg long, ids binary, data binary, high binary, low binary"), "segments")
+    return saved(spark, ordered.transform(mapped, build, "seg long, ids binary, data binary, high binary, low binary, top binary, bottom binary"), "segments")
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -174,9 +178,12 @@ def _blocks(row: dict, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return np.frombuffer(row["ids"], "<i8"), *(np.frombuffer(row[c], np.int32).reshape(-1, dim).astype(np.float64) for c in ("data", "high", "low"))
 
 
+_QUERIES = "batch string, q_ids binary, q binary, floor binary, top binary, bottom binary, least double"
+
+
 def _own(batches: Iterator[pa.RecordBatch], dim: int, modulus: int, k: int) -> Iterator[pa.RecordBatch]:
     """Queries of each segment, in batches, with the k-th score within their own segment."""
-    schema = pa.schema([("batch", pa.string()), ("q_ids", pa.binary()), ("q", pa.binary()), ("floor", pa.binary())])
+    schema = pa.schema([("batch", pa.string()), *((c, pa.binary()) for c in ("q_ids", "q", "floor", "top", "bottom")), ("least", pa.float64())])
     for batch in batches:
         for row in batch.to_pylist():
             ids, data, high, low = _blocks(row, dim)
@@ -191,29 +198,37 @@ def _own(batches: Iterator[pa.RecordBatch], dim: int, modulus: int, k: int) -> I
                 for i, (s, n) in zip(kth.index, kth.to_numpy()):
                     if n == k and (ids[part] == i).sum() == 1:
                         floor[place[i]] = s
-                yield pa.RecordBatch.from_pydict({"batch": [f"{row['seg']}-{a}"], "q_ids": [ids[part].astype("<i8").tobytes()], "q": [data[part].astype(np.int32).tobytes()], "floor": [floor.tobytes()]}, schema=schema)
+                q = data[part].astype(np.int32)
+                yield out_batch(schema, batch=[f"{row['seg']}-{a}"], q_ids=[ids[part].astype("<i8").tobytes()], q=[q.tobytes()], floor=[floor.tobytes()], top=[q.max(axis=0).tobytes()], bottom=[q.min(axis=0).tobytes()], least=[float(floor.min())])
 
 
-def _reach(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
-    """Cells that may hold a result: batch, seg."""
+def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells that may hold a result: batch, seg. No product of a query and a vector
+    exceeds, in a term, the largest of the four products of both ends' values."""
+    schema = pa.schema([("batch", pa.string()), ("seg", pa.int64())])
+    whole = lambda x: np.frombuffer(x, np.int32).astype(np.float64)
     for batch in batches:
-        rows = [(r["batch"], r["seg"]) for r in batch.to_pylist() if _reaches(r, dim)]
-        yield pa.RecordBatch.from_pydict({"batch": [r[0] for r in rows], "seg": [r[1] for r in rows]}, schema=pa.schema([("batch", pa.string()), ("seg", pa.int64())]))
+        for r in batch.to_pylist():
+            segs = r["page"]
+            ends = [np.stack([whole(s[c]) for s in segs]) for c in ("top", "bottom")]
+            four = np.stack([whole(r[c]) * e for c in ("top", "bottom") for e in ends])
+            # with room for rounding where doubles are not exact
+            bound = four.max(axis=0).sum(axis=1) + (four.shape[2] + 4) * 2.0**-51 * np.abs(four).max(axis=0).sum(axis=1)
+            fit = [s["seg"] for s, b in zip(segs, bound) if b >= r["least"]]
+            yield out_batch(schema, batch=[r["batch"]] * len(fit), seg=fit)
 
 
-def _reaches(r: dict, dim: int) -> bool:
-    q, high, low = (np.frombuffer(r[c], np.int32).reshape(-1, dim).astype(np.float64) for c in ("q", "high", "low"))
-    bounds = block_bounds(q, high, low)
-    return bool((bounds.max(axis=1) >= np.frombuffer(r["floor"], np.float64)).any())
+def _searcher(dim: int, k: int):
+    def search(cells: pa.Table, segment: pa.Table) -> pa.Table:
+        found = []
+        for s in segment.to_pylist():  # one
+            blocks = _blocks(s, dim)
+            for r in cells.to_pylist():
+                q_ids, q = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q"], np.int32).reshape(-1, dim).astype(np.float64)
+                found += search_cell(q_ids, q, np.frombuffer(r["floor"], np.float64), *blocks, k)[0]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], [], []))], schema=_CELL)
 
-
-def _search(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):  # one cell at a time: memory of a segment and a batch of queries
-            r = batch.slice(i, 1).to_pylist()[0]
-            q_ids, q = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q"], np.int32).reshape(-1, dim).astype(np.float64)
-            found, _ = search_cell(q_ids, q, np.frombuffer(r["floor"], np.float64), *_blocks(r, dim), k)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], [], []))], schema=_CELL)
+    return search
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, modulus: int = 50, k: int = 5) -> DataFrame:
@@ -233,14 +248,16 @@ def top_k(spark: SparkSession, vectors: DataFrame, modulus: int = 50, k: int = 5
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim, whole = checked(dim, peak or 0.0), whole.withColumn("v", F.col("v").cast("array<int>"))
     segs = segments(spark, whole, dim)
-    queries = saved(spark, segs.mapInArrow(partial(_own, dim=dim, modulus=modulus, k=k), "batch string, q_ids binary, q binary, floor binary"), "queries")
-    # the grid: each batch once for every segment; small rows first (bounds), whole segments only where a bound reaches
-    n_parts = max(1, segs.count())
-    places = segs.select("seg", F.pmod(F.hash("seg"), F.lit(n_parts)).cast("int").alias("place"))
-    bounds = segs.select("seg", "high", "low").join(places, "seg")
-    spread = queries.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-    cells = spread.join(bounds, "place").select("batch", "q", "floor", "seg", "high", "low").mapInArrow(partial(_reach, dim=dim), "batch string, seg long")
-    found = cells.join(queries, "batch").join(segs, "seg").mapInArrow(partial(_search, dim=dim, k=k), "query_id long, vec_id long, score long")
+    queries = saved(spark, segs.transform(mapped, partial(_own, dim=dim, modulus=modulus, k=k), _QUERIES), "queries")
+    n_pages, n_shares = -(-segs.count() // PAGE), max(1, -(-queries.count() // SHARE))
+    pages = segs.select(F.pmod(F.xxhash64("seg"), F.lit(n_pages)).alias("place"), F.struct("seg", "top", "bottom").alias("s")).groupBy("place").agg(F.collect_list("s").alias("page"))  # about PAGE small rows
+    spread = queries.select("batch", "top", "bottom", "least", F.explode(F.sequence(F.lit(0), F.lit(n_pages - 1)).cast("array<bigint>")).alias("place"))
+    cells = saved(spark, spread.join(pages, "place").select("batch", "top", "bottom", "least", "page").transform(mapped, _reach, "batch string, seg long"), "cells")
+    placed = cells.withColumn("share", F.pmod(F.xxhash64("batch"), F.lit(n_shares)))
+    asked = placed.join(queries.select("batch", "q_ids", "q", "floor"), "batch")
+    held = segs.select("seg", "ids", "data", "high", "low").join(placed.select("seg", "share").distinct(), "seg")
+    asked, held = asked.toDF(*asked.columns), held.toDF(*held.columns)
+    found = asked.groupBy("seg", "share").cogroup(held.groupBy("seg", "share")).applyInArrow(_searcher(dim, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -2,7 +2,7 @@
 
 Every hashed token has a sparse ternary index vector; a token's context vector
 is the sum of the index vectors of its neighbours over the whole corpus, made
-in one pass with partial sums a task. A document pools its tokens' vectors (mean
+in one pass with partial sums a task (whole numbers in doubles: exact). A document pools its tokens' vectors (mean
 and spread); a two-layer network in numpy, its output divided by a temperature
 fitted on held-back training rows, gives the probability of good quality."""
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightloom.llm.bytebpe import codepoint_classes
-from flightloom.llm.common import crc_mod, documents, out_batch, ragged, text_chunks, words_of
+from flightloom.llm.common import crc_mod, documents, mapped, out_batch, ragged, text_chunks, words_of
 
 BUCKETS = 1 << 14
 DIM = 64
@@ -91,15 +91,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     total += np.bincount(x * DIM + place[y, k], weights=sign[y, k], minlength=BUCKETS * DIM)
     rows = total.reshape(BUCKETS, DIM)
     at = np.flatnonzero(np.abs(rows).sum(axis=1)).astype(np.int32)
-    schema = pa.schema([("bucket", pa.int32()), *((f"v{i}", pa.float32()) for i in range(DIM))])
-    yield out_batch(schema, bucket=at, **{f"v{i}": rows[at, i].astype(np.float32) for i in range(DIM)})
+    schema = pa.schema([("bucket", pa.int32()), *((f"v{i}", pa.float64()) for i in range(DIM))])
+    yield out_batch(schema, bucket=at, **{f"v{i}": rows[at, i] for i in range(DIM)})
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit context vectors [bucket, DIM] from all texts; the common direction
     is taken off. A task sends BUCKETS rows at most, the driver gets BUCKETS."""
-    ddl = "bucket int, " + ", ".join(f"v{i} float" for i in range(DIM))
-    rows = docs.where("text is not null").select("text").mapInArrow(_contexts, ddl).groupBy("bucket").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM))).toArrow()
+    ddl = "bucket int, " + ", ".join(f"v{i} double" for i in range(DIM))
+    rows = docs.where("text is not null").select("text").transform(mapped, _contexts, ddl).groupBy("bucket").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM))).toArrow()
     out = np.zeros((BUCKETS, DIM))
     if rows.num_rows:
         at = rows["bucket"].to_numpy()
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, folds: int = 3,
             x = pooled(chunk.column("text"), shared.value)
             yield out_batch(schema, doc_id=chunk.column("doc_id"), quality=chunk.column("quality"), held=chunk.column("held"), x=[r.tobytes() for r in x])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, quality int, held boolean, x binary").toArrow().sort_by("doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").transform(mapped, run, "doc_id long, quality int, held boolean, x binary").toArrow().sort_by("doc_id")
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, 2 * DIM + 3).astype(float)
     return Network(x, rows["quality"].to_numpy().astype(float), rows["held"].to_numpy().astype(bool))
 
@@ -211,7 +211,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
         for chunk in text_chunks(batches):
             yield out_batch(schema, doc_id=chunk.column("doc_id"), score=net.probabilities(pooled(chunk.column("text"), v).astype(float)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").transform(mapped, run, "doc_id long, score double")
 
 
 def op6_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightloom.llm.bytebpe import LETTER, codepoint_classes
-from flightloom.llm.common import crc_mod, documents, kept_rows, out_batch, text_chunks, words_of
+from flightloom.llm.common import crc_mod, documents, kept_rows, mapped, out_batch, text_chunks, words_of
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.05
 ITERATIONS = 12
+#: Languages of one model at most: it is held by the driver and each worker, a quarter MB a language.
+MAX_LANGUAGES = 1024
 #: Weight of a further language, in units of log(words + 1).
 PENALTY = 2.0
 UNDETERMINED = "und"
@@ -51,10 +53,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, offsets, vocab = words_of(chunk.column("text"))
         langs = chunk.column("lang").dictionary_encode()
         of = np.repeat(langs.indices.to_numpy(zero_copy_only=False), np.diff(offsets)).astype(np.int64)
-        times = np.bincount(of * len(vocab) + codes, minlength=len(langs.dictionary) * len(vocab)).reshape(len(langs.dictionary), len(vocab))
+        keys, n = np.unique(of * max(1, len(vocab)) + codes, return_counts=True)  # the words that a language has
+        lang_of, word_of = keys // max(1, len(vocab)), keys % max(1, len(vocab))
         bucket, word = trigrams(vocab)
         for i, lang in enumerate(langs.dictionary.to_pylist()):
-            own = np.bincount(bucket, weights=times[i][word], minlength=BUCKETS)
+            mine, times = lang_of == i, np.zeros(len(vocab))
+            times[word_of[mine]] = n[mine]
+            own = np.bincount(bucket, weights=times[word], minlength=BUCKETS)
             counts[lang] = counts[lang] + own if lang in counts else own
     for lang, own in counts.items():
         at = np.flatnonzero(own)
@@ -63,8 +68,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [bucket, language]) from columns text and
-    lang of all rows with a lang. Every task sends BUCKETS counts a language at most."""
-    rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(_count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    lang of all rows with a lang. Every task sends BUCKETS counts a language at most;
+    more than MAX_LANGUAGES languages raise ValueError."""
+    known = docs.where("lang is not null and text is not null").select("text", "lang")
+    if docs.where("lang is not null").select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: group them first")
+    rows = known.transform(mapped, _count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows["lang"].to_pylist()))
     table = np.zeros((BUCKETS, max(1, len(langs))))
     if langs:
@@ -168,7 +177,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: floa
             sets = [[(names[j], float(s)) for j, s in zip(o, sh) if j >= 0] if h else [] for o, sh, h in zip(order.tolist(), shares.tolist(), has.tolist())]
             yield out_batch(schema, doc_id=chunk.column("doc_id"), lang_pred=[s[0][0] if s else UNDETERMINED for s in sets], score=[min(1.0, s[0][1]) if s else 0.0 for s in sets], languages=[[x[0] for x in s] for s in sets], shares=[[x[1] for x in s] for s in sets])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>")
+    return docs.select("doc_id", "text").transform(mapped, run, "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
 def trained_on(docs: DataFrame, folds: int = 5) -> tuple[list[str], np.ndarray]:

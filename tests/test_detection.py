@@ -169,3 +169,25 @@ def test_scratch_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session)
+
+
+def test_run_from_frames(spark):
+    """Frames alone give background, detections and a track; with the region drivers on also a region and zones."""
+    from flightloom.plans import run
+
+    back = np.full((48, 64), 60.0)
+    back[:, 40:] = 90
+    images = []
+    for f in range(8):
+        image = back.copy()
+        image[10 + 3 * f : 18 + 3 * f, 5 + 6 * f : 13 + 6 * f] = 180
+        images.append(image)
+    frames = px(spark, images)
+    off = {"valid_region": {"enabled": False}, "cave_zones": {"enabled": False}}
+    base = {"detection": {"threshold_mode": "fixed"}, "tracking": {"tracker": "greedy"}}
+    r = run.run(base | off, (64, 48), frames=frames)
+    assert r.points.groupBy("track_id").count().collect()[0]["count"] == 8 and r.background.where("x = 60 and y = 2").first().v == 90
+    assert r.region is None and r.metrics.first().tracks_total == 1
+    on = {"cave_zones": {"method": "motion", "motion_percentile": 50.0, "dilate_px": 0}, "valid_region": {"profile_smooth_window": 3, "safety_margin": 1}}
+    r = run.run(base | on, (64, 48), raw_points=r.raw_points, frames=frames)
+    assert {s.kind for s in r.source_scores.collect()} == {"cave_zones", "valid_region"} and r.region.count() > 0 and r.zones.count() >= 1

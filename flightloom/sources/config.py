@@ -7,7 +7,7 @@ import copy
 import json
 from pathlib import Path
 
-#: The documented default of every setting that the plans use.
+#: The documented default of every setting, of those for drawings and live trails too, which no batch plan reads.
 DEFAULTS: dict[str, dict] = {
     "background": {"sample_frames": 200, "uniform_sampling": True, "context_start_sec": 0.0, "context_duration_sec": -1.0},
     "detection": {"blur_kernel": 5, "threshold_mode": "otsu", "diff_threshold": 18, "otsu_offset": -4, "adaptive_block_size": 51, "adaptive_c": -5.0, "centroid_mode": "bbox", "morph_open": 1, "morph_close": 3, "min_area": 6, "max_area": 5000, "max_global_intensity_shift": -1.0, "max_foreground_ratio": -1.0, "max_detections_per_frame": 0, "roi_x_min": -1.0, "roi_x_max": -1.0, "roi_y_min": -1.0, "roi_y_max": -1.0, "temporal_burst_min_detections": 0, "temporal_burst_window_frames": 0, "temporal_burst_trigger_frames": 0, "temporal_burst_cooldown_frames": 0},

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightloom.functions.expressions import colour, join_list
@@ -83,9 +83,46 @@ def export_svg(points: DataFrame, video_id: str, size: tuple[int, int], path: st
     Path(path).write_text(f'<svg xmlns="http://www.w3.org/2000/svg" width="{size[0]}" height="{size[1]}" viewBox="0 0 {size[0]} {size[1]}">\n{body}\n</svg>\n', encoding="utf-8")
 
 
+def _documents(rows: DataFrame, path: str) -> None:
+    rows.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def export_zones(zones: DataFrame, diagnostics: DataFrame, folder: str) -> None:
-    for name, rows in (("zones", zones), ("zone_diagnostics", diagnostics)):
-        rows.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+    _documents(zones, f"{folder}/zones")
+    _documents(diagnostics, f"{folder}/zone_diagnostics")
+
+
+def extend_diagnostics(spark: SparkSession, folder: str, more: DataFrame) -> None:
+    """Adds the columns of ``more`` (a row a video) to the written diagnostics, over
+    those of the same names; the old folder is replaced once the new one is whole."""
+    old = spark.read.json(f"{folder}/zone_diagnostics")
+    kept = [c for c in old.columns if c == "video_id" or c not in more.columns]
+    _documents(old.select(*kept).join(more, "video_id", "left"), f"{folder}/zone_diagnostics.new")
+    fs, path = _files(spark, folder)
+    fs.delete(path(f"{folder}/zone_diagnostics"), True)
+    fs.rename(path(f"{folder}/zone_diagnostics.new"), path(f"{folder}/zone_diagnostics"))
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def remove_outputs(spark: SparkSession, folder: str, names: list[str]) -> list[str]:
+    """Removes the named outputs of a run (debug tables); gives those that were there."""
+    fs, path = _files(spark, folder)
+    return [n for n in names if fs.delete(path(f"{folder}/{n}"), True)]
+
+
+def export_heatmap_events(events: DataFrame, folder: str) -> None:
+    write_csv(events.drop("points"), f"{folder}/heatmap_events", ["video_id", "event_id"])
+    write_csv(heatmap_tracks(events), f"{folder}/heatmap_tracks", ["video_id", "event_id", "point_index"])
+
+
+def export_region(region: DataFrame, profile: DataFrame, folder: str) -> None:
+    """The pixels of a region and the column profile that it was found by, as tables."""
+    region.select("video_id", "x", "y").write.mode("overwrite").parquet(f"{folder}/region")
+    write_csv(profile, f"{folder}/profile", ["video_id", "x"])
 
 
 def export_meta(path: str, config: dict, metrics: DataFrame, outputs: dict[str, str]) -> None:
@@ -101,3 +138,13 @@ def clip_table(frames: DataFrame, clips: DataFrame, path: str) -> None:
 def review_tables(merges: DataFrame, assessments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(suggested merges, suppressions, summary of the merges) of a review."""
     return merges.select("video_id", "track_a", "track_b", "merged_to", "reason"), assessments.where(~F.col("accepted")).select(*KEY, "reject_reasons"), merge_summary(merges)
+
+
+def export_review(merges: DataFrame, assessments: DataFrame, region: DataFrame | None, folder: str) -> None:
+    """What a reviewer takes away: merge pairs, suppressions, the mask if there is one, a summary."""
+    suggested, suppressed, totals = review_tables(merges, assessments)
+    write_csv(suggested, f"{folder}/suggested_merges", ["video_id", "track_a", "track_b"])
+    write_csv(suppressed, f"{folder}/suppressions", KEY)
+    _documents(totals, f"{folder}/summary")
+    if region is not None:
+        region.select("video_id", "x", "y").write.mode("overwrite").parquet(f"{folder}/mask")

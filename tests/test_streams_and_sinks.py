@@ -28,3 +28,25 @@ def test_exports(spark, tmp_path):
         sinks.export_svg(rows, "v", (100, 100), str(tmp_path / f"{name}.svg"))
         assert xml.dom.minidom.parse(str(tmp_path / f"{name}.svg")).getElementsByTagName("polyline").length == (2 if name == "full" else 0)
     assert json.loads(sinks.render_payload(p).first().value)["tracks_total"] == 2
+
+
+def test_review_regions_and_removal(spark, tmp_path):
+    d = str(tmp_path)
+    merges = spark.createDataFrame([("v", 1, 2, 1, "overlap")], "video_id string, track_a long, track_b long, merged_to long, reason string")
+    a = spark.createDataFrame([("v", 1, True, []), ("v", 3, False, ["loiter", "static_noise"])], "video_id string, track_id long, accepted boolean, reject_reasons array<string>")
+    px = spark.createDataFrame([("v", 1, 2), ("v", 1, 3)], "video_id string, x int, y int")
+    sinks.export_review(merges, a, px, d)
+    assert [tuple(r) for r in spark.read.option("header", True).csv(f"{d}/suppressions").collect()] == [("v", "3", "loiter;static_noise")]
+    assert spark.read.parquet(f"{d}/mask").count() == 2 and spark.read.json(f"{d}/summary").first().overlap == 1
+    zones = spark.createDataFrame([("v", 1, 0.5)], "video_id string, zone_id long, score double")
+    sinks.export_zones(zones, zones.select("video_id", "score"), d)
+    sinks.extend_diagnostics(spark, d, spark.createDataFrame([("v", 7, 0.75)], "video_id string, starts_inside long, score double"))
+    row = spark.read.json(f"{d}/zone_diagnostics").first()
+    assert (row.video_id, row.starts_inside, row.score) == ("v", 7, 0.75) and spark.read.json(f"{d}/zones").first().score == 0.5
+    sinks.export_region(px, px.groupBy("video_id", "x").count(), d)
+    assert spark.read.parquet(f"{d}/region").count() == 2
+    assert sinks.remove_outputs(spark, d, ["region", "profile", "nothing"]) == ["region", "profile"]
+    kind = "struct<x:double,y:double>"
+    events = spark.createDataFrame([("v", 1, 10, 20, [(0.0, 0.0), (1.0, 1.0), (2.0, 4.0)])], f"video_id string, event_id long, frame_start long, frame_end long, points array<{kind}>")
+    sinks.export_heatmap_events(events, d)
+    assert [r.frame_est for r in spark.read.option("header", True).csv(f"{d}/heatmap_tracks").orderBy("point_index").collect()] == ["10.0", "15.0", "20.0"]

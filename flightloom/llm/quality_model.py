@@ -87,8 +87,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = of[:-d] == of[d:]
             a, b = a[same], b[same]
             for x, y in ((a, b), (b, a)):
-                for k in range(NONZERO):
-                    total += np.bincount(x * DIM + place[y, k], weights=sign[y, k], minlength=BUCKETS * DIM)
+                total += np.bincount((x[:, None] * DIM + place[y]).ravel(), weights=sign[y].ravel(), minlength=BUCKETS * DIM)
     rows = total.reshape(BUCKETS, DIM)
     at = np.flatnonzero(np.abs(rows).sum(axis=1)).astype(np.int32)
     schema = pa.schema([("bucket", pa.int32()), *((f"v{i}", pa.float64()) for i in range(DIM))])

@@ -6,6 +6,10 @@ from flightloom.llm.binary_records import op2_binary_records
 from flightloom.llm.bytebpe import op8_byte_bpe
 from flightloom.llm.dart_minhash import op9_dart_minhash
 from flightloom.llm.language_id import op10_language_mixture
+from flightloom.llm.line_runs import ORACLE as LINE_ORACLE
+from flightloom.llm.line_runs import op11_line_runs
+from flightloom.llm.merkle_manifest import ORACLE as MERKLE_ORACLE
+from flightloom.llm.merkle_manifest import op13_merkle_manifest
 from flightloom.llm.packing import op4_packing
 from flightloom.llm.quality_model import op6_quality_network
 from flightloom.llm.quality_rules import op1_quality_rules
@@ -24,5 +28,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_dart_minhash": op9_dart_minhash,
     "op10_language_mixture": op10_language_mixture,
+    "op11_line_runs": op11_line_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLE_SQL: dict[str, str] = {"op3_block_topk": ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_block_topk": ORACLE, "op11_line_runs": LINE_ORACLE, "op13_merkle_manifest": MERKLE_ORACLE}

@@ -28,7 +28,6 @@ from flightloom.llm.common import documents, drop_shuffles_early, forget, mapped
 FAN = 16
 #: Leaves for which this divides crc32(doc_id) are checked with a changed text.
 TAMPER = 5
-COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 PATH = "array<struct<place:int,siblings:array<string>>>"
 
 
@@ -143,7 +142,8 @@ def roots(spark: SparkSession, levels: list[RDD]) -> RDD:
 
 def _told(vertex: tuple, level: int) -> Iterator[tuple]:
     """What a vertex tells its children: ((group, place), (digest, payload if any, context, path))."""
-    (group, place), ((total, _, children), (context, path)) = vertex
+    (group, place), both = vertex
+    (_, (total, _, children)), (_, (context, path)) = sorted(both, key=lambda x: x[0])
     whole = b"".join(c[0] for c in children)
     for i, child in enumerate(children):
         own = path if nodes_at(total, level - 1) == 1 else ((i, whole[: 32 * i] + whole[32 * i + 32 :]), *path)
@@ -160,7 +160,8 @@ def descend(levels: list[RDD], starts: RDD) -> RDD:
         if told is not None:
             here = here.union(told.map(lambda m: (m[0], m[1][-2:])))
         n = vertices.getNumPartitions()
-        told = vertices.join(here.partitionBy(n, spot), n, spot).flatMap(partial(_told, level=level))
+        both = vertices.mapValues(lambda v: (0, v)).union(here.partitionBy(n, spot).mapValues(lambda h: (1, h)))
+        told = both.groupByKey(n, spot).flatMap(partial(_told, level=level))  # vertices stay where they are
     return told
 
 
@@ -168,7 +169,9 @@ def proofs(spark: SparkSession, docs: DataFrame) -> tuple[RDD | None, Callable[[
     """(doc_id, leaf, bent, subroot, root, path) of every row (None if there is none), and what removes the tables behind."""
     drop_shuffles_early(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nodes, most, behind = placed(spark, leaves(docs), ["grp", "doc_id", "leaf"])
+    hashed = saved(spark, leaves(docs), "leaves")  # a sort by ranges reads its input twice
+    nodes, most, behind = placed(spark, hashed, ["grp", "doc_id", "leaf"])
+    forget(spark, hashed)
     if not most:
         return None, lambda: forget(spark, *behind)
     levels = climb(nodes.select("grp", "idx", "total", "leaf", "doc_id", "bent").rdd.map(lambda r: (bytes(r[0]), r[1], r[2], bytes(r[3]), (r[4], r[5] and bytes(r[5])))), most, parts)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from flightloom.llm.binary_records import op2_binary_records
 from flightloom.llm.bytebpe import op8_byte_bpe
 from flightloom.llm.dart_minhash import op9_dart_minhash
+from flightloom.llm.elkan_codes import ORACLE as ELKAN_ORACLE
+from flightloom.llm.elkan_codes import op12_elkan_codes
 from flightloom.llm.language_id import op10_language_mixture
 from flightloom.llm.line_runs import ORACLE as LINE_ORACLE
 from flightloom.llm.line_runs import op11_line_runs
@@ -29,6 +31,7 @@ QUERIES = {
     "op9_dart_minhash": op9_dart_minhash,
     "op10_language_mixture": op10_language_mixture,
     "op11_line_runs": op11_line_runs,
+    "op12_elkan_codes": op12_elkan_codes,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLE_SQL: dict[str, str] = {"op3_block_topk": ORACLE, "op11_line_runs": LINE_ORACLE, "op13_merkle_manifest": MERKLE_ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_block_topk": ORACLE, "op11_line_runs": LINE_ORACLE, "op12_elkan_codes": ELKAN_ORACLE, "op13_merkle_manifest": MERKLE_ORACLE}

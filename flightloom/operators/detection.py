@@ -71,6 +71,37 @@ def centre_of_mass(path: list[tuple[int, int]]) -> tuple[float, float] | None:
     return tuple(float(((v + np.roll(v, -1)) * cross).sum() / (3 * whole)) for v in (x, y))
 
 
+COLUMNS = [c.split()[0] for c in DDL.split(", ")][2:]
+
+
+def found_in(frame: np.ndarray, back: np.ndarray, left: int, top: int, cfg: dict) -> list[tuple]:
+    """Detections (COLUMNS) of an image beside its background; left, top: where its first pixel lies in the frame.
+    None if its mean moved or its foreground is too large."""
+    shift = abs(float(frame.mean()) - float(back.mean())) if frame.size else 0.0
+    if 0 <= cfg["max_global_intensity_shift"] < shift:
+        return []
+    mask = foreground_mask(difference(frame, back, cfg["blur_kernel"]), cfg)
+    if not mask.any() or 0 < cfg["max_foreground_ratio"] < mask.mean():
+        return []
+    rows = []
+    for i, path in enumerate(pixels.outlines(pixels.label_image(mask))):
+        xs, ys = zip(*path)
+        box = (min(xs) + left, min(ys) + top, max(xs) + left + 1, max(ys) + top + 1)
+        place = centre_of_mass(path) if str(cfg["centroid_mode"]).lower() == "moments" else None
+        at = (place[0] + left, place[1] + top) if place else ((box[0] + box[2]) / 2, (box[1] + box[3]) / 2)
+        rows.append((i, *at, *box, pixels.polygon_area(path)))
+    return rows
+
+
+def filtered(found: DataFrame, cfg: dict, region: DataFrame | None = None) -> DataFrame:
+    """Area, region (on the detection's pixel), region of interest and crowding, in this order."""
+    found = filters.by_area(found, cfg["min_area"], cfg["max_area"])
+    if region is not None:
+        found = regions.flag_in_region(found, region, "_in").where("_in").drop("_in")
+    found = filters.by_roi(found, cfg["roi_x_min"], cfg["roi_x_max"], cfg["roi_y_min"], cfg["roi_y_max"])
+    return filters.drop_crowded_frames(found, cfg["max_detections_per_frame"])
+
+
 def detect(frames: DataFrame, background: DataFrame, cfg: dict, size: tuple[int, int] | None = None, region: DataFrame | None = None) -> DataFrame:
     """Detections (video_id, frame, det_idx, x, y, box with its ends excluded, contour
     area) of frames (video_id, frame, x, y, v of 0..255). A frame whose mean moved, or
@@ -86,23 +117,7 @@ def detect(frames: DataFrame, background: DataFrame, cfg: dict, size: tuple[int,
         left, top = int(pdf.x.min()), int(pdf.y.min())
         frame, back = (np.zeros((int(pdf.y.max()) - top + 1, int(pdf.x.max()) - left + 1)) for _ in range(2))
         frame[pdf.y - top, pdf.x - left], back[pdf.y - top, pdf.x - left] = pdf.v, pdf.b
-        rows: list[tuple] = []
-        shift = abs(float(frame.mean()) - float(back.mean()))
-        if not 0 <= cfg["max_global_intensity_shift"] < shift:
-            mask = foreground_mask(difference(frame, back, cfg["blur_kernel"]), cfg)
-            if mask.any() and not 0 < cfg["max_foreground_ratio"] < mask.mean():
-                labels = pixels.label_image(mask)
-                for i in range(1, labels.max() + 1):
-                    path = pixels.outline(labels == i)
-                    xs, ys = zip(*path)
-                    box = (min(xs) + left, min(ys) + top, max(xs) + left + 1, max(ys) + top + 1)
-                    place = centre_of_mass(path) if str(cfg["centroid_mode"]).lower() == "moments" else None
-                    at = (place[0] + left, place[1] + top) if place else ((box[0] + box[2]) / 2, (box[1] + box[3]) / 2)
-                    rows.append((pdf.video_id.iloc[0], int(pdf.frame.iloc[0]), i - 1, *at, *box, pixels.polygon_area(path)))
+        rows = [(pdf.video_id.iloc[0], int(pdf.frame.iloc[0]), *r) for r in found_in(frame, back, left, top, cfg)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in DDL.split(", ")])
 
-    found = filters.by_area(both.groupBy("video_id", "frame").applyInPandas(run, DDL), cfg["min_area"], cfg["max_area"])
-    if region is not None:
-        found = regions.flag_in_region(found, region, "_in").where("_in").drop("_in")
-    found = filters.by_roi(found, cfg["roi_x_min"], cfg["roi_x_max"], cfg["roi_y_min"], cfg["roi_y_max"])
-    return filters.drop_crowded_frames(found, cfg["max_detections_per_frame"])
+    return filtered(both.groupBy("video_id", "frame").applyInPandas(run, DDL), cfg, region)

@@ -201,6 +201,19 @@ def outline(part: np.ndarray) -> list[tuple[int, int]]:
         path.append(at)
 
 
+def outlines(labels: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The outer border of each component 1, 2, ..., each traced within its own box."""
+    ys, xs = np.nonzero(labels)
+    order = np.argsort(labels[ys, xs], kind="stable")
+    ys, xs = ys[order], xs[order]
+    start = np.r_[0, np.flatnonzero(np.diff(labels[ys, xs])) + 1] if len(ys) else np.zeros(0, int)
+    out = []
+    for i, (a, z) in enumerate(zip(start, np.r_[start[1:], len(ys)]), 1):
+        y0, x0, y1, x1 = ys[a:z].min(), xs[a:z].min(), ys[a:z].max() + 1, xs[a:z].max() + 1
+        out.append([(x + int(x0), y + int(y0)) for x, y in outline(labels[y0:y1, x0:x1] == i)])
+    return out
+
+
 def polygon_area(path: list[tuple[int, int]]) -> float:
     """Area within a closed line through pixel centres."""
     x, y = np.array(path, float).T if path else (np.zeros(0), np.zeros(0))
@@ -241,8 +254,7 @@ def contours(foreground_px: DataFrame) -> DataFrame:
         x0, y0 = pdf.x.min(), pdf.y.min()
         image = np.zeros((pdf.y.max() - y0 + 1, pdf.x.max() - x0 + 1), bool)
         image[pdf.y - y0, pdf.x - x0] = True
-        labels = label_image(image)
-        paths = [outline(labels == i) for i in range(1, labels.max() + 1)]
+        paths = outlines(label_image(image))
         return pd.DataFrame({"video_id": key[0], "frame": key[1], "component": range(1, len(paths) + 1), "area": [polygon_area(p) for p in paths], "points": [[{"x": int(x + x0), "y": int(y + y0)} for x, y in p] for p in paths]})
 
     return foreground_px.groupBy("video_id", "frame").applyInPandas(run, "video_id string, frame long, component long, area double, points array<struct<x:int,y:int>>")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flightloom.functions.expressions import is_red
+from flightloom.operators import dense
 from flightloom.operators.pixels import closed, dilate, ellipse, opened
 
 POINTS = "video_id string, track_id long, frame long, time_sec double, x double, y double, vx double, vy double, bbox_x1 int, bbox_y1 int, bbox_x2 int, bbox_y2 int, area double"
@@ -32,20 +37,28 @@ def frame_stream(spark: SparkSession, path: str, per_trigger: int = 64) -> DataF
     return spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def pixels_of(dense: DataFrame) -> DataFrame:
-    """Dense frames as sparse pixels (video_id, frame, x, y, v), without Python:
-    two hex digits a byte."""
-    hexed = dense.select("video_id", "frame", "w", F.hex("pixels").alias("_h"), F.posexplode(F.expr("sequence(0, h * w - 1)")).alias("pos", "i"))
-    return hexed.select("video_id", "frame", (F.col("pos") % F.col("w")).cast("int").alias("x"), F.floor(F.col("pos") / F.col("w")).cast("int").alias("y"), F.conv(F.expr("substring(_h, 2 * pos + 1, 2)"), 16, 10).cast("double").alias("v"))
+def pixels_of(frames: DataFrame) -> DataFrame:
+    """Dense frames as pixel rows (video_id, frame, x, y, v), for what is best said about pixels; linear in the pixels."""
+    return dense.to_pixels(frames)
 
 
 def image_pixels(spark: SparkSession, path: str, video_id: str = "v0") -> DataFrame:
     """Pixels (x, y, channels b, g, r; equal for gray) of an image file; an unreadable one is an error."""
     image = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
-    i = image.select("width", "height", "nChannels", F.hex("data").alias("_h"), F.explode(F.expr("sequence(0, width * height - 1)")).alias("pos"))
-    at = lambda c: F.conv(F.expr(f"substring(_h, 2 * (pos * nChannels + least({c}, nChannels - 1)) + 1, 2)"), 16, 10).cast("int")
-    bad = F.raise_error(F.lit(f"unreadable image: {path}")).cast("int")
-    return i.select(F.lit(video_id).alias("video_id"), F.when(F.col("width") <= 0, bad).otherwise(F.col("pos") % F.col("width")).cast("int").alias("x"), F.floor(F.col("pos") / F.col("width")).cast("int").alias("y"), at(0).alias("b"), at(1).alias("g"), at(2).alias("r"))
+    schema = pa.schema([("video_id", pa.string()), *((c, pa.int32()) for c in ("x", "y", "b", "g", "r"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["width"] <= 0:
+                    raise ValueError(f"unreadable image: {path}")
+                n = r["nChannels"]
+                px = np.frombuffer(r["data"], np.uint8).reshape(-1, n).astype(np.int32)
+                y, x = np.indices((r["height"], r["width"]), np.int32)
+                channels = [px[:, min(c, n - 1)] for c in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array([video_id] * len(px)), *(pa.array(np.ascontiguousarray(c)) for c in (x.ravel(), y.ravel(), *channels))], schema=schema)
+
+    return dense.mapped(image.select("width", "height", "nChannels", "data"), run, "video_id string, x int, y int, b int, g int, r int")
 
 
 def mask(spark: SparkSession, path: str, size: tuple[int, int] | None = None, video_id: str = "v0") -> DataFrame:

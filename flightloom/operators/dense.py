@@ -203,6 +203,17 @@ def at(frames: DataFrame, numbers: DataFrame) -> DataFrame:
     return frames.join(numbers, ["video_id", "frame"], "left_semi")
 
 
+def vegetation_samples(frames: DataFrame, counts: DataFrame, n: int = 220, last: int = 1250) -> DataFrame:
+    """Evenly spaced frames of each video's first ``last`` + 1, 20 at least where there are so many; a short
+    video's frames come several times, as the places of the sample fall on them. Videos that give under 20 go."""
+    upto = F.least(F.greatest(F.col("frame_count"), F.lit(1)), F.lit(last + 1))
+    n = max(20, n)
+    places = counts.select("video_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), (upto - 1).alias("stop"))
+    found = frames.join(places.select("video_id", F.floor(F.col("i") * F.col("stop") / (n - 1)).alias("frame")), ["video_id", "frame"])
+    enough = found.groupBy("video_id").agg(F.count("*").alias("n")).where("n >= 20").select("video_id")
+    return found.join(enough, "video_id", "left_semi")
+
+
 def background(samples: DataFrame, tile: int = TILE) -> DataFrame:
     """The median of each pixel over a video's sampled frames, cut down to whole levels."""
     median = lambda stack: {"pixels": np.floor(np.median(stack, axis=0))}
@@ -231,11 +242,61 @@ def vegetation_scores(samples: DataFrame, tile: int = TILE) -> DataFrame:
     return mapped(parts, score, ddl)
 
 
+def vegetation_mask(samples: DataFrame, percent: float = 85.0, min_area: int = 24) -> DataFrame:
+    """Pixels (video_id, x, y) of restless textured parts: top scores, opened, smoothed by a median, small parts
+    dropped, eroded. One image of a video is worked on at a time."""
+    square = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    schema = _schema("video_id string, h int, w int, pixels binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for score in images_in(batch, "score", "f8"):
+                mask = score >= np.percentile(score, min(99.5, max(50.0, percent)))
+                mask = pixels.moved(pixels.moved(mask, square, False), square, True)
+                labels = pixels.label_image(pixels.median_blur(mask, 3) > 0)
+                big = np.bincount(labels.ravel()) >= max(1, min_area)
+                out.append(pixels.moved(big[labels] & (labels > 0), square, False).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("h"), batch.column("w"), pa.array(out, pa.binary())], schema=schema)
+
+    masks = mapped(vegetation_scores(samples), run, "video_id string, h int, w int, pixels binary")
+    return to_pixels(masks, above=0).drop("v")
+
+
+# ---- an image of a video
+
+def column_profile(images: DataFrame, blur: int = 0) -> DataFrame:
+    """video_id, x, v: the mean of each column of the (blurred) image."""
+    schema = _schema("video_id string, x int, v double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for video, image in zip(batch.column("video_id").to_pylist(), images_in(batch)):
+                v = np.rint(pixels.gaussian(image, blur)).mean(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array([video] * len(v)), pa.array(range(len(v)), pa.int32()), pa.array(v)], schema=schema)
+
+    return mapped(images.select("video_id", "h", "w", "pixels"), run, "video_id string, x int, v double")
+
+
+def region_masks(images: DataFrame, bands: DataFrame, kernel: Callable[[np.ndarray, int, int], np.ndarray]) -> DataFrame:
+    """Pixels (video_id, x, y) of a region of each video's image and its band (video_id, x_start, x_end)."""
+    schema = _schema("video_id string, h int, w int, pixels binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = zip(batch.column("x_start").to_pylist(), batch.column("x_end").to_pylist())
+            out = [kernel(image.astype(np.float64), *span).astype(np.uint8).tobytes() for image, span in zip(images_in(batch), spans)]
+            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("h"), batch.column("w"), pa.array(out, pa.binary())], schema=schema)
+
+    both = images.select("video_id", "h", "w", "pixels").join(bands.select("video_id", "x_start", "x_end"), "video_id")
+    return to_pixels(mapped(both, run, "video_id string, h int, w int, pixels binary"), above=0).drop("v")
+
+
 # ---- neighbouring frames: chunks
 
 def motion_energy(frames: DataFrame, threshold: float = 0.0, blur: int = 0, open_size: int = 0, region: DataFrame | None = None, chunk: int = CHUNK, tile: int = TILE) -> DataFrame:
     """video_id, h, w, energy (doubles): the sum of each pixel's changes from a frame to the next one there is, above a
-    threshold; changes blurred before and opened after, in the pixels of a region (images) only, if asked for.
+    threshold; frames are blurred before (to whole levels), changes opened after, in the pixels of a region (images) only, if asked for.
     A group is a chunk of a video with the last frame before it, which is sent to both."""
     part = F.floor(F.col("frame") / chunk).cast("long")
     lasts = frames.select("video_id", part.alias("chunk"), "frame").groupBy("video_id", "chunk").agg(F.max("frame").alias("frame"))
@@ -252,10 +313,10 @@ def motion_energy(frames: DataFrame, threshold: float = 0.0, blur: int = 0, open
         group = group.sort_by("frame")
         heat, last = None, None
         for image in images_in(group):
-            image = image.astype(np.float64)
+            image = np.rint(pixels.gaussian(image, blur))
             heat = np.zeros(image.shape) if heat is None else heat
             if last is not None:
-                change = pixels.gaussian(np.abs(image - last), blur)
+                change = np.abs(image - last)
                 mask = change > threshold
                 for grow in (False, True) if open_size > 1 else ():
                     mask = pixels.moved(mask, kernel, grow)
@@ -269,6 +330,18 @@ def motion_energy(frames: DataFrame, threshold: float = 0.0, blur: int = 0, open
     return along_time(tiles(chunks, tile, "energy", "f8"), lambda stack: {"energy": stack.sum(axis=0)}, {"energy": "f8"}, "f8")
 
 
+def blurred_heat(images: DataFrame, size: int = 9) -> DataFrame:
+    """Heat (video_id, h, w, energy) blurred."""
+    schema = _schema("video_id string, h int, w int, energy binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [pixels.gaussian(image, size).tobytes() for image in images_in(batch, "energy", "f8")]
+            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("h"), batch.column("w"), pa.array(out, pa.binary())], schema=schema)
+
+    return mapped(images, run, "video_id string, h int, w int, energy binary")
+
+
 # ---- a frame alone
 
 def blurred(frames: DataFrame, size: int) -> DataFrame:

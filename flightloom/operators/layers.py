@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flightloom.functions.expressions import heatmap_direction
-from flightloom.operators import pixels
+from flightloom.operators import dense, pixels
 from flightloom.operators.fast_events import EVENT, corridor_paths, event_axis
 from flightloom.operators.pairs import range_join
 
@@ -45,7 +45,7 @@ class Contour:
 def deep_layer(image: np.ndarray, allowed: np.ndarray | None = None, cfg: Layers = Layers()) -> np.ndarray:
     """The dark part at (or else nearest to) the centre column, and further
     layers of lesser depth beside it."""
-    depth = 255.0 - pixels.gaussian(image, cfg.blur)
+    depth = 255.0 - np.rint(pixels.gaussian(image, cfg.blur))
     allowed = np.ones(image.shape, bool) if allowed is None else allowed
     kernel = pixels.ellipse(cfg.kernel)
     mask = (depth >= np.percentile(depth, min(99.9, max(50.0, cfg.percentile)))) & allowed
@@ -132,6 +132,24 @@ def snap_lower_contour(mask: np.ndarray, depth: np.ndarray, cfg: Contour = Conto
     return out
 
 
+def region_mask(image: np.ndarray, x_start: int, x_end: int, method: str = "horizontal_illumination_profile", mode: str = "and", cfg: Layers = Layers(), contour: Contour | None = None) -> np.ndarray:
+    """The valid region of an image by one of three methods: the band of columns that was found in its
+    profile, the deep layer, or the deep layer within the band, both (and / or) taken together, the larger of the two where
+    nothing is left. The lower contour of the latter two is snapped to depth edges if asked for."""
+    band = np.zeros(image.shape, bool)
+    band[:, x_start : x_end + 1] = True
+    if method == "horizontal_illumination_profile":
+        return band
+    if method == "central_deep_layer":
+        mask = deep_layer(image, None, cfg)
+    else:
+        deep = deep_layer(image, band, cfg)
+        mask = deep | band if mode == "or" else deep & band
+        if not mask.any():
+            mask = deep if deep.sum() >= band.sum() else band
+    return mask if contour is None else snap_lower_contour(mask, 255.0 - np.rint(pixels.gaussian(image, cfg.blur)), contour)
+
+
 def deep_layers(images: DataFrame, region: DataFrame | None = None, cfg: Layers = Layers(), contour: Contour | None = None) -> DataFrame:
     """Pixels of each video's deep layer from its image (video_id, x, y, v)."""
     own = images.select(*PX, F.col("v").cast("double").alias("v"))
@@ -183,10 +201,10 @@ def exclude_zone(vegetation: DataFrame, zone: DataFrame, background: DataFrame,
     return vegetation.join(inside, PX, "left_anti")
 
 
-def heatmap_events(events: DataFrame, frames: DataFrame, frame_count: int | None = None, threshold: float = 14.0, padding: int = 0, percentile: float = 76.0, width: float = 180.0, bins: int = 21, min_points: int = 6, min_displacement: float = 80.0, first_id: int = 20001, max_events: int = 0, y_min: float = -1.0, y_max: float = -1.0) -> DataFrame:
+def heatmap_events(events: DataFrame, frames: DataFrame, frame_count: int | None = None, threshold: float = 14.0, padding: int = 0, percentile: float = 76.0, width: float = 180.0, bins: int = 21, min_points: int = 6, min_displacement: float = 80.0, first_id: int = 20001, max_events: int = 0, y_min: float = -1.0, y_max: float = -1.0, blur: int = 0) -> DataFrame:
     """An event for each fast event whose heat makes a path: its frames by a band
     join, motion summed within them and blurred, the path along its axis, all in one
-    plan keyed by (video, event). Ids and ``max_events`` count within a video;
+    plan keyed by (video, event). frames: pixel rows, or dense frames, whose changes are then blurred (``blur``) and opened. Ids and ``max_events`` count within a video;
     without ``frame_count`` a video ends with its last frame."""
     last = F.lit(frame_count - 1) if frame_count else F.col("_last")
     events = events.join(frames.groupBy("video_id").agg(F.max("frame").alias("_last")), "video_id")
@@ -196,7 +214,12 @@ def heatmap_events(events: DataFrame, frames: DataFrame, frame_count: int | None
     at = frames.select("video_id", "frame").distinct().select("video_id", "frame", F.col("frame").alias("r_start"), F.col("frame").alias("r_end"))
     own = range_join(spans.drop("source_track_ids"), at, 0, 64).select(*EVENT, "frame").join(frames, ["video_id", "frame"])
     name = F.concat_ws("#", "video_id", "event_id")
-    heat = pixels.blurred_heat(pixels.motion_energy(own.withColumn("video_id", name).drop("event_id"), threshold)).withColumnRenamed("video_id", "_name")
+    own = own.withColumn("video_id", name).drop("event_id")
+    if "pixels" in own.columns:
+        heat = dense.to_pixels(dense.blurred_heat(dense.motion_energy(own, threshold, blur, 3)), "energy", "f8", "energy")
+    else:
+        heat = pixels.blurred_heat(pixels.motion_energy(own, threshold))
+    heat = heat.withColumnRenamed("video_id", "_name")
     heat = heat.join(spans.select(*EVENT, name.alias("_name")), "_name").drop("_name")
     found = corridor_paths(heat, event_axis(events, y_min), percentile, width, bins, y_max)
     paths = found.groupBy(*EVENT).agg(F.sort_array(F.collect_list(F.struct("bin", "x", "y"))).alias("p")).where(F.size("p") >= min_points)

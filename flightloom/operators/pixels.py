@@ -43,21 +43,15 @@ def background_median(frames: DataFrame, truncate: bool = False) -> DataFrame:
 
 def motion_energy(frames: DataFrame, threshold: float = 0.0, blur: int = 0, open_size: int = 0, region: DataFrame | None = None) -> DataFrame:
     """Sum of each pixel's changes from frame to frame above a threshold. If asked
-    for, a frame's changes are blurred before and those above it opened after, and
+    for, frames are blurred before, the pixels above it opened after, and
     only the pixels of a region count."""
+    frames = per_image(frames.select(*PX, "frame", "v"), lambda image: gaussian(image, blur)) if blur > 1 else frames
     change = F.abs(F.col("v") - F.lag("v").over(Window.partitionBy(*PX).orderBy("frame")))
     d = frames.withColumn("v", change)
-    if blur > 1 or open_size > 1:
+    if open_size > 1:
         kernel = ellipse(open_size)
-
-        def finish(image: np.ndarray) -> np.ndarray:
-            image = gaussian(np.nan_to_num(image), blur)
-            mask = image > threshold
-            for grow in (False, True) if open_size > 1 else ():
-                mask = moved(mask, kernel, grow)
-            return np.where(mask, image, 0.0)
-
-        d, threshold = per_image(d.select(*PX, "frame", "v").where("v is not null"), finish), 0.0
+        whole = lambda image: np.where(moved(moved(image > threshold, kernel, False), kernel, True), image, 0.0)
+        d, threshold = per_image(d.select(*PX, "frame", "v").where("v is not null"), whole), 0.0
     d = d.join(region.select(*PX).distinct(), PX, "left_semi") if region is not None else d
     return d.groupBy(*PX).agg(F.coalesce(F.sum(F.when(F.col("v") > threshold, F.col("v"))), F.lit(0.0)).alias("energy"))
 

@@ -6,12 +6,13 @@ plan is short and a lost executor costs no more than tasks of one step."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.functions.expressions import resolution_scale
-from flightloom.operators import detection, fast_events, filters, grouping, layers, pairs, pixels, regions, summary, tracking, windows, zones
+from flightloom.functions.expressions import area_scale, resolution_scale
+from flightloom.operators import dense, fast_events, filters, grouping, layers, pairs, pixels, regions, summary, tracking, windows, zones
 from flightloom.sources import config as settings
 from flightloom.sources.scratch import written
 
@@ -56,27 +57,40 @@ def gate_bursts(detections: DataFrame, cfg: dict) -> DataFrame:
     return detections.join(kept.select("video_id", "frame"), ["video_id", "frame"], "left_semi")
 
 
-def sampled_background(frames: DataFrame, cfg: dict, fps: float) -> DataFrame:
-    """Median of the sampled frames of the context, as whole levels."""
-    n = (frames.agg(F.max("frame")).first()[0] or 0) + 1
-    first, end = settings.context_frames(cfg, "background", fps, n)
+def sampled_background(frames: DataFrame, counts: DataFrame, cfg: dict, fps: float, section: str = "background") -> DataFrame:
+    """Images of the median of each video's sampled frames in the section's context, as whole levels."""
     b = cfg["background"]
-    return written(pixels.background_median(pixels.at_frames(frames, pixels.sample_frames(n, b["sample_frames"], b["uniform_sampling"], first, end)), truncate=True))
+    numbers = written(dense.sample_numbers(dense.context(counts, fps, *settings.context_seconds(cfg, section)), b["sample_frames"], b["uniform_sampling"]))
+    return written(dense.background(dense.at(frames, numbers)))
 
 
-def band_region(background: DataFrame, cfg: dict) -> DataFrame:
-    """Pixels of the valid band of columns."""
+def valid_region(images: DataFrame, cfg: dict) -> DataFrame:
+    """Pixels of each video's valid region from its image, by the method of the settings."""
     v = cfg["valid_region"]
-    band = pixels.valid_band(pixels.column_profile(background), v["profile_smooth_window"], v["threshold_ratio"], v["safety_margin"], v["min_region_width_ratio"])
-    return background.join(band, "video_id").where(F.col("x").between(F.col("x_start"), F.col("x_end"))).select(*pixels.PX)
-
-
-def choose_region(points: DataFrame, background: DataFrame, heat: DataFrame, cfg: dict, size: tuple[int, int], vegetation: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
-    """(pixels of the entry zone, zones, scores of the sources): the valid band and
+    band = pixels.valid_band(dense.column_profile(images, v["blur_kernel_size"]), v["profile_smooth_window"], v["threshold_ratio"], v["safety_margin"], v["min_region_width_ratio"])
+    deep = layers.Layers(v["blur_kernel_size"], v["depth_percentile"], v["depth_morph_kernel"], v["depth_min_area_ratio"], tuple(settings.number_list(v["depth_layer_percentiles"], float)), tuple(settings.number_list(v["depth_layer_dilate_px"])))
+    names = ("search_up_px", "search_down_px", "smooth_window", "gradient_quantile", "regularization", "max_step_px", "downward_bias", "regularization_mix", "deepest_strong_ratio")
+    contour = layers.Contour(*(v[f"bottom_contour_{n}"] for n in names)) if v["bottom_contour_snap_enabled"] else None
+    kernel = partial(layers.region_mask, method=str(v["method"]).lower(), mode=str(v["hybrid_combine_mode"]).lower(), cfg=deep, contour=contour)
+    return dense.region_masks(images, band, kernel)
+
+
+def vegetation_of(frames: DataFrame, counts: DataFrame, cfg: dict, size: tuple[int, int]) -> DataFrame:
+    """Pixels of the restless parts of each video, widened; radii and areas follow the resolution if asked for."""
+    v = cfg["vegetation_noise"]
+    scale = bool(v["auto_scale_with_resolution"]), (v["reference_width"], v["reference_height"])
+    samples = dense.vegetation_samples(frames, counts, v["auto_sample_frames"], v["auto_max_frame_for_sampling"])
+    mask = dense.vegetation_mask(samples, v["auto_percentile"], area_scale(v["auto_min_component_area"], size, *scale))
+    wide = round(resolution_scale(v["mask_dilate_px"], size, *scale))
+    return written(pixels.dilate(mask, pixels.ellipse(2 * wide + 1), size) if wide > 0 else mask)
+
+
+def choose_region(points: DataFrame, background: DataFrame, heat: DataFrame, cfg: dict, size: tuple[int, int], vegetation: DataFrame | None, valid: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """(pixels of the entry zone, zones, scores of the sources): the valid region and
     the zones are scored by what they cover; the wanted one, or the best, is it."""
     masks, found = None, None
-    if cfg["valid_region"]["enabled"]:
-        masks = band_region(background, cfg).withColumn("kind", F.lit("valid_region"))
+    if valid is not None:
+        masks = valid.withColumn("kind", F.lit("valid_region"))
     z = cfg["cave_zones"]
     if z["enabled"]:
         found, px = zones.entry_zones(background, heat, size, z["max_components"], z["dilate_px"], z["min_component_area_ratio"], method=z["method"], motion_percent=z["motion_percentile"], dark_percent=z["dark_percentile"], connect=z["motion_dark_connect_dilate_px"])
@@ -95,15 +109,25 @@ def run(
 ) -> Run:
     """region, vegetation: pixels (video_id, x, y). secondary: detections of a
     second pass, fused with the first; secondary_points: tracks of another
-    tracker, added where no primary track accompanies them. frames: pixels
-    (video_id, frame, x, y, v): detections come from them if none are given, the entry
-    region (where no region is given) from their band and zones, and heat events if these are on."""
+    tracker, added where no primary track accompanies them. frames: dense (video_id, frame, h, w,
+    pixels) or pixel rows (video_id, frame, x, y, v of 0..255), which are made dense: detections come from
+    them if none are given, within their valid region if asked for, the entry region (where no region is given) from
+    that and their zones, and heat events if these are on. Each video's samples are placed in its own frames."""
     config = settings.load(config)
     t, det = config["tracking"], config["detection"]
     scaled = lambda v: resolution_scale(v, size, bool(t["auto_scale_with_resolution"]), (t["reference_width"], t["reference_height"]))
-    background = sampled_background(frames, config, fps) if frames is not None else None
+    background = valid = images = counts = None
+    if frames is not None:
+        frames = frames if "pixels" in frames.columns else written(dense.from_pixels(frames))
+        counts = written(dense.frame_counts(frames))
+        images = sampled_background(frames, counts, config, fps)
+        background = dense.to_pixels(images)
+        if config["valid_region"]["enabled"]:
+            own = settings.context_seconds(config, "valid_region") != settings.context_seconds(config, "background")
+            valid = written(valid_region(sampled_background(frames, counts, config, fps, "valid_region") if own else images, config))
     if raw_points is None:
-        d = detection.detect(frames, background, det, size, region) if detections is None else filter_detections(detections, det, region)
+        inside = valid if region is None and valid is not None and config["valid_region"]["apply_to_detection"] else region
+        d = dense.detect(frames, images, det, inside) if detections is None else filter_detections(detections, det, inside)
         if secondary is not None:
             s = config["secondary_detection"]
             d = tracking.fuse_detections(d, filter_detections(secondary, settings.secondary_detection(det, s)), s["dedupe_max_distance_px"], s["dedupe_min_iou"]).drop("origin")
@@ -113,10 +137,16 @@ def run(
         raw_points = tracking.track(gate_bursts(written(d), det), t["tracker"], **options)
     raw_points = written(raw_points)
     v, found_zones, scores = config["vegetation_noise"], None, None
+    h = config["heatmap_events"]
+    blur = h["blur_kernel"] if h["blur_kernel"] > 0 and h["blur_kernel"] % 2 else 5
     if vegetation is None and frames is not None and v["enabled"]:
-        vegetation = written(pixels.vegetation_mask(frames, v["auto_percentile"], v["auto_min_component_area"], size))
+        vegetation = vegetation_of(frames, counts, config, size)
     if region is None and frames is not None and (config["valid_region"]["enabled"] or config["cave_zones"]["enabled"]):
-        region, found_zones, scores = choose_region(raw_points, background, written(pixels.motion_energy(frames)), config, size, vegetation)
+        heat = dense.to_pixels(written(dense.motion_energy(frames, h["threshold"], blur, 3)), "energy", "f8", "energy")
+        region, found_zones, scores = choose_region(raw_points, background, heat, config, size, vegetation, valid)
+    if vegetation is not None and region is not None and background is not None and v["enabled"] and v["exclude_entry_exit_zones"]:
+        wide = round(resolution_scale(v["exclude_entry_exit_dilate_px"], size, bool(v["auto_scale_with_resolution"]), (v["reference_width"], v["reference_height"])))
+        vegetation = written(layers.exclude_zone(vegetation, region, background, v["entry_exit_exclusion_mode"], wide, v["entry_exit_keep_texture_percentile"], v["entry_exit_keep_min_intensity_percentile"], v["entry_exit_keep_min_gradient"], size))
     merges, merged = None, raw_points
     if t["auto_merge_suggested"]:
         found = grouping.merge_features(raw_points, t["merge_max_gap_frames"], scaled(t["merge_max_endpoint_distance"]), t["merge_overlap_min_common_frames"], scaled(t["merge_overlap_max_mean_distance"]), t["merge_overlap_min_direction_cosine"], scaled(t["merge_overlap_proximity_override_distance"]))
@@ -159,7 +189,6 @@ def run(
     fast = heated = None
     if config["fast_events"]["enabled"]:
         fast = written(fast_events.both_passes(merged, assessments, {k: w for k, w in config["fast_events"].items() if k != "enabled"}, fps, float(size[1])))
-    h = config["heatmap_events"]
     if fast is not None and frames is not None and h["enabled"]:
         heated = layers.heatmap_events(fast, frames, None, h["threshold"], h["padding_frames"], h["percentile"], h["corridor_width"], max(3, h["bins"]) - 1, h["min_points"], h["min_displacement"], h["first_event_id"], h["max_events"], h["seed_y_min"], h["y_max"])
     shown = points

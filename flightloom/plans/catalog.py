@@ -283,7 +283,7 @@ def _(spark, d):
     return c.select("video_id", F.col("a_track_id").alias("track_a"), F.col("b_track_id").alias("track_b"), "kind", F.col("gap_frames").cast("long").alias("gap_frames"))
 
 
-MIN_DUP = 0.7
+MIN_DUP = 0.65
 GROUPS = f"dp AS (SELECT video_id, track_a, track_b FROM ovs WHERE duplicate_score >= {MIN_DUP}), e AS (SELECT video_id, track_a AS a, track_b AS b FROM dp UNION SELECT video_id, track_b, track_a FROM dp), reach AS (SELECT DISTINCT video_id, a AS track_id, a AS r FROM e UNION SELECT reach.video_id, reach.track_id, e.b FROM reach JOIN e ON e.video_id = reach.video_id AND e.a = reach.r), grp AS (SELECT video_id, track_id, min(r) AS group_id FROM reach GROUP BY ALL)"
 
 

@@ -4,7 +4,6 @@ independent engine. Frames are the 8 x 8 stand-ins of ``sources.adapters``."""
 from __future__ import annotations
 
 import json
-import struct
 import tempfile
 import uuid
 
@@ -338,41 +337,6 @@ def _(spark, d):
     return readers.videos(spark, path)
 
 
-def bitmap(path: str, width: int, height: int, colour) -> None:
-    """A 24-bit bitmap file of a formula."""
-    pad = -3 * width % 4
-    rows = b"".join(b"".join(bytes(colour(x, y)) for x in range(width)) + b"\0" * pad for y in range(height - 1, -1, -1))
-    head = struct.pack("<2sIHHI", b"BM", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(rows), 2835, 2835, 0, 0)
-    with open(path, "wb") as f:
-        f.write(head + rows)
-
-
-def image_file(spark, name: str, colour, width: int = 10) -> str:
-    path = f"{tempfile.mkdtemp(prefix='flightloom-')}/{name}.bmp"  # a driver's file: read by a local session
-    bitmap(path, width, 6, colour)
-    return "file://" + path
-
-
-GRID = "(SELECT CAST(i % 10 AS INTEGER) AS x, CAST(i // 10 AS INTEGER) AS y FROM range(60) r(i)) g"
-
-
-@query("image_scan", f"SELECT 'v0' AS video_id, x, y, CAST((x * 9 + y) % 256 AS INTEGER) AS b, CAST((x + y * 31) % 256 AS INTEGER) AS g, CAST((x * y * 5) % 256 AS INTEGER) AS r FROM {GRID}")
-def _(spark, d):
-    return readers.image_pixels(spark, image_file(spark, "scan", lambda x, y: ((x * 9 + y) % 256, (x + y * 31) % 256, (x * y * 5) % 256)))
-
-
-@query("marked_region", f"SELECT DISTINCT 'v0' AS video_id, CAST(x + dx AS INTEGER) AS x, CAST(y + dy AS INTEGER) AS y FROM {GRID}, {kernel_sql(pixels.ellipse(3))} WHERE x BETWEEN 3 AND 5 AND y = 2 AND x + dx BETWEEN 0 AND 9 AND y + dy BETWEEN 0 AND 5")
-def _(spark, d):
-    path = image_file(spark, "mask", lambda x, y: (255,) * 3 if 3 <= x <= 5 and y == 2 else (0,) * 3)
-    return readers.marked_region(spark, path, size=(10, 6), dilate_px=1)
-
-
-@query("annotation_region", "SELECT 'v0' AS video_id, CAST(i % 24 AS INTEGER) AS x, CAST(i // 24 AS INTEGER) AS y FROM range(144) r(i) WHERE i % 24 BETWEEN 9 AND 14")
-def _(spark, d):
-    path = image_file(spark, "marks", lambda x, y: (10, 10, 240) if 9 <= x <= 14 else (200, 180, 20), 24)
-    return readers.marked_region(spark, annotation_path=path, size=(24, 6))
-
-
 # ---- sinks, written and read again
 
 @query("tracks_csv", f"WITH {PTS} SELECT video_id, track_id, frame, time_sec, x, y, area FROM pts")

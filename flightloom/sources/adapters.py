@@ -3,10 +3,14 @@ masks; each with the SQL of the same rows for an independent engine."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flightloom.operators import dense
+
 FPS = 25.0
 EPOCH_US = 1704067200000000
 
@@ -81,25 +85,21 @@ def mask_pixels(spark: SparkSession, kind: str = "valid") -> DataFrame:
 
 MASK_TEST_SQL = f"(round_even(x, 0) BETWEEN {MASK[0]} AND {MASK[1]} AND round_even(y, 0) BETWEEN {MASK[2]} AND {MASK[3]})"
 
-SIDE = 16
+#: Side of a dense frame, and of its grid of 8 x 8 blocks.
+SIDE, BLOCKS = 32, 4
 
 
 def dense_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as dense 16 x 16 frames (four vectors each, whole levels) of two videos of different length."""
-    import numpy as np
-    import pyarrow as pa
-
-    from flightloom.operators import dense
-
-    k, n = F.col("vec_id"), F.floor(F.col("vec_id") / 4)
-    e = table(spark, sf_dir, "embeddings").select(n.alias("n"), (k % 4).alias("part"), F.col("embedding").cast("array<double>").alias("e"))
-    four = e.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("part", "e"))).alias("p")).where(F.size("p") == 4)
+    """Embeddings as dense 32 x 32 frames (sixteen vectors each, whole levels) of two videos of different length."""
+    k, n = F.col("vec_id"), F.floor(F.col("vec_id") / BLOCKS**2)
+    e = table(spark, sf_dir, "embeddings").select(n.alias("n"), (k % BLOCKS**2).alias("part"), F.col("embedding").cast("array<double>").alias("e"))
+    whole = e.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("part", "e"))).alias("p")).where(F.size("p") == BLOCKS**2)
     video, frame = F.when(F.col("n") % 3 == 0, "a").otherwise("b"), F.when(F.col("n") % 3 == 0, F.floor(F.col("n") / 3)).otherwise(F.floor(F.col("n") / 3) * 2 + F.col("n") % 3 - 1)
-    flat = four.select(video.alias("video_id"), frame.cast("long").alias("frame"), F.flatten(F.col("p.e")).alias("e"))
+    flat = whole.select(video.alias("video_id"), frame.cast("long").alias("frame"), F.flatten(F.col("p.e")).alias("e"))
 
     def run(batches):
         for batch in batches:
-            values = batch.column("e").flatten().to_numpy().reshape(-1, 2, 2, SIDE // 2, SIDE // 2)
+            values = batch.column("e").flatten().to_numpy().reshape(-1, BLOCKS, BLOCKS, 8, 8)
             image = np.clip(np.rint(values * 200 + 128), 0, 255).astype(np.uint8).transpose(0, 1, 3, 2, 4).reshape(-1, SIDE * SIDE)
             size = pa.array([SIDE] * batch.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("frame"), size, size, pa.array([i.tobytes() for i in image], pa.binary())], names=["video_id", "frame", "h", "w", "pixels"])
@@ -107,8 +107,8 @@ def dense_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.mapped(flat, run, dense.FRAME)
 
 
-DENSE_SQL = f"""four AS (SELECT vec_id // 4 AS n FROM embeddings GROUP BY vec_id // 4 HAVING count(*) = 4),
+DENSE_SQL = f"""whole AS (SELECT vec_id // {BLOCKS**2} AS n FROM embeddings GROUP BY vec_id // {BLOCKS**2} HAVING count(*) = {BLOCKS**2}),
   lv AS (SELECT CASE WHEN n % 3 = 0 THEN 'a' ELSE 'b' END AS video_id, CASE WHEN n % 3 = 0 THEN n // 3 ELSE n // 3 * 2 + n % 3 - 1 END AS frame,
-    CAST(part % 2 * {SIDE // 2} + pos % {SIDE // 2} AS INTEGER) AS x, CAST(part // 2 * {SIDE // 2} + pos // {SIDE // 2} AS INTEGER) AS y,
+    CAST(part % {BLOCKS} * 8 + pos % 8 AS INTEGER) AS x, CAST(part // {BLOCKS} * 8 + pos // 8 AS INTEGER) AS y,
     CAST(least(greatest(round_even(CAST(px AS DOUBLE) * 200 + 128, 0), 0), 255) AS DOUBLE) AS v
-  FROM (SELECT vec_id // 4 AS n, vec_id % 4 AS part, unnest(embedding) AS px, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) e JOIN four USING (n))"""
+  FROM (SELECT vec_id // {BLOCKS**2} AS n, vec_id % {BLOCKS**2} AS part, unnest(embedding) AS px, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) e JOIN whole USING (n))"""

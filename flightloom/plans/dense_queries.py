@@ -10,10 +10,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from flightloom.operators import dense, layers, pixels, zones
-from flightloom.plans.image_queries import gauss_weights, kernel_sql
+from flightloom.plans.image_queries import gathered, gauss_weights, in_batches, kernel_sql
 from flightloom.sources import adapters as ad
 from flightloom.sources import config as settings
 from flightloom.sources import readers, scratch, video_files
+from flightloom.streaming import stateful
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -204,6 +205,13 @@ def _(spark, d):
     return dense.vegetation_mask(dense.vegetation_samples(f, dense.frame_counts(f)), 50.0, 24)
 
 
+@query("motion_heat_tiles_stream", f"WITH {ad.DENSE_SQL}, ch AS (SELECT video_id, x, y, abs(v - lag(v) OVER (PARTITION BY video_id, x, y ORDER BY frame)) AS d FROM lv) SELECT video_id, x, y, coalesce(sum(d) FILTER (d > 14), 0.0) AS energy FROM ch GROUP BY ALL")
+def _(spark, d):
+    """The heat that a stream of dense frames has at its end, by the states of its tiles."""
+    tiles = gathered(spark, stateful.motion_heat_tile_stream(in_batches(spark, ad.dense_frames(spark, d), "frame"), 14.0, 300), "update")
+    return dense.to_pixels(stateful.whole_heat(tiles), "energy", "f8", "energy")
+
+
 # ---- a frame beside its background
 
 @query("dense_frame_statistics", f"WITH {BACK} SELECT video_id, frame, avg(l.v) - avg(bg.v) AS mean_shift, avg(CASE WHEN abs(l.v - bg.v) > 24 THEN 1.0 ELSE 0.0 END) AS foreground FROM lv l JOIN bg USING (video_id, x, y) GROUP BY ALL")

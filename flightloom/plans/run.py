@@ -37,6 +37,7 @@ class Run:
     region: DataFrame | None = None
     zones: DataFrame | None = None
     source_scores: DataFrame | None = None
+    trails: DataFrame | None = None
 
 
 def filter_detections(detections: DataFrame, cfg: dict, region: DataFrame | None = None) -> DataFrame:
@@ -106,13 +107,15 @@ def choose_region(points: DataFrame, background: DataFrame, heat: DataFrame, cfg
 
 def run(
     config: dict, size: tuple[int, int], fps: float = 25.0, detections: DataFrame | None = None, raw_points: DataFrame | None = None, region: DataFrame | None = None, vegetation: DataFrame | None = None, secondary: DataFrame | None = None, secondary_points: DataFrame | None = None, frames: DataFrame | None = None,
+    chunk_frames: int | None = None,
 ) -> Run:
     """region, vegetation: pixels (video_id, x, y). secondary: detections of a
     second pass, fused with the first; secondary_points: tracks of another
     tracker, added where no primary track accompanies them. frames: dense (video_id, frame, h, w,
     pixels) or pixel rows (video_id, frame, x, y, v of 0..255), which are made dense: detections come from
     them if none are given, within their valid region if asked for, the entry region (where no region is given) from
-    that and their zones, and heat events if these are on. Each video's samples are placed in its own frames."""
+    that and their zones, and heat events if these are on. Each video's samples are placed in its own frames.
+    chunk_frames: long busy videos are tracked in chunks of so many frames (``tracking.track_chunks``)."""
     config = settings.load(config)
     t, det = config["tracking"], config["detection"]
     scaled = lambda v: resolution_scale(v, size, bool(t["auto_scale_with_resolution"]), (t["reference_width"], t["reference_height"]))
@@ -131,7 +134,7 @@ def run(
         if secondary is not None:
             s = config["secondary_detection"]
             d = tracking.fuse_detections(d, filter_detections(secondary, settings.secondary_detection(det, s)), s["dedupe_max_distance_px"], s["dedupe_min_iou"]).drop("origin")
-        options = {"max_distance": scaled(t["max_distance"]), "max_missed": t["max_missed"], "fps": fps}
+        options = {"chunk": chunk_frames, "max_distance": scaled(t["max_distance"]), "max_missed": t["max_missed"], "fps": fps}
         if t["tracker"] == "kalman":
             options |= {"sigma": t["kalman_sigma_acc"], "measured": t["kalman_measurement_std"], "strong_area": t["kalman_high_area_threshold"]}
         raw_points = tracking.track(gate_bursts(written(d), det), t["tracker"], **options)
@@ -191,8 +194,14 @@ def run(
         fast = written(fast_events.both_passes(merged, assessments, {k: w for k, w in config["fast_events"].items() if k != "enabled"}, fps, float(size[1])))
     if fast is not None and frames is not None and h["enabled"]:
         heated = layers.heatmap_events(fast, frames, None, h["threshold"], h["padding_frames"], h["percentile"], h["corridor_width"], max(3, h["bins"]) - 1, h["min_points"], h["min_displacement"], h["first_event_id"], h["max_events"], h["seed_y_min"], h["y_max"])
+    trails, ft = None, config["flight_trails"]
+    if ft["enabled"]:
+        trails = windows.coherent_trails(
+            points, max(2, ft["history_frames"]), max(1, ft["max_track_gap_frames"]), max(2, ft["min_history_points"]), ft["min_recent_path_length_px"], ft["min_recent_displacement_px"],
+            ft["min_recent_straightness"], ft["stationary_radius_px"], ft["min_segment_displacement_px"],
+        )
     shown = points
     if out["trajectory_smoothing_enabled"]:
         s = windows.smooth(points, out["trajectory_smoothing_window"])
         shown = s.withColumns({"x": F.col("x_s"), "y": F.col("y_s")}).drop("x_s", "y_s")
-    return Run(raw_points, merged, merges, assessments, points, decisions, found_pairs, rescues, summary.summarise(shown), fast, summary.run_metrics(points), heated, background, region, found_zones, scores)
+    return Run(raw_points, merged, merges, assessments, points, decisions, found_pairs, rescues, summary.summarise(shown), fast, summary.run_metrics(points), heated, background, region, found_zones, scores, trails)

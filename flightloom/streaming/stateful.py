@@ -12,17 +12,21 @@ import pickle
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from flightloom.operators import dense
 from flightloom.operators.tracking import NAMES, POINT_DDL, make_tracker, walk
 from flightloom.operators.windows import Gate
 
 #: State of a track or pixel that nothing has come for in so long is dropped.
 IDLE_MS = 3_600_000
+#: Side of a tile of trail weights.
+SIDE = 64
 
 
 def track_stream(detections: DataFrame, kind: str = "kalman", **options) -> DataFrame:
@@ -98,26 +102,67 @@ def trail_stream(points: DataFrame, history: int = 12, max_gap: int = 2, idle_ms
     return points.groupBy("video_id", "track_id").applyInPandasWithState(step, "video_id string, track_id long, frame long, coherent boolean", "state binary", "append", _timeout(idle_ms))
 
 
-def trail_energy_stream(points: DataFrame, decay: float = 0.9, idle_ms: int | None = IDLE_MS) -> DataFrame:
+def trail_energy_stream(points: DataFrame, decay: float = 0.9, idle_ms: int | None = IDLE_MS, side: int = SIDE) -> DataFrame:
     """Decayed weight of each pixel a track point fell on: video_id, x, y, frame,
-    energy, at each batch. A pixel that nothing meets for ``idle_ms`` is forgotten:
-    its weight has decayed."""
+    energy of the pixels met, at each batch. The state of a tile of ``side`` x ``side`` pixels is an array of their
+    weights and of the frames they hold for; late points count by how old they are. A tile that nothing meets for
+    ``idle_ms`` is forgotten: its weights have decayed."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        energy, last = state.get if state.exists else (0.0, None)
-        for f in sorted(f for pdf in pdfs for f in pdf.frame):
-            energy = energy * decay ** (f - last) + 1.0 if last is not None else 1.0
-            last = int(f)
-        state.update((float(energy), last))
+        energy, last = (np.frombuffer(b, k).copy() for b, k in zip(state.get, ("<f8", "<i8"))) if state.exists else (np.zeros(side * side), np.full(side * side, -1, np.int64))
+        pdf = pd.concat(list(pdfs))
+        pdf = pdf.assign(at=(pdf.y - key[2] * side) * side + pdf.x - key[1] * side).sort_values("frame", kind="stable")
+        for i, f in zip(pdf["at"].to_numpy(), pdf.frame.to_numpy()):
+            if last[i] < 0 or f >= last[i]:
+                energy[i] = 1.0 + (energy[i] * decay ** (f - last[i]) if last[i] >= 0 else 0.0)
+                last[i] = f
+            else:
+                energy[i] += decay ** (last[i] - f)
+        state.update((energy.tobytes(), last.tobytes()))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame([(*key, last, float(energy))], columns=["video_id", "x", "y", "frame", "energy"])
+        met = np.unique(pdf["at"].to_numpy())
+        yield pd.DataFrame({"video_id": key[0], "x": (met % side + key[1] * side).astype(np.int32), "y": (met // side + key[2] * side).astype(np.int32), "frame": last[met], "energy": energy[met]})
 
     px = points.select("video_id", F.rint("x").cast("int").alias("x"), F.rint("y").cast("int").alias("y"), "frame")
-    return px.groupBy("video_id", "x", "y").applyInPandasWithState(step, "video_id string, x int, y int, frame long, energy double", "energy double, frame long", "update", _timeout(idle_ms))
+    px = px.withColumns({"_tx": F.floor(F.col("x") / side).cast("int"), "_ty": F.floor(F.col("y") / side).cast("int")})
+    return px.groupBy("video_id", "_tx", "_ty").applyInPandasWithState(step, "video_id string, x int, y int, frame long, energy double", "energy binary, last binary", "update", _timeout(idle_ms))
+
+
+def motion_heat_tile_stream(frames: DataFrame, threshold: float = 0.0, tile: int = dense.TILE) -> DataFrame:
+    """Sum of each pixel's changes above a threshold on a stream of dense frames: video_id, tile, h, w, frame (the last),
+    energy (doubles of the tile's pixels), at each batch. The state of a tile of a video is its last pixels and their sums,
+    so a frame is as many rows as it has tiles; late frames are dropped. ``whole_heat`` puts tiles together."""
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        frame, before, energy = state.get if state.exists else (-1, None, None)
+        before, energy = before and np.frombuffer(before, np.uint8), energy and np.frombuffer(energy, "<f8").copy()
+        pdf = pd.concat(list(pdfs)).sort_values("frame")
+        for f, px in zip(pdf.frame, pdf.px):
+            if f <= frame:
+                continue
+            now = np.frombuffer(px, np.uint8)
+            if before is None:
+                energy = np.zeros(len(now))
+            else:
+                change = np.abs(now.astype(np.float64) - before)
+                energy += np.where(change > threshold, change, 0.0)
+            frame, before = int(f), now
+        state.update((frame, before.tobytes(), energy.tobytes()))
+        yield pd.DataFrame({"video_id": [key[0]], "tile": [key[1]], "h": [pdf.h.iloc[0]], "w": [pdf.w.iloc[0]], "frame": [frame], "energy": [energy.tobytes()]})
+
+    return dense.tiles(frames, tile).groupBy("video_id", "tile").applyInPandasWithState(step, "video_id string, tile int, h int, w int, frame long, energy binary", "frame long, last binary, energy binary", "update", GroupStateTimeout.NoTimeout)
+
+
+def whole_heat(tiles: DataFrame) -> DataFrame:
+    """Images (video_id, h, w, energy) of the last state of each tile that a stream gave."""
+    last = tiles.groupBy("video_id", "tile").agg(F.max_by(F.struct("h", "w", "energy"), "frame").alias("t"))
+    parts = last.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("tile", "t"))).alias("p"))
+    joined = F.unhex(F.array_join(F.transform("p", lambda p: F.hex(p["t"]["energy"])), ""))  # one image of a video
+    return parts.select("video_id", F.col("p")[0]["t"]["h"].alias("h"), F.col("p")[0]["t"]["w"].alias("w"), joined.alias("energy"))
 
 
 def motion_heat_stream(frames: DataFrame, threshold: float = 0.0) -> DataFrame:

@@ -287,3 +287,19 @@ def test_broken_files_are_errors(spark, tmp_path, name, data, match):
 
 def test_a_folder_without_videos(spark, tmp_path):
     assert video_files.frames(spark, str(tmp_path)).count() == 0 and video_files.videos(spark, str(tmp_path)).count() == 0
+
+
+def test_heat_of_tiles_on_a_stream(spark, tmp_path):
+    """Frames of 256 x 256 in three batches, one of them late: the sums of a batch, a row a tile."""
+    from flightloom.streaming import stateful
+
+    images = noisy(9, 256, 256, 6, size=30)
+    for part in (images[:4], images[4:7], [*images[7:], (2, images[5][1])]):
+        frames_of(spark, {"v": part}).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(dense.FRAME).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stateful.motion_heat_tile_stream(stream, 14.0).writeStream.format("memory").queryName("tile_heat").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    rows = spark.table("tile_heat")
+    assert rows.select("tile").distinct().count() == 16 and rows.count() <= 3 * 16
+    got = images_by_video(stateful.whole_heat(rows), "energy", np.float64)["v"]
+    assert np.allclose(got, plain_heat(images, 14, 0, 0)) and got.any()

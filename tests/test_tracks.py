@@ -218,3 +218,149 @@ def test_settings():
         with pytest.raises(ValueError):
             config.load(bad)
     assert config.odd(4) == 5 and config.number_list("1; 2") == [1, 2]
+
+
+def flights(seed=5, frames=400, n=30, size=2000.0):
+    """Fliers that come and go in a wide scene, with misses and noise; never more than a few apart at once."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        begin, length = int(rng.integers(0, frames - 60)), int(rng.integers(50, 220))
+        x, y = rng.uniform(0, size, 2)
+        vx, vy = rng.uniform(-5, 5, 2)
+        for f in range(begin, min(frames, begin + length)):
+            if rng.random() < 0.93:
+                rows.append((f, x + vx * (f - begin) + rng.normal(0, 0.5), y + vy * (f - begin) + rng.normal(0, 0.5), float(rng.integers(5, 60))))
+    rows += [(f, 5.0, 5.0 + f % 3, 9.0) for f in range(frames)]  # the video is never silent
+    out, seen = [], {}
+    for f, x, y, area in sorted(rows):
+        seen[f] = seen.get(f, -1) + 1
+        out.append(("v", f, seen[f], float(x), float(y), int(x) - 2, int(y) - 2, int(x) + 2, int(y) + 2, area))
+    return out
+
+
+def as_sets(points):
+    """Tracks as sets of (frame, place), whatever their ids."""
+    found = {}
+    for r in points:
+        found.setdefault(r.track_id, set()).add((r.frame, round(r.x, 6), round(r.y, 6)))
+    return {frozenset(t) for t in found.values()}
+
+
+@pytest.mark.parametrize("kind", ["greedy", "kalman"])
+def test_chunks_give_the_tracks_of_one_walk(spark, kind):
+    from flightloom.sources.readers import DETECTIONS
+
+    d = spark.createDataFrame(flights(), DETECTIONS)
+    options = {"max_distance": 30.0, "max_missed": 5, "fps": FPS}
+    whole = tracking.track(d, kind, **options).collect()
+    cut = tracking.track(d, kind, chunk=80, overlap=40, **options).collect()
+    assert as_sets(whole) == as_sets(cut) and len(cut) == len(whole) and max(len(t) for t in as_sets(cut)) > 200
+    speed = {(r.frame, r.x, r.y): (r.vx, r.vy) for r in whole}
+    assert all(abs(r.vx - speed[r.frame, r.x, r.y][0]) + abs(r.vy - speed[r.frame, r.x, r.y][1]) < 0.05 for r in cut)
+    late = d.where("frame >= 170")  # a video that begins in a later chunk keeps its head
+    assert as_sets(tracking.track(late, kind, **options).collect()) == as_sets(tracking.track(late, kind, chunk=80, overlap=40, **options).collect())
+    with pytest.raises(ValueError):
+        tracking.track(d, kind, chunk=10, overlap=10, **options)
+    assert tracking.track(d.where("false"), kind, chunk=80, **options).count() == 0
+
+
+class PlainKalman:
+    """The Kalman step in the plainest form: lists, full covariance matrices, one matching over the whole frame by trying all."""
+
+    def __init__(self, reach, missed, fps, sigma, measured, strong_area, weak_reach=1.0):
+        self.reach, self.missed, self.fps, self.sigma, self.measured, self.strong, self.weak = reach, missed, fps, sigma, measured, strong_area, weak_reach
+        self.tracks, self.waiting, self.next = [], [], 0
+
+    def predict(self, t):
+        step = np.array([[1, 0, 1, 0], [0, 1, 0, 1], [0, 0, 1, 0], [0, 0, 0, 1.0]])
+        g = np.array([[0.5, 0], [0, 0.5], [1, 0], [0, 1.0]]) * self.sigma
+        t["m"], t["p"] = step @ t["m"], step @ t["p"] @ step.T + g @ g.T
+
+    def correct(self, t, place):
+        look = np.eye(2, 4)
+        s = look @ t["p"] @ look.T + self.measured**2 * np.eye(2)
+        k = t["p"] @ look.T @ np.linalg.inv(s)
+        t["m"] = t["m"] + k @ (np.array(place) - look @ t["m"])
+        t["p"] = (np.eye(4) - k @ look) @ t["p"]
+        t["missed"] = 0
+
+    def match(self, tracks, rows, reach):
+        """Most pairs within reach, then the least total distance, by trying every way."""
+        best = (0, 0.0, [])
+
+        def go(i, used, total, chosen):
+            nonlocal best
+            if i == len(tracks):
+                if (-len(chosen), total) < (-best[0], best[1]) or not best[2] and chosen:
+                    best = (len(chosen), total, list(chosen))
+                return
+            go(i + 1, used, total, chosen)
+            for j, r in rows:
+                far = float(np.hypot(tracks[i]["m"][0] - r[0], tracks[i]["m"][1] - r[1]))
+                if j not in used and far <= reach:
+                    go(i + 1, used | {j}, total + far, [*chosen, (i, j)])
+
+        go(0, frozenset(), 0.0, [])
+        return best[2]
+
+    def step(self, frame, rows):
+        for t in self.tracks:
+            self.predict(t)
+        strong, weak = [(j, r) for j, r in enumerate(rows) if r[6] >= self.strong], [(j, r) for j, r in enumerate(rows) if r[6] < self.strong]
+        out, told, hit, used = [], [], set(), set()
+        for group, reach in ((strong, self.reach), (weak, self.reach * self.weak)):
+            free = [t for t in self.tracks if t["id"] not in hit]
+            for i, j in self.match(free, group, reach):
+                t = free[i]
+                self.correct(t, rows[j][:2])
+                hit.add(t["id"])
+                used.add(j)
+                out.append((t["id"], frame, rows[j][:2], t["m"][2] * self.fps, t["m"][3] * self.fps))
+                told.append(tuple(t["m"][:2]))
+        for t in self.tracks:
+            t["missed"] += t["id"] not in hit
+        self.tracks = [t for t in self.tracks if t["missed"] <= self.missed]
+        self.waiting = [w for w in self.waiting if frame - w[0] <= 2]
+        rest = []
+        for j, r in strong:
+            if j in used:
+                continue
+            near = sorted((float(np.hypot(w[1][0] - r[0], w[1][1] - r[1])), k) for k, w in enumerate(self.waiting))
+            if not near or near[0][0] >= 0.7 * self.reach:
+                rest.append(r)
+                continue
+            then, first = self.waiting.pop(near[0][1])
+            v = [(r[0] - first[0]) / max(1, frame - then), (r[1] - first[1]) / max(1, frame - then)]
+            wide, fast = 2 * self.measured**2, max(1.0, self.reach / 2) ** 2
+            t = {"id": self.next, "m": np.array([first[0], first[1], *v]), "p": np.diag([wide, wide, fast, fast]), "missed": 0}
+            self.next += 1
+            out.append((t["id"], then, first[:2], v[0] * self.fps, v[1] * self.fps))
+            self.correct(t, r[:2])
+            out.append((t["id"], frame, r[:2], t["m"][2] * self.fps, t["m"][3] * self.fps))
+            told.append(tuple(r[:2]))
+            self.tracks.append(t)
+        self.waiting += [(frame, r) for r in rest if all(np.hypot(c[0] - r[0], c[1] - r[1]) >= min(120.0, 0.8 * self.reach) for c in told)]
+        return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_kalman_step_against_a_plain_twin(seed):
+    """Random crowded frames with misses, weak detections and gaps: the same points, velocities and ends of tracks."""
+    rng = np.random.default_rng(seed)
+    reach, missed, strong = 25.0, 3, 20.0
+    ours, plain = tracking.Kalman(reach, missed, FPS, 3.0, 2.0, strong, 0.8), PlainKalman(reach, missed, FPS, 3.0, 2.0, strong, 0.8)
+    place, speed = rng.uniform(0, 90, (5, 2)), rng.uniform(-6, 6, (5, 2))
+    ids = set()
+    for frame in range(60):
+        place = place + speed
+        rows = [(float(x), float(y), 0, 0, 0, 0, float(rng.choice([10.0, 30.0])), 0) for x, y in place[rng.random(5) < 0.8] + rng.normal(0, 1, 2)]
+        rows += [(float(x), float(y), 0, 0, 0, 0, 30.0, 0) for x, y in rng.uniform(-50, 150, (int(rng.integers(0, 2)), 2))]
+        rows = [] if frame in (20, 21, 22, 23, 24, 40) else rows
+        place = np.where(rng.random((5, 1)) < 0.02, rng.uniform(0, 90, (5, 2)), place)
+        a, b = ours.step(frame, rows), plain.step(frame, rows)
+        key = lambda out: sorted((f, round(r[0], 9), round(r[1], 9), round(vx, 6), round(vy, 6)) for _, f, r, vx, vy in out)
+        assert key(a) == key(b)
+        ids |= {(x[0], y[0]) for x in a for y in b if x[1:2] + tuple(x[2][:2]) == y[1:2] + tuple(y[2])}
+        assert len(ours.active) == len(plain.tracks) and len(ours.pending) == len(plain.waiting)
+    assert len({a for a, _ in ids}) == len(ids) == len({b for _, b in ids})  # the same tracks under other ids

@@ -35,8 +35,8 @@ QUERY_BATCH = 256
 #: Segments whose bounds a batch meets at once; batches that are searched in one segment at once.
 PAGE, SHARE = 256, 64
 PIVOTS = 128
-#: Components are stored in 32 bits; scores are 64-bit sums. ``checked`` fails where either would overflow.
-LIMIT = 1 << 31
+#: Components are stored in 32 bits below the first limit, else in 64; scores are 64-bit sums.
+NARROW, WIDE = 1 << 31, 1 << 62
 _CELL = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -48,31 +48,37 @@ def quantised(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select("vec_id", whole.alias("v"))
 
 
-def checked(dim: int, peak: float) -> int:
-    """The dimensions (1 at least), if every sum of ``dim`` products of components up to ``peak`` fits in 64 bits."""
-    dim = max(1, dim)
-    if peak >= LIMIT or int(peak) ** 2 * dim >= 1 << 63:
-        raise OverflowError(f"inner products of {dim} components up to {peak:.0f} (x {SCALE}) do not fit in 64 bits")
-    return dim
+def checked(dim: int, peak: float) -> tuple[int, str]:
+    """The dimensions (1 at least) and the kind of number that holds components up to ``peak``."""
+    if peak >= WIDE:
+        raise OverflowError(f"components up to {peak:.0f} (x {SCALE}) do not fit")
+    return max(1, dim), "<i4" if peak < NARROW else "<i8"
 
 
-def matrix(lists: pa.Array, dim: int) -> np.ndarray:
+def matrix(lists: pa.Array, dim: int, kind: str = "<f8") -> np.ndarray:
     """[vector, dim]; shorter vectors are filled with zeros."""
     offsets = lists.offsets.to_numpy()
     values = lists.flatten().to_numpy(zero_copy_only=False)
     sizes = np.diff(offsets)
     if (sizes == dim).all():
-        return values.reshape(-1, dim).astype(np.float64)
-    out = np.zeros((len(sizes), dim))
+        return values.reshape(-1, dim).astype(kind)
+    out = np.zeros((len(sizes), dim), kind)
     rows = np.repeat(np.arange(len(sizes)), sizes)
     out[rows, np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = values
     return out
 
 
-def dot(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Whole-number products: in doubles while those are exact, else in 64-bit integers."""
-    peak = (np.abs(q).max(initial=0) * np.abs(d).max(initial=0)) * q.shape[1]
-    return (q @ d.T).astype(np.int64) if peak < 2**53 else np.einsum("ij,kj->ik", q.astype(np.int64), d.astype(np.int64))
+def dot(q: np.ndarray, d: np.ndarray, but: np.ndarray) -> np.ndarray:
+    """Whole-number products: in doubles while those are exact, else in 64-bit integers, where sums may pass
+    the ends of the range as long as the product itself lies within; one that does not raises OverflowError,
+    except where ``but`` says that it does not count."""
+    near = q.astype(np.float64) @ d.T.astype(np.float64)
+    if float(np.abs(q).max(initial=0)) * float(np.abs(d).max(initial=0)) * q.shape[1] < 2**53:
+        return near.astype(np.int64)
+    if np.abs(np.where(but, 0.0, near)).max(initial=0) >= 2.0**63:
+        raise OverflowError("an inner product does not fit in 64 bits")
+    with np.errstate(over="ignore"):
+        return np.einsum("ij,kj->ik", q.astype(np.int64), d.astype(np.int64))
 
 
 def _orders(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, dim: int) -> Iterator[pa.RecordBatch]:
@@ -87,13 +93,13 @@ def _orders(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, dim: int) ->
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array((best * 64 + np.clip((1 - near.max(axis=1)) * 32, 0, 63).astype(np.int64)).astype(np.int32))], names=["vec_id", "v", "near"])
 
 
-def segments(spark: SparkSession, vectors: DataFrame, dim: int) -> DataFrame:
-    """seg, ids, data (int32 [vector, dim]), high and low (int32 [block, dim]), top and
-    bottom (int32 [dim]) of runs of SEGMENT vectors of each task, in the order of similarity."""
+def segments(spark: SparkSession, vectors: DataFrame, dim: int, kind: str) -> DataFrame:
+    """seg, ids, data ([vector, dim] of a kind of number), high and low ([block, dim]), top and
+    bottom ([dim]) of runs of SEGMENT vectors of each task, in the order of similarity."""
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("v").toArrow()["v"].combine_chunks()
     pivots = matrix(sample, dim) if len(sample) else np.zeros((0, dim))
     pivots = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-9)
-    placed = vectors.transform(mapped, partial(_orders, pivots=pivots, dim=dim), "vec_id long, v array<int>, near int")
+    placed = vectors.transform(mapped, partial(_orders, pivots=pivots, dim=dim), f"vec_id long, v array<{'int' if kind == '<i4' else 'bigint'}>, near int")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -114,7 +120,7 @@ def segments(spark: SparkSession, vectors: DataFrame, dim: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 ids.append(batch.column("vec_id").to_numpy())
-                rows.append(matrix(batch.column("v"), dim).astype(np.int32))
+                rows.append(matrix(batch.column("v"), dim, kind))
                 held += batch.num_rows
             while held >= SEGMENT:
                 yield made(SEGMENT)
@@ -134,9 +140,15 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def below(score: int) -> float:
+    """A score as a double that is not above it."""
+    return float(score) if abs(score) < 2**53 else float(np.nextafter(float(score), -np.inf))
+
+
 def block_bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """No less than any score of a query in a block: the larger product of each
     term, with room for rounding where doubles are not exact."""
+    q = q.astype(np.float64)
     bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     size = np.maximum(np.abs(high), np.abs(low))
     if np.abs(q).max(initial=0) * size.max(initial=0) * q.shape[1] < 2**53:
@@ -160,7 +172,8 @@ def search_cell(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.nda
         for b in np.unique(block_of):  # queries that meet in a block are scored together
             who = active[block_of == b]
             part = slice(b * BLOCK, (b + 1) * BLOCK)
-            scores, own = dot(q[who], data[part]), ids[part]
+            own = ids[part]
+            scores = dot(q[who], data[part], q_ids[who][:, None] == own)
             scored += len(who)
             for i, s in zip(who, scores):
                 fit = np.flatnonzero((s >= floor[i]) & (own != q_ids[i]))
@@ -170,23 +183,29 @@ def search_cell(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.nda
                 top = best_of(s_all, i_all, k)
                 found[i], found_ids[i] = s_all[top], i_all[top]
                 if len(top) == k:
-                    floor[i] = max(floor[i], found[i][-1])
+                    floor[i] = max(floor[i], below(int(found[i][-1])))
     return [(int(a), int(b), int(c)) for i, a in enumerate(q_ids) for b, c in zip(found_ids[i], found[i])], scored
 
 
-def _blocks(row: dict, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["ids"], "<i8"), *(np.frombuffer(row[c], np.int32).reshape(-1, dim).astype(np.float64) for c in ("data", "high", "low"))
+def _numbers(raw: bytes, dim: int, kind: str) -> np.ndarray:
+    """Stored components; narrow ones as doubles, which hold them and multiply faster."""
+    x = np.frombuffer(raw, kind).reshape(-1, dim)
+    return x.astype(np.float64) if kind == "<i4" else x
+
+
+def _blocks(row: dict, dim: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row["ids"], "<i8"), _numbers(row["data"], dim, kind), *(_numbers(row[c], dim, kind).astype(np.float64) for c in ("high", "low"))
 
 
 _QUERIES = "batch string, q_ids binary, q binary, floor binary, top binary, bottom binary, least double"
 
 
-def _own(batches: Iterator[pa.RecordBatch], dim: int, modulus: int, k: int) -> Iterator[pa.RecordBatch]:
+def _own(batches: Iterator[pa.RecordBatch], dim: int, kind: str, modulus: int, k: int) -> Iterator[pa.RecordBatch]:
     """Queries of each segment, in batches, with the k-th score within their own segment."""
     schema = pa.schema([("batch", pa.string()), *((c, pa.binary()) for c in ("q_ids", "q", "floor", "top", "bottom")), ("least", pa.float64())])
     for batch in batches:
         for row in batch.to_pylist():
-            ids, data, high, low = _blocks(row, dim)
+            ids, data, high, low = _blocks(row, dim, kind)
             at = np.flatnonzero(ids % modulus == 0)
             for a in range(0, len(at), QUERY_BATCH):
                 part = at[a : a + QUERY_BATCH]
@@ -197,16 +216,16 @@ def _own(batches: Iterator[pa.RecordBatch], dim: int, modulus: int, k: int) -> I
                 place = {i: n for n, i in enumerate(ids[part].tolist())}
                 for i, (s, n) in zip(kth.index, kth.to_numpy()):
                     if n == k and (ids[part] == i).sum() == 1:
-                        floor[place[i]] = s
-                q = data[part].astype(np.int32)
+                        floor[place[i]] = below(int(s))
+                q = data[part].astype(kind)
                 yield out_batch(schema, batch=[f"{row['seg']}-{a}"], q_ids=[ids[part].astype("<i8").tobytes()], q=[q.tobytes()], floor=[floor.tobytes()], top=[q.max(axis=0).tobytes()], bottom=[q.min(axis=0).tobytes()], least=[float(floor.min())])
 
 
-def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reach(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     """Cells that may hold a result: batch, seg. No product of a query and a vector
     exceeds, in a term, the largest of the four products of both ends' values."""
     schema = pa.schema([("batch", pa.string()), ("seg", pa.int64())])
-    whole = lambda x: np.frombuffer(x, np.int32).astype(np.float64)
+    whole = lambda x: np.frombuffer(x, kind).astype(np.float64)
     for batch in batches:
         for r in batch.to_pylist():
             segs = r["page"]
@@ -218,13 +237,13 @@ def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out_batch(schema, batch=[r["batch"]] * len(fit), seg=fit)
 
 
-def _searcher(dim: int, k: int):
+def _searcher(dim: int, kind: str, k: int):
     def search(cells: pa.Table, segment: pa.Table) -> pa.Table:
         found = []
         for s in segment.to_pylist():  # one
-            blocks = _blocks(s, dim)
+            blocks = _blocks(s, dim, kind)
             for r in cells.to_pylist():
-                q_ids, q = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q"], np.int32).reshape(-1, dim).astype(np.float64)
+                q_ids, q = np.frombuffer(r["q_ids"], "<i8"), _numbers(r["q"], dim, kind)
                 found += search_cell(q_ids, q, np.frombuffer(r["floor"], np.float64), *blocks, k)[0]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], [], []))], schema=_CELL)
 
@@ -237,8 +256,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, modulus: int = 50, k: int = 5
     fewer), ties to smaller ids.
 
     Vectors that are null or hold null or non-finite components take no part;
-    missing dimensions count as 0 (an empty vector's scores are 0). Components
-    whose products might not fit in 64 bits raise OverflowError. Rows
+    missing dimensions count as 0 (an empty vector's scores are 0). Components of 2^62 / SCALE or more,
+    and a product that is met and does not fit in 64 bits, raise OverflowError. Rows
     that repeat an id are candidates each, but never of their own id; a
     repeated query id has one list. No vectors give no rows; other columns
     are ignored."""
@@ -246,18 +265,19 @@ def top_k(spark: SparkSession, vectors: DataFrame, modulus: int = 50, k: int = 5
     dim, peak = whole.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()
     if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim, whole = checked(dim, peak or 0.0), whole.withColumn("v", F.col("v").cast("array<int>"))
-    segs = segments(spark, whole, dim)
-    queries = saved(spark, segs.transform(mapped, partial(_own, dim=dim, modulus=modulus, k=k), _QUERIES), "queries")
+    dim, kind = checked(dim, peak or 0.0)
+    whole = whole.withColumn("v", F.col("v").cast("array<int>")) if kind == "<i4" else whole
+    segs = segments(spark, whole, dim, kind)
+    queries = saved(spark, segs.transform(mapped, partial(_own, dim=dim, kind=kind, modulus=modulus, k=k), _QUERIES), "queries")
     n_pages, n_shares = -(-segs.count() // PAGE), max(1, -(-queries.count() // SHARE))
     pages = segs.select(F.pmod(F.xxhash64("seg"), F.lit(n_pages)).alias("place"), F.struct("seg", "top", "bottom").alias("s")).groupBy("place").agg(F.collect_list("s").alias("page"))  # about PAGE small rows
     spread = queries.select("batch", "top", "bottom", "least", F.explode(F.sequence(F.lit(0), F.lit(n_pages - 1)).cast("array<bigint>")).alias("place"))
-    cells = saved(spark, spread.join(pages, "place").select("batch", "top", "bottom", "least", "page").transform(mapped, _reach, "batch string, seg long"), "cells")
+    cells = saved(spark, spread.join(pages, "place").select("batch", "top", "bottom", "least", "page").transform(mapped, partial(_reach, kind=kind), "batch string, seg long"), "cells")
     placed = cells.withColumn("share", F.pmod(F.xxhash64("batch"), F.lit(n_shares)))
     asked = placed.join(queries.select("batch", "q_ids", "q", "floor"), "batch")
     held = segs.select("seg", "ids", "data", "high", "low").join(placed.select("seg", "share").distinct(), "seg")
     asked, held = asked.toDF(*asked.columns), held.toDF(*held.columns)
-    found = asked.groupBy("seg", "share").cogroup(held.groupBy("seg", "share")).applyInArrow(_searcher(dim, k), "query_id long, vec_id long, score long")
+    found = asked.groupBy("seg", "share").cogroup(held.groupBy("seg", "share")).applyInArrow(_searcher(dim, kind, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -289,8 +289,20 @@ def test_topk_of_large_components(spark):
         scores = sorted((-sum(s * t for s, t in zip(q[a], q[b])), d) for b, d in enumerate(ids) if b != a)
         want |= {(ids[a], r + 1): (d, -s) for r, (s, d) in enumerate(scores[:5])}
     assert max(abs(s) for _, s in want.values()) > 2**58 and got == want
-    with pytest.raises(OverflowError):
-        topk_search.top_k(spark, wide(spark, [(0, [5e6] * 8, 0), (1, [1.0] * 8, 0)])).collect()
+
+
+def test_topk_of_one_large_vector_among_small_ones(spark):
+    """Only products between different vectors count: one may be large beyond 32 bits, or beyond what its own square allows."""
+    for top in (1e7, 3e12):
+        rows = [(0, [top, 1.0], 0), (50, [2.0, 3.0], 0), (51, [1.0, 1.0], 0), (52, [-top, 0.5], 0)] if top < 1e8 else [(0, [top, 1.0], 0), (50, [2.0, 3.0], 0), (51, [1.0, 1.0], 0)]
+        whole = {i: [int(np.floor(256 * c)) for c in v] for i, v, _ in rows}
+        dot = lambda a, b: sum(s * t for s, t in zip(whole[a], whole[b]))
+        want = [(q, r, d, s) for q in (0, 50) for r, (s, d) in enumerate(sorted(((-dot(q, d), d) for d in whole if d != q))[:5], 1)]
+        got = sorted(tuple(r) for r in topk_search.top_k(spark, wide(spark, rows).repartition(2)).collect())
+        assert got == sorted((q, r, d, -s) for q, r, d, s in want)
+    for bad in ([(0, [1e8] * 8, 0), (1, [1e8] * 8, 0)], [(0, [1e18], 0), (1, [1.0], 0)]):
+        with pytest.raises(Exception, match="fit"):
+            topk_search.top_k(spark, wide(spark, bad)).collect()
 
 
 def wide(spark, rows):

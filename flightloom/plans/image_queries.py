@@ -3,8 +3,6 @@ independent engine. Frames are the 8 x 8 stand-ins of ``sources.adapters``."""
 
 from __future__ import annotations
 
-import json
-import tempfile
 import uuid
 
 import numpy as np
@@ -390,12 +388,10 @@ def _(spark, d):
 
 @query("run_document", base.SQL["run_metrics"])
 def _(spark, d):
-    path = f"{tempfile.mkdtemp(prefix='flightloom-')}/meta.json"
+    path = scratch.fresh_path(spark, "meta")
     sinks.export_meta(path, {}, summary.run_metrics(points(spark, d)), {})
-    with open(path, encoding="utf-8") as f:
-        rows = json.load(f)["metrics"]
-    kind = "video_id string, points_total long, tracks_total long, track_length_min long, track_length_max long, track_length_mean double"
-    return spark.createDataFrame([tuple(r[c.split()[0]] for c in kind.split(", ")) for r in rows], kind)
+    kind = "metrics struct<video_id:string,points_total:bigint,tracks_total:bigint,track_length_min:bigint,track_length_max:bigint,track_length_mean:double>"
+    return spark.read.schema(kind).json(path).select("metrics.*")
 
 
 # ---- streams: the same rows as in a batch

@@ -11,7 +11,7 @@ from flightloom.operators import filters, grouping, layers, pairs, regions, summ
 from flightloom.plans import catalog as base
 from flightloom.plans.catalog import ASSESS, ENDS, FAST_WHERE, FRAG_EDGES, FRAG_PTS, MET, PTS, RULES, SIZE, cosine_sql, fragments, points, sql_summary
 from flightloom.sources import adapters as ad
-from flightloom.sources import sinks
+from flightloom.sources import scratch, sinks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -358,6 +358,18 @@ def _(spark, d):
     return t.select("video_id", "t.track_id", "t.color", "t.direction", F.explode("t.points").alias("p")).select("video_id", "track_id", "color", "direction", "p.*")
 
 
+@query("render_documents", f"""WITH {ENDS} SELECT p.video_id, p.track_id, any_value(d.direction) AS direction, min(p.frame) AS frame_start, max(p.frame) AS frame_end, count(*) AS n, arg_min(p.x, p.frame) AS x_start,
+  {ad.FRAME_SIZE[0]} AS width, {ad.FRAME_SIZE[1]} AS height, 1 AS parts, 4 AS corners FROM pts p JOIN dirs d USING (video_id, track_id) GROUP BY p.video_id, p.track_id""")
+def _(spark, d):
+    path = scratch.fresh_path(spark, "render")
+    sinks.export_render(points(spark, d), path, ad.FRAME_SIZE, base.directed(spark, d), ad.mask_pixels(spark)).write.format("noop").mode("overwrite").save()
+    track = "struct<track_id:bigint,direction:string,frame_start:bigint,frame_end:bigint,point_start:struct<x:double>,points:array<struct<x:double>>>"
+    doc = spark.read.schema(f"width int, height int, valid_region struct<contours:array<array<struct<x:int,y:int>>>>, tracks array<{track}>").json(path)
+    contours = F.col("valid_region.contours")
+    t = doc.select(F.regexp_extract(F.input_file_name(), "([^/]+)[.]json$", 1).alias("video_id"), "width", "height", F.size(contours).alias("parts"), F.size(contours[0]).alias("corners"), F.explode("tracks").alias("t"))
+    return t.select("video_id", "t.track_id", "t.direction", "t.frame_start", "t.frame_end", F.size("t.points").cast("long").alias("n"), F.col("t.point_start.x").alias("x_start"), "width", "height", "parts", "corners")
+
+
 @query("review_suppressions", f"WITH {ASSESS} SELECT video_id, track_id, array_to_string(reasons, ';') AS reject_reasons FROM ass WHERE len(reasons) > 0")
 def _(spark, d):
     return filters.with_reason_text(sinks.review_tables(spark.createDataFrame([], "video_id string, track_a long, track_b long, merged_to long, reason string"), base.assessed(spark, d))[1])

@@ -40,4 +40,13 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     """The table written and read again: its lineage ends there, so a lost executor costs no more than later tasks."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Removes tables of ``written`` that nothing will read again."""
+    for table in tables:
+        if path := getattr(table, "scratch", None):
+            _remove(table.sparkSession, path)

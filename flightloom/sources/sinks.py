@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightloom.functions.expressions import colour, join_list
+from flightloom.operators.dense import mapped
 from flightloom.operators.fast_events import event_points
+from flightloom.operators.pixels import label_image, outlines
 from flightloom.operators.summary import KEY, merge_summary, summarise
+from flightloom.sources.video_files import file_system
 
 POINT_COLUMNS = ["video_id", "track_id", "frame", "time_sec", "x", "y", "vx", "vy", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "area"]
 
@@ -126,8 +133,74 @@ def export_region(region: DataFrame, profile: DataFrame, folder: str) -> None:
 
 
 def export_meta(path: str, config: dict, metrics: DataFrame, outputs: dict[str, str]) -> None:
-    """The run's document: settings, one row of metrics for each video, outputs."""
-    Path(path).write_text(json.dumps({"config": config, "metrics": [r.asDict() for r in metrics.collect()], "outputs": outputs}, indent=2, default=str), encoding="utf-8")
+    """The run's documents, a text folder with one for each video: settings, its row of metrics, outputs."""
+    shared = {"config": json.dumps(config, default=str), "outputs": json.dumps(outputs, default=str)}
+    head = F.lit('{"config": ' + shared["config"] + ', "outputs": ' + shared["outputs"] + ', "metrics": ')
+    metrics.select(F.concat(head, F.to_json(F.struct("*")), F.lit("}")).alias("value")).write.mode("overwrite").text(path)
+
+
+def contours_json(region: DataFrame, name: str) -> DataFrame:
+    """video_id and a column of a region's contours (corners of the outlines of its parts) as JSON. A group is one video's image."""
+
+    def corners(path: list[tuple[int, int]]) -> list[dict]:
+        n = len(path)
+        step = [(path[(i + 1) % n][0] - path[i][0], path[(i + 1) % n][1] - path[i][1]) for i in range(n)]
+        return [{"x": x, "y": y} for i, (x, y) in enumerate(path) if n < 3 or step[i] != step[i - 1]]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = int(pdf.x.min()), int(pdf.y.min())
+        image = np.zeros((int(pdf.y.max()) - y0 + 1, int(pdf.x.max()) - x0 + 1), bool)
+        image[pdf.y - y0, pdf.x - x0] = True
+        found = [corners([(x + x0, y + y0) for x, y in p]) for p in outlines(label_image(image))]
+        return pd.DataFrame({"video_id": pdf.video_id.iloc[:1], name: [json.dumps({"contours": found})]})
+
+    return region.select("video_id", "x", "y").groupBy("video_id").applyInPandas(run, f"video_id string, {name} string")
+
+
+def export_render(points: DataFrame, folder: str, size: tuple[int, int], directions: DataFrame | None = None, valid: DataFrame | None = None, entry: DataFrame | None = None) -> DataFrame:
+    """Writes ``<folder>/<video>.json``: size, contours of the regions, and every track with its ends, colour, direction and
+    points. A document is written as its tracks come, in their order, so a task holds a batch of tracks and
+    never a video. video_id, path, tracks of the documents, once they are written."""
+    point = F.struct("x", "y", "frame", "time_sec")
+    t = points.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("frame", point.alias("p")))).alias("s"))
+    t = t.join(directions.select(*KEY, "direction"), KEY, "left") if directions is not None else t.withColumn("direction", F.lit(None).cast("string"))
+    first, last = F.col("s")[0], F.element_at("s", -1)
+    doc = F.struct(
+        "track_id", colour(F.col("track_id")).alias("color"), first["frame"].alias("frame_start"), last["frame"].alias("frame_end"), (last["p"]["time_sec"] - first["p"]["time_sec"]).alias("duration_sec"),
+        F.coalesce("direction", F.lit("unknown")).alias("direction"), first["p"].alias("point_start"), last["p"].alias("point_end"), F.col("s.p").alias("points"),
+    )
+    rows = t.select("video_id", "track_id", F.to_json(doc).alias("value"))
+    heads = points.select("video_id").distinct()
+    for name, region in (("valid_region", valid), ("entry_exit_region", entry)):
+        heads = heads.join(contours_json(region, name), "video_id", "left") if region is not None else heads.withColumn(name, F.lit(None).cast("string"))
+    part = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f', "{c}": '), F.col(c))).otherwise("")
+    head = F.concat(F.lit(f'{{"width": {int(size[0])}, "height": {int(size[1])}'), part("valid_region"), part("entry_exit_region"), F.lit(', "tracks": ['))
+    rows = rows.unionByName(heads.select("video_id", F.lit(None).cast("long").alias("track_id"), head.alias("value")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(folder)
+        system.create_dir(root, recursive=True)
+        open_now, out, done = None, None, []
+        for batch in batches:
+            for video, track, value in zip(*(batch.column(c).to_pylist() for c in ("video_id", "track_id", "value"))):
+                if video != open_now:
+                    if out is not None:
+                        out.write(b"]}")
+                        out.close()
+                    open_now, path = video, f"{root}/{video}.json"
+                    out = system.open_output_stream(path)
+                    done.append([video, path, 0])
+                if track is not None:
+                    out.write(b", " if done[-1][2] else b"")
+                    done[-1][2] += 1
+                out.write(value.encode())
+        if out is not None:
+            out.write(b"]}")
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], names=["video_id", "path", "tracks"])
+
+    # the head, without a track, sorts first
+    return mapped(rows.repartition("video_id").sortWithinPartitions("video_id", F.asc_nulls_first("track_id")), run, "video_id string, path string, tracks long")
 
 
 def clip_table(frames: DataFrame, clips: DataFrame, path: str) -> None:

@@ -1,6 +1,8 @@
 import json
 import xml.dom.minidom
 
+from pyspark.sql import functions as F
+
 from flightloom.operators import tracking
 from flightloom.sources import readers, sinks
 from flightloom.streaming import stateful
@@ -30,6 +32,25 @@ def test_exports(spark, tmp_path):
     assert json.loads(sinks.render_payload(p).first().value)["tracks_total"] == 2
 
 
+def test_render_documents(spark, tmp_path):
+    """A JSON document for each video, written as its tracks come, with the corners of the regions' contours."""
+    p = points(spark, (3, line(0, 5, 0, 0, 10)), (2, line(2, 4, 0, 50, 10)))
+    both = p.unionByName(p.withColumn("video_id", F.lit("w")).where("track_id = 2"))
+    box = spark.createDataFrame([("v", x, y) for x in range(3, 9) for y in range(4, 7)] + [("v", 20, 20)], "video_id string, x int, y int")
+    directions = spark.createDataFrame([("v", 2, "entry")], "video_id string, track_id long, direction string")
+    done = sinks.export_render(both, str(tmp_path / "render"), (100, 80), directions, valid=box).collect()
+    assert {(r.video_id, r.tracks) for r in done} == {("v", 2), ("w", 1)}
+    v, w = (json.loads((tmp_path / "render" / f"{n}.json").read_text()) for n in ("v", "w"))
+    assert (v["width"], v["height"]) == (100, 80) and [t["track_id"] for t in v["tracks"]] == [2, 3] and "entry_exit_region" not in v
+    corners = [{(q["x"], q["y"]) for q in c} for c in v["valid_region"]["contours"]]
+    assert corners == [{(3, 4), (8, 4), (8, 6), (3, 6)}, {(20, 20)}]
+    first, second = v["tracks"]
+    assert first["direction"] == "entry" and second["direction"] == "unknown" and second["point_start"] == second["points"][0] and len(second["points"]) == 5
+    assert second["frame_end"] - second["frame_start"] == 4 and first["duration_sec"] == first["point_end"]["time_sec"] - first["point_start"]["time_sec"]
+    assert len(w["tracks"]) == 1 and "valid_region" not in w
+    assert sinks.export_render(both.where("false"), str(tmp_path / "none"), (1, 1)).count() == 0
+
+
 def test_review_regions_and_removal(spark, tmp_path):
     d = str(tmp_path)
     merges = spark.createDataFrame([("v", 1, 2, 1, "overlap")], "video_id string, track_a long, track_b long, merged_to long, reason string")

@@ -1,23 +1,22 @@
-"""Repeated passages by rank pairs at growing offsets from sampled positions (operator 7).
+"""Repeated passages by anchors (operator 7).
 
 A byte goes if a string of THRESHOLD bytes that covers it starts at a second
-place too. Plain prefix doubling (``doubling_starts``) ranks every byte position
-in every round, which at a few hundred bytes a byte of text is too dear for a
-corpus; it is kept as the check of what follows. Here each string is ranked
-through its anchor, the place in it of the GRAM-byte string with the least hash,
-so equal strings have their anchors at equal distances and only anchors are
-sorted: one in (THRESHOLD - GRAM) / 2 bytes. Strings that a text repeats itself
+place too. The dealt method is prefix doubling: (position, rank pair) rows sorted at
+growing offsets, reranked until unique or past the threshold. It is here, as
+``doubling_starts``, and ranks every byte position in every round, which at a few hundred
+bytes moved a byte of text is too dear for a corpus; the query does not run it, and what it
+runs, ``repeated_starts``, is checked against it and against brute force. That is no suffix array: each string
+is found through its anchor, the place in it of the GRAM-byte string with the least hash,
+so equal strings have their anchors at equal distances and only anchors are grouped:
+one in (THRESHOLD - GRAM) / 2 bytes. Strings that a text repeats itself
 (runs of one letter, padding) are one row with a count before any shuffle.
 
-Rounds of growing length rank them. First by the GRAM bytes at the anchor;
-unique ones are dropped. Then by all bytes of the strings that share the anchor:
-what is equal there is repeated as a whole. One of each remaining rank goes on
-in cells of ever fewer strings, aligned at the anchor. A cell is ranked by the
-pair (rank of half a string, rank of half a string at the offset that reaches the
-end of the cell's common bytes), an offset that grows to half of THRESHOLD: a
-unique pair leaves the cell clean, a cell all of whose bytes recur is repeated,
-others are split. Ranks of half strings are 64-bit names of their bytes, so a
-wrong match takes two collisions within one rank of the anchor."""
+Anchors are grouped by their GRAM bytes; unique ones are dropped. Then by all bytes of the
+strings that share the anchor: what is equal there is repeated as a whole. One of each remaining
+group goes on in cells of ever fewer strings, aligned at the anchor: a cell is named by its common bytes (by two strings
+that end where these do), a unique name leaves the cell clean, a cell all of whose bytes recur is repeated,
+others are split. Names are 64-bit hashes of bytes, never compared byte by byte, so a
+wrong match takes two collisions within one group of an anchor."""
 
 from __future__ import annotations
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from flightloom.operators import pixels
 from flightloom.operators.regions import flag_in_region, track_ends
+from flightloom.sources.scratch import written
 
 PX = pixels.PX
 
@@ -61,6 +62,7 @@ def candidate_masks(background: DataFrame, heat: DataFrame, size: tuple[int, int
         return {"motion_heatmap": moving}
     if method == "dark":
         return {"dark_regions": dark}
+    moving, dark = written(moving), written(dark)  # long plans that are read more than once
     near = pixels.dilate(moving, pixels.ellipse(2 * connect + 1), size)
     still = dark.join(moving.select("video_id").distinct(), "video_id", "left_anti")  # without motion there is no gate
     return {"motion_heatmap": moving, "dark_regions": dark.select(*PX).intersect(near).union(still.select(*PX))}
@@ -80,14 +82,14 @@ def entry_zones(background: DataFrame, heat: DataFrame, size: tuple[int, int], k
     pixels labelled and scored anew, so that zones are what the final mask shows."""
     rows = parts = None
     for source, mask in candidate_masks(background, heat, size, **options).items():
-        given = source == "annotation"
+        given, mask = source == "annotation", written(mask.select(*PX))
         own = pixels.components(mask.select(*PX), ["video_id"]).withColumn("source", F.lit(source))
         scored = score_components(mask, background, heat, size, given, min_ratio=min_ratio).withColumn("source", F.lit(source))
         rows, parts = (scored, own) if rows is None else (rows.unionByName(scored), parts.unionByName(own))
     rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score"), "source", "component"))
     best = rows.withColumn("_r", rank).where(F.col("_r") <= k).select("video_id", "source", "component")
     final = parts.join(best, ["video_id", "source", "component"], "left_semi").select(*PX).distinct()
-    final = pixels.dilate(final, pixels.ellipse(2 * dilate_px + 1), size) if dilate_px > 0 else final
+    final = written(pixels.dilate(final, pixels.ellipse(2 * dilate_px + 1), size) if dilate_px > 0 else final)
     return top_zones(score_components(final, background, heat, size, min_ratio=0.0), size[0] * size[1]), final
 
 

@@ -14,11 +14,24 @@ EMPTY_AT_SMALLEST: set[str] = set()
 
 
 def plain(v):
+    """A value to sort rows by: six digits of a number."""
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "null"
     return f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
+def same(a, b):
+    """Equal values; numbers to nine digits, so that no rounding of a text lies between sums in another order."""
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and not math.isnan(v)
+    return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) if number(a) and number(b) else plain(a) == plain(b)
+
+
+def by_text(rows):
+    """Rows in an order that the last digit of a number has no part in."""
+    coarse = lambda v: plain(v) if not isinstance(v, float) else plain(round(v, 3))
+    return sorted(rows, key=lambda r: (tuple(coarse(v) for v in r), tuple(plain(v) for v in r)))
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -32,10 +45,12 @@ def test_oracle(spark, duck, name):
     df, sql = catalog.QUERIES[name](spark, DATA), duck.sql(catalog.SQL[name])
     columns = sorted(df.columns)
     assert columns == sorted(sql.columns)
-    got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    got = by_text(tuple(r[c] for c in columns) for r in df.collect())
     at = [sql.columns.index(c) for c in columns]
+    want = by_text(tuple(r[i] for i in at) for r in sql.fetchall())
     assert got or name in EMPTY_AT_SMALLEST
-    assert got == sorted(tuple(plain(r[i]) for i in at) for r in sql.fetchall())
+    assert len(got) == len(want)
+    assert [(a, b) for a, b in zip(got, want) if not all(map(same, a, b))] == []
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))

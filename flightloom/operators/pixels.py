@@ -137,6 +137,23 @@ def closed(mask: DataFrame, kernel: list[tuple[int, int]], size: tuple[int, int]
     return mask
 
 
+def cleaned(mask: DataFrame, kernel: list[tuple[int, int]], size: tuple[int, int], times: int = 2) -> DataFrame:
+    """``opened(closed(mask, kernel, size, times), kernel, size)`` over each video's image as a whole: one
+    shuffle of a mask's pixels in place of one for each step. A group is one image."""
+    steps = [True] * times + [False] * times + [False, True]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros(size[::-1], bool)
+        inside = pdf[pdf.x.between(0, size[0] - 1) & pdf.y.between(0, size[1] - 1)]
+        image[inside.y, inside.x] = True
+        for grow in steps:
+            image = moved(image, kernel, grow)
+        y, x = np.nonzero(image)
+        return pd.DataFrame({"video_id": pdf.video_id.iloc[0], "x": x.astype(np.int32), "y": y.astype(np.int32)})
+
+    return mask.select(*PX).groupBy("video_id").applyInPandas(run, "video_id string, x int, y int")
+
+
 def label_image(binary: np.ndarray) -> np.ndarray:
     """8-connected components of an image, numbered from 1 in scan order of their
     first pixels: runs of each row, joined to those that they touch in the row above."""

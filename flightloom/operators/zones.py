@@ -55,7 +55,7 @@ def candidate_masks(background: DataFrame, heat: DataFrame, size: tuple[int, int
         raise ValueError(f"method must be hybrid, annotation, motion or dark, got {method}")
     if mask is not None or method == "annotation":
         return {} if mask is None else {"annotation": mask}
-    clean = lambda px, k: pixels.opened(pixels.closed(px, pixels.ellipse(k), size, 2), pixels.ellipse(k), size)
+    clean = lambda px, k: pixels.cleaned(px, pixels.ellipse(k), size)
     moving = clean(pixels.above_percentile(heat, motion_percent), kernels[0])
     dark = clean(pixels.below_percentile(background, dark_percent), kernels[1])
     if method == "motion":

@@ -191,3 +191,12 @@ def test_run_from_frames(spark):
     on = {"cave_zones": {"method": "motion", "motion_percentile": 50.0, "dilate_px": 0}, "valid_region": {"profile_smooth_window": 3, "safety_margin": 1}}
     r = run.run(base | on, (64, 48), raw_points=r.raw_points, frames=frames)
     assert {s.kind for s in r.source_scores.collect()} == {"cave_zones", "valid_region"} and r.region.count() > 0 and r.zones.count() >= 1
+
+
+def test_cleaning_at_once_equals_its_steps(spark):
+    rng = np.random.default_rng(9)
+    rows = [(v, int(x), int(y)) for v in ("a", "b") for y, x in np.argwhere(rng.random((30, 41)) < 0.2)]
+    mask = spark.createDataFrame(rows, "video_id string, x int, y int")
+    for k in (1, 5, 7):
+        steps = pixels.opened(pixels.closed(mask, pixels.ellipse(k), (41, 30), 2), pixels.ellipse(k), (41, 30))
+        assert {tuple(r) for r in pixels.cleaned(mask, pixels.ellipse(k), (41, 30)).collect()} == {tuple(r) for r in steps.select("video_id", "x", "y").collect()}

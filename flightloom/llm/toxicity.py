@@ -4,9 +4,9 @@ The classifier sees confirmed toxic texts and unlabelled ones, never texts
 labelled clean. With class prior p among the unlabelled, the risk is
 p E_P[l(f)] + max(0, E_U[l(-f)] - p E_P[l(-f)]); where the second part of a batch
 falls below zero, the step goes against its gradient (over-fitting of the
-negative part is undone). The model, in numpy, is linear over the words whose
-rate among positive texts stands out from that among unlabelled ones. The class
-prior comes from the same two samples, by the best bin: the least ratio of the
+negative part is undone). The model, in numpy, is linear over log2(1 + times) of words and word beginnings (so
+over the forms of a word, seen or not) whose rate among positive texts stands out
+from that among unlabelled ones. The class prior comes from the same two samples, by the best bin: the least ratio of the
 shares of unlabelled and of positive texts above a score."""
 
 from __future__ import annotations
@@ -23,16 +23,21 @@ from pyspark.sql import functions as F
 from flightloom.llm.bytebpe import LETTER, codepoint_classes
 from flightloom.llm.common import crc_mod, documents, forget, mapped, out_batch, ragged, saved, text_chunks, words_of
 
-DIM = 1 << 18
+DIM = 1 << 20
+#: Lengths, in letters, of the word beginnings that are features beside whole words.
+BEGINNINGS = (4, 5, 6, 7)
 #: Bounds of the fitted sample: positive texts and unlabelled ones.
 MAX_POSITIVE = 8_000
 MAX_UNLABELLED = 16_000
-#: A word is a feature from so many positive texts and so large a ratio on.
-MIN_POSITIVE, MIN_RATIO, MAX_WORDS = 3, 10.0, 512
+#: A word or beginning may weigh from so many positive texts and so large a ratio on.
+#: 24 is what a feature without a bearing reaches with a chance of one in a million, DIM being a million.
+MIN_POSITIVE, MIN_RATIO, MAX_WORDS = 3, 24.0, 512
 EPOCHS = 40
 #: Small samples are gone through more often, for so many steps at least.
-MIN_STEPS = 1500
-BATCH = 1024
+MIN_STEPS = 400
+#: A step sees the whole sample: in a small part of it the share of positives strays from the
+#: prior, so that steps turn round by chance and weights of texts with few telling words stay low.
+BATCH = 20_000
 #: Share of toxic texts that is assumed for a first fit, and where the samples are too small to tell.
 DEFAULT_PRIOR = 0.05
 RATE = 0.03
@@ -40,40 +45,56 @@ DECAY = 1e-5
 PARTS = 1 << 20
 
 
-def word_features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct hashed lower-case letter runs of each text, offsets of the texts)."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    for shift, factor in ((23, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_features(text: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashed features of each text, times of each, offsets of the texts): its lower-case letter
+    runs, and the beginnings of BEGINNINGS letters of those that are as long. ``only``
+    (DIM booleans): features wanted; the others are left out before words meet texts."""
     codes, offsets, vocab = words_of(text)
     n_text = len(offsets) - 1
     if not len(codes):
-        return np.zeros(0, np.int64), np.zeros(n_text + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n_text + 1, np.int64)
     joined = "\n" + "\n".join(pc.utf8_lower(vocab).to_pylist()) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     letter = codepoint_classes()[points] == LETTER
     word = np.cumsum(points == 10) - 1
     start = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+    end = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
     at = np.flatnonzero(letter)
-    run = np.cumsum(letter & ~np.append(False, letter[:-1]))[at] - 1
-    h = (points[at].astype(np.uint64) << np.uint64(20)) + (at - start[run]).astype(np.uint64)
-    h = (h ^ (h >> np.uint64(23))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    total = np.add.reduceat(h, np.flatnonzero(np.diff(run, prepend=-1))) if len(at) else np.zeros(0, np.uint64)
-    total ^= total >> np.uint64(31)
-    bucket = (total % np.uint64(DIM)).astype(np.int64)
-    run_word = word[start] if len(start) else np.zeros(0, np.int64)
-    per_word = np.bincount(run_word, minlength=len(vocab))
+    run = np.repeat(np.arange(len(start)), end - start)
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed((points[at].astype(np.uint64) << np.uint64(20)) + (at - start[run]).astype(np.uint64)))])
+    first = np.cumsum(end - start) - (end - start)
+    whole = mixed(running[first + (end - start)] - running[first])
+    runs, names = [np.arange(len(start))], [whole]
+    for k in BEGINNINGS:
+        long = np.flatnonzero(end - start >= k)
+        runs.append(long)
+        names.append(mixed(running[first[long] + k] - running[first[long]] + np.uint64(k)))
+    of_word, bucket = word[start[np.concatenate(runs)]], (np.concatenate(names) % np.uint64(DIM)).astype(np.int64)
+    if only is not None:
+        wanted = only[bucket]
+        of_word, bucket = of_word[wanted], bucket[wanted]
+    bucket = bucket[np.argsort(of_word, kind="stable")]
+    per_word = np.bincount(of_word, minlength=len(vocab))
     heads = np.cumsum(per_word) - per_word
     times = per_word[codes]
     of = np.repeat(np.repeat(np.arange(n_text), np.diff(offsets)), times)
-    keys = np.unique(of * DIM + bucket[ragged(times, heads[codes])])
+    keys, counts = np.unique(of * DIM + bucket[ragged(times, heads[codes])], return_counts=True)
     of = keys // DIM
-    return keys % DIM, np.searchsorted(of, np.arange(n_text + 1)).astype(np.int64)
+    return keys % DIM, counts, np.searchsorted(of, np.arange(n_text + 1)).astype(np.int64)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("positive", pa.bool_()), ("features", pa.list_(pa.int32()))])
+    schema = pa.schema([("positive", pa.bool_()), ("features", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
     for chunk in text_chunks(batches):
-        values, offsets = word_features(chunk.column("text"))
-        yield pa.RecordBatch.from_arrays([chunk.column("positive"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))], schema=schema)
+        values, counts, offsets = word_features(chunk.column("text"))
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v, pa.int32())) for v in (values, counts)]
+        yield pa.RecordBatch.from_arrays([chunk.column("positive"), *lists], schema=schema)
 
 
 def part_of(salt: int):
@@ -81,10 +102,10 @@ def part_of(salt: int):
 
 
 def telling_words(k_p: np.ndarray, k_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
-    """The hashed words found in MIN_POSITIVE of ``n_p`` positive texts or more, and
+    """The hashed features found in MIN_POSITIVE of ``n_p`` positive texts or more, and
     so much more often there than among ``n_u`` unlabelled ones that the log-likelihood
     ratio of the two rates reaches MIN_RATIO; the MAX_WORDS most telling of them,
-    ascending. k_p, k_u: texts that hold each hashed word."""
+    ascending. k_p, k_u: texts that hold each of them."""
     if not n_p or not n_u:
         return np.zeros(0, np.int64)
     rate = (k_p + k_u) / (n_p + n_u)
@@ -94,7 +115,7 @@ def telling_words(k_p: np.ndarray, k_u: np.ndarray, n_p: int, n_u: int) -> np.nd
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(weights, bias) of a linear score from 0/1 matrices [text, feature]; its
+    """(weights, bias) of a linear score from matrices [text, feature]; its
     sigmoid is the probability of the positive class. No rows: the prior's bias."""
     rng = np.random.default_rng(seed)
     dim = positive.shape[1]
@@ -102,7 +123,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
     theta[-1] = np.log(prior / (1 - prior))
     if not len(positive) or not len(unlabelled):
         return theta[:-1], float(theta[-1])
-    one = lambda x: np.concatenate([x.astype(np.float32), np.ones((len(x), 1), np.float32)], axis=1)
+    one = lambda x: np.concatenate([x.astype(np.float32, copy=False), np.ones((len(x), 1), np.float32)], axis=1)
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     xp_all, xu_all = one(positive), one(unlabelled)
     m, v, t = np.zeros(dim + 1), np.zeros(dim + 1), 0
@@ -112,10 +133,11 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
         for i in range(0, len(xu_all), BATCH):
             xu = xu_all[u_order[i : i + BATCH]]
             xp = xp_all[np.take(p_order, np.arange(per_pos) + (i // BATCH) * per_pos, mode="wrap")]
-            fu, fp = xu @ theta, xp @ theta
+            at = theta.astype(np.float32)
+            fu, fp = (xu @ at).astype(np.float64), (xp @ at).astype(np.float64)
             negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            g_negative = xu.T @ sig(fu) / len(xu) - prior * (xp.T @ sig(fp)) / len(xp)
-            g_positive = -prior * (xp.T @ sig(-fp)) / len(xp)
+            g_negative = xu.T @ sig(fu).astype(np.float32) / len(xu) - prior * (xp.T @ sig(fp).astype(np.float32)) / len(xp)
+            g_positive = -prior * (xp.T @ sig(-fp).astype(np.float32)) / len(xp)
             g = g_positive + g_negative if negative >= 0 else -g_negative
             g[:-1] += DECAY * theta[:-1]
             t += 1
@@ -140,27 +162,38 @@ def best_bin_prior(f_positive: np.ndarray, f_unlabelled: np.ndarray) -> float:
     return float(np.clip(u[best] / p[best], 0.001, 0.9))
 
 
+#: A chosen word of a text: its place among the chosen ones, log2(1 + times).
+HELD = np.dtype([("word", np.uint16), ("x", np.float16)])
+
+
 def _chosen(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """0/1 of the chosen words, packed, for each text."""
-    schema = pa.schema([("positive", pa.bool_()), ("x", pa.binary())])
+    """The chosen words that each text holds, as bytes of HELD."""
+    schema = pa.schema([("positive", pa.bool_()), ("held", pa.binary())])
     for batch in batches:
         out = []
-        for row in batch.column("features"):
-            x = np.zeros(len(words), np.uint8)
-            own = row.values.to_numpy()
-            at = np.minimum(np.searchsorted(words, own), max(0, len(words) - 1))
-            if len(words):
-                x[at[words[at] == own]] = 1
-            out.append(np.packbits(x).tobytes())
-        yield out_batch(schema, positive=batch.column("positive"), x=out)
+        for own, times in zip(batch.column("features"), batch.column("times")):
+            _, at, mine = np.intersect1d(words, own.values.to_numpy(), assume_unique=True, return_indices=True)
+            held = np.zeros(len(at), HELD)
+            held["word"], held["x"] = at, np.log2(1 + times.values.to_numpy()[mine])
+            out.append(held.tobytes())
+        yield out_batch(schema, positive=batch.column("positive"), held=out)
+
+
+def matrix(held: list[bytes], n_words: int) -> np.ndarray:
+    """[text, word] of log2(1 + times) from bytes of HELD."""
+    x = np.zeros((len(held), n_words), np.float32)
+    cells = np.frombuffer(b"".join(held), HELD)
+    x[np.repeat(np.arange(len(held)), [len(h) // HELD.itemsize for h in held]), cells["word"]] = cells["x"]
+    return x
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[np.ndarray, float, float]:
     """(weights, bias, class prior). The only labels used are the toxic ones, of rows
     whose crc32(doc_id as text) mod ``folds`` is not 0; unlabelled texts are from the
     same rows of docs, whatever their label. Both are hash samples of distinct texts, bounded in
-    expectation. Words are counted in the cluster; the driver gets DIM pairs of
-    counts and MAX_WORDS bits a sampled text."""
+    expectation. Features are counted in the cluster; the driver gets the counts
+    of those that MIN_POSITIVE positive texts hold, and the MAX_WORDS at most that weigh
+    for each sampled text."""
     spark = docs.sparkSession
     toxic = labels.where((crc_mod("doc_id", folds) != 0) & (F.col("toxic") == 1)).select("doc_id").distinct()
     n_pos, n_docs = toxic.count(), docs.count()
@@ -169,16 +202,16 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[np.ndarra
     pos = own.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("positive", F.lit(True))
     unl = own.where(part_of(2) < int(PARTS * min(1.0, MAX_UNLABELLED / max(1, n_docs * (folds - 1) / folds)))).withColumn("positive", F.lit(False))
     sample = pos.unionByName(unl).select("positive", "text").dropDuplicates(["positive", "text"])
-    rows = saved(spark, sample.transform(mapped, _features, "positive boolean, features array<int>"), "features")
+    rows = saved(spark, sample.transform(mapped, _features, "positive boolean, features array<int>, times array<int>"), "features")
     n = dict(rows.groupBy("positive").count().collect())
-    seen = rows.select("positive", F.explode("features").alias("f")).groupBy("f").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).toArrow()
+    seen = rows.select("positive", F.explode("features").alias("f")).groupBy("f").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).where(F.col("p") >= MIN_POSITIVE).toArrow()
     k_p, k_u = (np.bincount(seen["f"].to_numpy(), weights=seen[c].to_numpy(), minlength=DIM) for c in ("p", "u"))
     words = telling_words(k_p, k_u, n.get(True, 0), n.get(False, 0))
-    bits = rows.transform(mapped, partial(_chosen, words=words), "positive boolean, x binary").toArrow()
+    held = rows.transform(mapped, partial(_chosen, words=words), "positive boolean, held binary").toArrow()
     forget(spark, rows)
-    bits = bits.sort_by([("positive", "ascending"), ("x", "ascending")])  # the same order of samples in every run
-    x = np.unpackbits(np.frombuffer(b"".join(bits["x"].to_pylist()), np.uint8).reshape(len(bits), -1), axis=1, count=len(words)) if len(words) else np.zeros((len(bits), 0), np.uint8)
-    flags = bits["positive"].to_numpy()
+    held = held.sort_by([("positive", "ascending"), ("held", "ascending")])  # the same order of samples in every run
+    x = matrix(held["held"].to_pylist(), len(words))
+    flags = held["positive"].to_numpy()
     positive, unlabelled = x[flags], x[~flags]
     rough = fit_nnpu(positive[::2], unlabelled[::2], DEFAULT_PRIOR)
     prior = best_bin_prior(*(half.astype(float) @ rough[0] for half in (positive[1::2], unlabelled[1::2])))
@@ -195,10 +228,11 @@ def score(docs: DataFrame, w: np.ndarray, b: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
+        weighs = weights != 0
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
         for chunk in text_chunks(batches):
-            values, offsets = word_features(chunk.column("text"))
-            run_sum = np.concatenate([[0.0], np.cumsum(weights[values], dtype=np.float64)])
+            values, counts, offsets = word_features(chunk.column("text"), weighs)
+            run_sum = np.concatenate([[0.0], np.cumsum(weights[values] * np.log2(1.0 + counts))])
             f = run_sum[offsets[1:]] - run_sum[offsets[:-1]] + bias
             yield out_batch(schema, doc_id=chunk.column("doc_id"), score=1 / (1 + np.exp(-np.clip(f, -30, 30))))
 

@@ -579,13 +579,34 @@ def test_toxicity_accuracy_and_edges(spark, docs, none):
     large = "/root/testdata/sf0.1"
     rows = held_out(spark, toxicity.op5_toxicity_nnpu(spark, large), "toxic", large)
     clean = [r.predicted for r in rows if r.toxic == 0]
-    assert np.mean([r.predicted for r in rows if r.toxic == 1]) >= 0.7
-    assert np.mean(clean) < 0.01 and np.mean([r.score for r in rows if r.toxic == 1]) > 2 * np.mean([r.score for r in rows if r.toxic == 0])
+    assert np.mean([r.predicted for r in rows if r.toxic == 1]) >= 0.9
+    other = {r.doc_id for r in spark.read.parquet(f"{large}/documents.parquet").where("lang != 'en'").select("doc_id").collect()}
+    assert np.mean([r.predicted for r in rows if r.toxic == 1 and r.doc_id in other]) >= 0.85
+    assert np.mean(clean) <= 0.005 and np.mean([r.score for r in rows if r.toxic == 1]) > 2 * np.mean([r.score for r in rows if r.toxic == 0])
     w, b, prior = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     got = toxicity.score(docs, w, b).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got) and toxicity.score(none, w, b).count() == 0
 
 
+def test_features_are_words_and_beginnings():
+    """Equal to counting runs of letters and their beginnings one by one; a wanted few, too."""
+    texts = ["Réeuxpa réeuxpa, scum! scum-of x1ab", "", None, "a\nA  abcdefghij abcd", "\t", "мир МИР 日本語日本語日"]
+    named = lambda words: {int(v) for v in toxicity.word_features(pa.array([words]))[0]}
+    values, counts, offsets = toxicity.word_features(pa.array(texts))
+    for i, text in enumerate(texts):
+        runs = re.findall(r"[^\W\d_]+", (text or "").lower())
+        names = Counter((0, r) for r in runs) + Counter((k, r[:k]) for r in runs for k in toxicity.BEGINNINGS if len(r) >= k)
+        own = counts[offsets[i] : offsets[i + 1]]
+        assert sorted(own.tolist()) == sorted(names.values())
+        assert set(values[offsets[i] : offsets[i + 1]].tolist()) == set().union(*(named(r) for r in runs))
+    only = np.zeros(toxicity.DIM, bool)
+    only[values[::3]] = True
+    few, few_counts, few_offsets = toxicity.word_features(pa.array(texts), only)
+    mask = only[values]
+    assert few.tolist() == values[mask].tolist() and few_counts.tolist() == counts[mask].tolist()
+    assert few_offsets.tolist() == np.concatenate([[0], np.cumsum(mask)])[offsets].tolist()
+
+
 def test_nnpu_recovers_the_negatives():
     rng = np.random.default_rng(0)
     make = lambda n, p: (rng.random((n, 2)) < p).astype(np.float32)

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from flightloom.functions.expressions import endpoint_distance, event_confidence, fast_direction, interval_gap
 from flightloom.operators import pixels
 from flightloom.operators.grouping import components
-from flightloom.operators.pairs import pair_distances, range_join, sided
+from flightloom.operators.pairs import close_on_average, range_join, sided
 from flightloom.operators.summary import KEY, summarise
 from flightloom.operators.windows import truncated_mean
 from flightloom.sources.scratch import written
@@ -58,9 +58,10 @@ def group_pairs(tracks: DataFrame, cfg: dict, points: DataFrame | None = None) -
     near = near.select("video_id", F.col("a_track_id").alias("track_a"), F.col("b_track_id").alias("track_b"), "gap", "ends")
     ok = F.col("ends") <= cfg["max_group_endpoint_distance"]
     if points is not None:
-        met = pair_distances(points.join(tracks.select(*KEY), KEY, "left_semi")).select("video_id", "track_a", "track_b", "mean_distance")
-        near = near.join(met, ["video_id", "track_a", "track_b"], "left")
-        ok = ok | F.coalesce(F.col("mean_distance") <= cfg["max_group_overlap_distance"], F.lit(False))
+        fast = points.join(tracks.select(*KEY), KEY, "left_semi")
+        met = close_on_average(fast, fast, cfg["max_group_overlap_distance"]).where("a_track_id < b_track_id")
+        near = near.join(met.select("video_id", F.col("a_track_id").alias("track_a"), F.col("b_track_id").alias("track_b"), F.lit(True).alias("met")), ["video_id", "track_a", "track_b"], "left")
+        ok = ok | F.coalesce("met", F.lit(False))
     return near.where(ok)
 
 

@@ -86,15 +86,39 @@ def handoffs(tracks: DataFrame, max_gap: int) -> DataFrame:
     return pairs.withColumns({"gap_frames": F.when(a_first, F.col("b_frame_start") - F.col("a_frame_end")).otherwise(F.col("a_frame_start") - F.col("b_frame_end")), "endpoint_distance": F.when(a_first, ab).otherwise(ba)})
 
 
-def distances_of(points: DataFrame, pairs: DataFrame) -> DataFrame:
+def near_tracks(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """video_id, a_track_id (of left), b_track_id (of right): tracks with points at most
+    ``reach`` apart in some frame. Points meet by cells of some that size, a right one in its own
+    and the eight around it, so far pairs of a crowded frame are never made. Points
+    without a place (null, NaN) meet none."""
+    # a grouped sum rounds, so means just within a limit may come from distances just beyond it
+    limit = reach + 1e-9 * (1 + abs(reach))
+    side = max(1.01 * limit, 1.0)
+    # places beyond 2^40 cells share the outermost one, which keeps whole numbers exact
+    cell = lambda c: F.floor(F.greatest(F.lit(-(2.0**40)), F.least(F.lit(2.0**40), F.col(c) / side))).cast("long")
+    placed = lambda rows, s: rows.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).select("video_id", "frame", F.col("track_id").alias(f"{s}_track_id"), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"), cell("x").alias("_i"), cell("y").alias("_j"))
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    spread = placed(right, "b").withColumn("_i", around("_i")).withColumn("_j", around("_j"))
+    met = placed(left, "a").join(spread, ["video_id", "frame", "_i", "_j"])
+    return met.where(norm(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) <= limit).select("video_id", "a_track_id", "b_track_id").distinct()
+
+
+def distances_of(points: DataFrame, pairs: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """video_id, a_track_id, b_track_id, common_frames, mean_distance for the given
-    pairs only: their points meet, not all points of a frame."""
-    p = points.select("video_id", "track_id", "frame", "x", "y")
-    a = pairs.select("video_id", "a_track_id", "b_track_id").join(p.withColumnsRenamed({"track_id": "a_track_id", "x": "ax", "y": "ay"}), ["video_id", "a_track_id"])
-    both = a.join(p.withColumnsRenamed({"track_id": "b_track_id", "x": "bx", "y": "by"}), ["video_id", "b_track_id", "frame"])
+    pairs only: their points meet, not all points of a frame. Tracks b are from
+    ``others``, if given."""
+    own = lambda rows, s: rows.select("video_id", F.col("track_id").alias(f"{s}_track_id"), "frame", F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
+    a = pairs.select("video_id", "a_track_id", "b_track_id").join(own(points, "a"), ["video_id", "a_track_id"])
+    both = a.join(own(points if others is None else others, "b"), ["video_id", "b_track_id", "frame"])
     return both.groupBy("video_id", "a_track_id", "b_track_id").agg(F.count("*").alias("common_frames"), F.avg(norm(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).alias("mean_distance"))
 
 
+def close_on_average(left: DataFrame, right: DataFrame, limit: float) -> DataFrame:
+    """Columns of ``distances_of`` for tracks whose mean distance over common frames is at
+    most ``limit``; one frame at least is then as close, so such tracks are looked for first."""
+    return distances_of(left, near_tracks(left, right, limit), right).where(F.col("mean_distance") <= limit)
+
+
 def duplicate_pairs(points: DataFrame, max_spatial: float = 16.0, max_gap: int = 8, min_direction: float = 0.75, min_speed: float = 0.5) -> DataFrame:
     """Every pair of tracks that shares frames (overlap) or follows closely
     (handoff), with its features, blockers and duplicate_score."""
@@ -129,10 +153,9 @@ def duplicate_pairs(points: DataFrame, max_spatial: float = 16.0, max_gap: int =
 def secondary_only(primary: DataFrame, secondary: DataFrame, max_distance: float = 45.0, min_frames: int = 4, min_ratio: float = 0.6, offset: int = 1_000_000) -> DataFrame:
     """Points of secondary tracks that no primary track accompanies, under new
     ids from ``offset`` on, in the order of the old ones."""
-    p = primary.select("video_id", "frame", F.col("track_id").alias("p_id"), F.col("x").alias("p_x"), F.col("y").alias("p_y"))
     size = secondary.groupBy(*KEY).agg(F.count("*").alias("n"))
-    met = secondary.join(p, ["video_id", "frame"]).groupBy(*KEY, "p_id").agg(F.count("*").alias("common"), F.avg(norm(F.col("x") - F.col("p_x"), F.col("y") - F.col("p_y"))).alias("d"))
-    bad = met.join(size, KEY).where((F.col("common") >= min_frames) & (F.col("common") / F.col("n") >= min_ratio) & (F.col("d") <= max_distance)).select(*KEY).distinct()
+    met = close_on_average(secondary, primary, max_distance).withColumnRenamed("a_track_id", "track_id")
+    bad = met.join(size, KEY).where((F.col("common_frames") >= min_frames) & (F.col("common_frames") / F.col("n") >= min_ratio)).select(*KEY).distinct()
     kept = size.join(bad, KEY, "left_anti")
     from pyspark.sql.window import Window
 

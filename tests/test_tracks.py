@@ -364,3 +364,22 @@ def test_kalman_step_against_a_plain_twin(seed):
         ids |= {(x[0], y[0]) for x in a for y in b if x[1:2] + tuple(x[2][:2]) == y[1:2] + tuple(y[2])}
         assert len(ours.active) == len(plain.tracks) and len(ours.pending) == len(plain.waiting)
     assert len({a for a, _ in ids}) == len(ids) == len({b for _, b in ids})  # the same tracks under other ids
+
+
+def test_near_tracks_meet_by_cells(spark):
+    """Pairs close on average are those of all pairs of a frame; far pairs of a crowded
+    frame are never made; points at the limit, across cells, and without a place."""
+    rng = np.random.default_rng(5)
+    tracks = [(i, [(f, *(rng.uniform(-60, 60, 2) if i % 3 else (10.0 * (i // 3) + f, 5.0))) for f in range(i % 4, 6 + i % 4)]) for i in range(60)]
+    tracks += [(100, [(0, 0.0, 0.0), (1, 0.0, 0.0)]), (101, [(0, 20.0, 0.0), (1, -20.0, 0.0)]), (102, [(0, float("nan"), 0.0), (1, 1.0, 1.0)]), (103, [(0, float("inf"), 0.0), (2, -1e300, 1e300)]), (104, [(2, -1e300, 1e300)])]
+    p = points(spark, *tracks)
+    for limit in (0.0, 20.0, 55.5):
+        plain = {(r.track_a, r.track_b): (r.common_frames, r.mean_distance) for r in pairs.pair_distances(p).where(F.col("mean_distance") <= limit).collect()}
+        got = {(r.a_track_id, r.b_track_id): (r.common_frames, r.mean_distance) for r in pairs.close_on_average(p, p, limit).where("a_track_id < b_track_id").collect()}
+        assert set(got) == set(plain) and all(got[k][0] == plain[k][0] and abs(got[k][1] - plain[k][1]) < 1e-9 for k in got)
+        assert ((100, 101) in got) == (limit >= 20) and (103, 104) in got
+    crowd = points(spark, *((i, [(0, 100.0 * (i % 40), 100.0 * (i // 40))]) for i in range(1600)))
+    assert pairs.near_tracks(crowd, crowd, 30.0).where("a_track_id <> b_track_id").count() == 0
+    plan = pairs.near_tracks(crowd, crowd, 30.0)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert pairs.close_on_average(p.limit(0), p, 5.0).count() == 0 and pairs.close_on_average(p, p.limit(0), 5.0).count() == 0

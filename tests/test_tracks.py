@@ -366,9 +366,11 @@ def test_kalman_step_against_a_plain_twin(seed):
     assert len({a for a, _ in ids}) == len(ids) == len({b for _, b in ids})  # the same tracks under other ids
 
 
-def test_near_tracks_meet_by_cells(spark):
+@pytest.mark.parametrize("crowded", [-1, 500])
+def test_near_tracks_meet_by_cells(spark, monkeypatch, crowded):
     """Pairs close on average are those of all pairs of a frame; far pairs of a crowded
     frame are never made; points at the limit, across cells, and without a place."""
+    monkeypatch.setattr(pairs, "CROWDED", crowded)
     rng = np.random.default_rng(5)
     tracks = [(i, [(f, *(rng.uniform(-60, 60, 2) if i % 3 else (10.0 * (i // 3) + f, 5.0))) for f in range(i % 4, 6 + i % 4)]) for i in range(60)]
     tracks += [(100, [(0, 0.0, 0.0), (1, 0.0, 0.0)]), (101, [(0, 20.0, 0.0), (1, -20.0, 0.0)]), (102, [(0, float("nan"), 0.0), (1, 1.0, 1.0)]), (103, [(0, float("inf"), 0.0), (2, -1e300, 1e300)]), (104, [(2, -1e300, 1e300)])]

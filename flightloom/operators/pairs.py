@@ -113,8 +113,8 @@ def distances_of(points: DataFrame, pairs: DataFrame, others: DataFrame | None =
     return both.groupBy("video_id", "a_track_id", "b_track_id").agg(F.count("*").alias("common_frames"), F.avg(norm(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).alias("mean_distance"))
 
 
-#: Partners in its frame that a point has on average, from which on cells beat all pairs of a frame
-#: (measured on local[8]: at 66, all pairs take 1.7 s where cells take 6 to 10 s).
+#: Partners in its frame that a point has on average, beyond which cells are used. An estimate: at 133
+#: points a frame all pairs took 1.7 s and cells 6 to 10 s (local[8]); where they turn was not measured.
 CROWDED = 500
 
 

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flightloom.functions.expressions import endpoint_distance, event_confidence, fast_direction, interval_gap
+from flightloom.functions.expressions import endpoint_distance, event_confidence, fast_direction
 from flightloom.operators import pixels
 from flightloom.operators.grouping import components
-from flightloom.operators.pairs import close_on_average, range_join, sided
+from flightloom.operators.blocks import tracks_met
+from flightloom.operators.pairs import meeting
 from flightloom.operators.summary import KEY, summarise
 from flightloom.operators.windows import truncated_mean
 from flightloom.sources.scratch import written
@@ -50,19 +51,14 @@ def select_sources(points: DataFrame, assessments: DataFrame, cfg: dict) -> Data
 def group_pairs(tracks: DataFrame, cfg: dict, points: DataFrame | None = None) -> DataFrame:
     """Pairs of fast tracks of one event: close in time and by their ends, or by
     the mean distance over common frames (where points are given)."""
-    base = tracks.select(*KEY, "frame_start", "frame_end", "x_start", "y_start", "x_end", "y_end")
-    left = sided(base, "a").withColumns({"l_start": F.col("a_frame_start"), "l_end": F.col("a_frame_end")})
-    right = sided(base, "b").withColumns({"r_start": F.col("b_frame_start"), "r_end": F.col("b_frame_end")})
-    near = range_join(left, right, cfg["max_group_gap_frames"]).where("a_track_id < b_track_id")
-    near = near.withColumns({"gap": interval_gap(*(F.col(c) for c in ("a_frame_start", "a_frame_end", "b_frame_start", "b_frame_end"))), "ends": endpoint_distance("a_", "b_")})
-    near = near.select("video_id", F.col("a_track_id").alias("track_a"), F.col("b_track_id").alias("track_b"), "gap", "ends")
-    ok = F.col("ends") <= cfg["max_group_endpoint_distance"]
-    if points is not None:
-        fast = points.join(tracks.select(*KEY), KEY, "left_semi")
-        met = close_on_average(fast, fast, cfg["max_group_overlap_distance"]).where("a_track_id < b_track_id")
-        near = near.join(met.select("video_id", F.col("a_track_id").alias("track_a"), F.col("b_track_id").alias("track_b"), F.lit(True).alias("met")), ["video_id", "track_a", "track_b"], "left")
-        ok = ok | F.coalesce("met", F.lit(False))
-    return near.where(ok)
+    near = meeting(tracks.select(*KEY, "frame_start", "frame_end", "x_start", "y_start", "x_end", "y_end"), cfg["max_group_gap_frames"])
+    names = ("video_id", F.col("a_track_id").alias("track_a"), F.col("b_track_id").alias("track_b"))
+    near = near.where(endpoint_distance("a_", "b_") <= cfg["max_group_endpoint_distance"]).select(*names)
+    if points is None or cfg["max_group_gap_frames"] < 0:
+        return near
+    # tracks that share a frame have no gap
+    fast = points.join(tracks.select(*KEY), KEY, "left_semi")
+    return near.unionByName(tracks_met(fast, max_mean=cfg["max_group_overlap_distance"]).select(*names))
 
 
 def grouped(tracks: DataFrame, pairs: DataFrame) -> DataFrame:

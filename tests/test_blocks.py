@@ -86,3 +86,12 @@ def test_dense_pairs_are_thinned_to_what_links(spark):
             sets.join(r.a, r.b)
     assert all(sets.find(a) == sets.find(b) for _, a, b in rows)
     assert {r.track_id: r.group_id for r in grouping.components(p.toDF("video_id", "track_a", "track_b")).collect()} == {i: sets.find(i) for r in rows for i in r[1:]}
+
+
+def test_components_are_read_in_their_order(spark):
+    """Pieces of a component come in order, however many batches they fill."""
+    rng = np.random.default_rng(8)
+    p = spark.createDataFrame([("v", 0, int(i)) for i in rng.permutation(25_000)], "video_id string, group_id long, s long").repartition(7)
+
+    seen = grouping.ordered(p, "s")._df.select("s").toPandas().s.to_numpy()
+    assert (np.diff(seen) > 0).all() and len(seen) == 25_000

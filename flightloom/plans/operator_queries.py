@@ -47,10 +47,8 @@ def iou_sql(a: str, b: str) -> str:
   FROM det a JOIN det b ON a.video_id = b.video_id AND a.frame = b.frame AND a.det_idx < b.det_idx
   WHERE {iou_sql('a.', 'b.')} > 0""")
 def _(spark, d):
-    det = ad.detections(spark, d).select("video_id", "frame", "det_idx", *BOXES)
-    a, b = (pairs.sided(det, s, ("video_id", "frame")) for s in "ab")
-    met = a.join(b, ["video_id", "frame"]).where("a_det_idx < b_det_idx").withColumn("iou", ex.bbox_iou("a_", "b_"))
-    return met.where("iou > 0").select("video_id", "frame", "a_det_idx", "b_det_idx", "iou")
+    met = pairs.overlapping_boxes(ad.detections(spark, d).select("video_id", "frame", "det_idx", *BOXES))
+    return met.where("a_det_idx < b_det_idx").withColumn("iou", ex.bbox_iou("a_", "b_")).where("iou > 0").select("video_id", "frame", "a_det_idx", "b_det_idx", "iou")
 
 
 @query("resolution_scaled_filter", f"""WITH {PTS}

@@ -95,3 +95,14 @@ def test_components_are_read_in_their_order(spark):
 
     seen = grouping.ordered(p, "s")._df.select("s").toPandas().s.to_numpy()
     assert (np.diff(seen) > 0).all() and len(seen) == 25_000
+
+
+def test_boxes_meet_by_cells(spark):
+    rng = np.random.default_rng(9)
+    corner, size = rng.integers(-60, 60, (120, 2)), rng.integers(0, 40, (120, 2))
+    rows = [("v", i % 2, i, int(x), int(y), int(x + w), int(y + h)) for i, ((x, y), (w, h)) in enumerate(zip(corner, size))]
+    met = pairs.overlapping_boxes(spark.createDataFrame(rows, "video_id string, frame long, det_idx int, bbox_x1 int, bbox_y1 int, bbox_x2 int, bbox_y2 int"))
+    over = lambda r, q, k: min(r[k + 2], q[k + 2]) > max(r[k], q[k])
+    got = [(r.a_det_idx, r.b_det_idx) for r in met.where("least(a_bbox_x2, b_bbox_x2) > greatest(a_bbox_x1, b_bbox_x1) and least(a_bbox_y2, b_bbox_y2) > greatest(a_bbox_y1, b_bbox_y1)").collect()]
+    assert sorted(got) == [(r[2], q[2]) for r in rows for q in rows if r[1] == q[1] and over(r, q, 3) and over(r, q, 4)]
+    assert met.count() < 2 * 60 * 60  # fewer than all pairs of the frames

@@ -399,18 +399,27 @@ def _(spark, d):
 def in_batches(spark, rows, order: str, n: int = 4):
     """The rows as a stream of n files in order."""
     path = scratch.fresh_path(spark, "stream")
+    rows = scratch.written(rows, "streamed")
     low, high = rows.agg(F.min(order), F.max(order)).first()
     part = F.floor((F.col(order) - low) * n / (high - low + 1))
     for i in range(n):
         rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    scratch.dropped(rows)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def gathered(spark, stream, mode: str = "append"):
-    """All that a stream gives, once it has read what there is."""
+    """All that a stream gives, once it has read what there is: rows of its end are files; those of the
+    other modes, which are as many as its state, are held by the driver."""
     name = f"s{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", scratch.fresh_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination(600)
-    return spark.table(name)
+    out = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", scratch.fresh_path(spark, "checkpoint")).trigger(availableNow=True)
+    if mode != "append":
+        out.format("memory").start().awaitTermination()
+        return spark.table(name)
+    path = scratch.fresh_path(spark, "gathered")
+    sinks.make_folder(spark, path)
+    out.format("parquet").start(path).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 @query("burst_gate_stream", base.SQL["burst_gate_frames"])

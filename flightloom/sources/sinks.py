@@ -115,6 +115,11 @@ def _files(spark: SparkSession, folder: str):
     return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def make_folder(spark: SparkSession, folder: str) -> None:
+    fs, path = _files(spark, folder)
+    fs.mkdirs(path(folder))
+
+
 def remove_outputs(spark: SparkSession, folder: str, names: list[str]) -> list[str]:
     """Removes the named outputs of a run (debug tables); gives those that were there."""
     fs, path = _files(spark, folder)

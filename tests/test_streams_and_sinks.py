@@ -4,6 +4,7 @@ import xml.dom.minidom
 from pyspark.sql import functions as F
 
 from flightloom.operators import tracking
+from flightloom.plans import image_queries
 from flightloom.sources import readers, sinks
 from flightloom.streaming import stateful
 from tests.test_tracks import dets, line, points
@@ -20,6 +21,16 @@ def test_stream_is_the_batch(spark, tmp_path):
     assert {(r.track_id, r.frame, r.x) for r in spark.table("tracked").collect()} == batch
 
 
+def test_rows_of_a_stream_are_files(spark, tmp_path):
+    """What a stream appends is not held by the driver, and comes whole; a stream without rows gives none."""
+    p = points(spark, (1, line(0, 9, 0, 0, 10)), (2, line(3, 8, 0, 50, 10))).select("video_id", "track_id", "frame", "x", "y")
+    out = image_queries.gathered(spark, stateful.trail_stream(image_queries.in_batches(spark, p, "frame"), max_gap=12, idle_ms=None))
+    assert out.inputFiles() and out.count() == 17
+    (tmp_path / "none").mkdir()
+    none = spark.readStream.schema(p.schema).parquet(str(tmp_path / "none"))
+    assert image_queries.gathered(spark, stateful.trail_stream(none, idle_ms=None)).count() == 0
+
+
 def test_exports(spark, tmp_path):
     p = points(spark, (1, line(0, 5, 0, 0, 10)), (2, line(0, 4, 0, 50, 10)))
     sinks.export_tracks(p, str(tmp_path / "tracks"))

@@ -3,7 +3,7 @@ import xml.dom.minidom
 
 from pyspark.sql import functions as F
 
-from flightloom.operators import tracking
+from flightloom.operators import grouping, tracking
 from flightloom.plans import image_queries
 from flightloom.sources import readers, sinks
 from flightloom.streaming import stateful
@@ -43,6 +43,18 @@ def test_exports(spark, tmp_path):
     assert json.loads(sinks.render_payload(p).first().value)["tracks_total"] == 2
 
 
+def test_pairs_of_decisions_are_a_document_each(spark, tmp_path):
+    """All pairs come, as rows of their own in as many files as they have tasks; the totals beside them."""
+    kind = "video_id string, track_a long, track_b long, relation string, reason string, duplicate_score double"
+    found = spark.createDataFrame([("v", a, b, "overlap", "overlap_close", 0.9) for a in range(1, 9) for b in range(a + 1, 9)], kind).repartition(3)
+    p = points(spark, *((i, line(0, 5, 0, 10 * i, 10)) for i in range(1, 10)))
+    sinks.export_decisions(grouping.dedup_decisions(p, found, "discard", 0.65), found, str(tmp_path / "csv"), str(tmp_path / "json"))
+    pairs = spark.read.schema(kind).json(str(tmp_path / "json_pairs"))
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, found.collect())) and len(pairs.inputFiles()) == 3
+    assert spark.read.json(str(tmp_path / "json")).first().asDict() == {"video_id": "v", "groups_total": 1, "tracks_discarded": 7, "tracks_merged": 0, "pairs_total": 28}
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 9
+
+
 def test_render_documents(spark, tmp_path):
     """A JSON document for each video, written as its tracks come, with the corners of the regions' contours."""
     p = points(spark, (3, line(0, 5, 0, 0, 10)), (2, line(2, 4, 0, 50, 10)))

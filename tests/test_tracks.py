@@ -100,6 +100,46 @@ def test_fusion(spark):
     assert {r["origin"]: r["count"] for r in out} == {"primary": 2, "secondary": 1}
 
 
+def plainly_unmatched(x, y, box, first, max_distance, min_iou):
+    """Each row against all that stay."""
+    area, chosen = np.prod(np.maximum(box[:, 2:] - box[:, :2], 0), axis=1), []
+    for i in range(len(x)):
+        if i >= first and chosen:
+            k = np.array(chosen)
+            inter = np.prod(np.maximum(np.minimum(box[k, 2:], box[i, 2:]) - np.maximum(box[k, :2], box[i, :2]), 0), axis=1)
+            union = area[k] + area[i] - inter
+            iou = np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1), 0)
+            if ((np.hypot(x[k] - x[i], y[k] - y[i]) <= max_distance) | (iou >= min_iou)).any():
+                continue
+        chosen.append(i)
+    return chosen
+
+
+@pytest.mark.parametrize("max_distance, min_iou", [(8.0, 0.1), (0.0, 0.3), (5.0, 0.0), (3.0, 2.0), (40.0, 0.01)])
+def test_fusion_against_a_plain_walk(max_distance, min_iou):
+    rng = np.random.default_rng(4)
+    for t in range(40):
+        n, side = int(rng.integers(1, 120)), float(rng.choice([20.0, 100.0, 1000.0]))
+        x, y = rng.random(n) * side, rng.random(n) * side
+        x, y = (x.round(), y.round()) if t % 2 else (x, y)
+        x[rng.random(n) < 0.02] = np.nan
+        at, size = (rng.random((n, 2)) * side).round() if t % 3 == 0 else np.nan_to_num(np.c_[x, y]).round(), rng.integers(0, 9, (n, 2)) ** rng.integers(1, 3)
+        box, first = np.c_[at - size, at + size].astype(float), int(rng.integers(0, n + 1))
+        assert tracking.unmatched(x, y, box, first, max_distance, min_iou).tolist() == plainly_unmatched(x, y, box, first, max_distance, min_iou)
+
+
+def test_fusion_of_a_crowded_frame():
+    """Well before a walk that compares each detection with all that stay."""
+    rng = np.random.default_rng(5)
+    x, y = rng.exponential(50.0, 12000), rng.integers(0, 100, 12000).astype(float)
+    box = np.c_[x - 3, y - 3, x + 3, y + 3]
+    began = time.perf_counter()
+    got = tracking.unmatched(x, y, box, 6000, 8.0, 0.1)
+    took, began = time.perf_counter() - began, time.perf_counter()
+    assert got.tolist() == plainly_unmatched(x, y, box, 6000, 8.0, 0.1)
+    assert took < 0.5 * (time.perf_counter() - began)
+
+
 def merged_ids(spark, p, **options):
     found = grouping.merge_features(p)
     merges = grouping.guarded_merges(p, found, **options)

@@ -4,10 +4,11 @@ image a group."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -231,19 +232,79 @@ def polygon_area(path: list[tuple[int, int]]) -> float:
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups and the first row of each group, from batches sorted by the columns: many small images
+    come at once, a large one alone."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(table: pa.Table) -> np.ndarray:
+        new = np.arange(table.num_rows) == 0
+        for c in by:
+            v = table.column(c).to_pandas().to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # a batch that goes on with the image held is looked at by its own rows alone
+        if held and all(batch.column(c)[batch.num_rows - 1].as_py() == held[0].column(c)[0].as_py() for c in by):
+            held.append(batch)
+            continue
+        table = pa.Table.from_batches([*held, batch])
+        first = cut(table)
+        if len(first) > 1:
+            yield table.slice(0, int(first[-1])), first[:-1]
+        held = table.slice(int(first[-1])).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, cut(table)
+
+
+def grouped(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows for ``whole_groups``."""
+    return rows.repartition(*by).sortWithinPartitions(*by)
+
+
+#: Pixels of the images that are labelled at once (one image at least).
+CANVAS = 1 << 22
+
+
+def component_numbers(x: np.ndarray, y: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Number, within its image, of each pixel's 8-connected component, in scan order of their first pixels; first: where
+    each image's pixels begin. Images are labelled below each other, an empty row between them."""
+    last, out = np.append(first[1:], len(x)), np.empty(len(x), np.int64)
+    x0, y0 = np.minimum.reduceat(x, first), np.minimum.reduceat(y, first)
+    wide, high = np.maximum.reduceat(x, first) - x0 + 1, np.maximum.reduceat(y, first) - y0 + 2
+    i = 0
+    while i < len(first):
+        k = i + 1
+        width, height = int(wide[i]), int(high[i])
+        while k < len(first) and max(width, int(wide[k])) * (height + int(high[k])) <= CANVAS:
+            width, height, k = max(width, int(wide[k])), height + int(high[k]), k + 1
+        own = slice(first[i], last[k - 1])
+        size = last[i:k] - first[i:k]
+        top = np.cumsum(high[i:k]) - high[i:k]
+        row, column = y[own] + np.repeat(top - y0[i:k], size), x[own] - np.repeat(x0[i:k], size)
+        canvas = np.zeros((height, width), bool)
+        canvas[row, column] = True
+        found = label_image(canvas)[row, column]
+        out[own] = found - np.repeat(np.minimum.reduceat(found, first[i:k] - first[i]), size) + 1
+        i = k
+    return out
+
+
 def components(mask: DataFrame, by: list[str]) -> DataFrame:
-    """The mask with component: number of each pixel's 8-connected component. One
-    image (the columns ``by``) is a group."""
-    columns = [c for c in mask.columns]
+    """The mask with component: number of each pixel's 8-connected component. The
+    images (of the columns ``by``) of an Arrow batch are labelled at once."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x0, y0 = pdf.x.min(), pdf.y.min()
-        image = np.zeros((pdf.y.max() - y0 + 1, pdf.x.max() - x0 + 1), bool)
-        image[pdf.y - y0, pdf.x - x0] = True
-        return pdf.assign(component=label_image(image)[pdf.y - y0, pdf.x - x0])[[*columns, "component"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in whole_groups(batches, by):
+            x, y = (table.column(c).to_numpy().astype(np.int64) for c in "xy")
+            yield from table.append_column("component", pa.array(component_numbers(x, y, first))).combine_chunks().to_batches()
 
     schema = mask.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", component long"
-    return mask.groupBy(*by).applyInPandas(run, schema)
+    return grouped(mask, by).mapInArrow(run, schema)
 
 
 def blobs(foreground_px: DataFrame, min_area: float = 0, max_area: float = float("inf"), moments: bool = False) -> DataFrame:

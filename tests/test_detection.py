@@ -43,6 +43,26 @@ def test_labels_by_flood_fill():
     assert (pixels.label_image(line) == flood(line)).all() and not pixels.label_image(np.zeros((3, 3), bool)).any()
 
 
+def test_images_are_labelled_together(spark, monkeypatch):
+    """Numbers of each image's own, however images fall into batches and canvases; many images are one call."""
+    rng, calls, label = np.random.default_rng(6), [], pixels.label_image
+    images = [rng.random((rng.integers(1, 9), rng.integers(1, 9))) < 0.5 for _ in range(60)]
+    rows = [(f"v{i % 3}", i // 3, int(x) + 5, int(y) + 7) for i, image in enumerate(images) for y, x in zip(*np.nonzero(image))]
+    want = {(f"v{i % 3}", i // 3, x + 5, y + 7): int(n) for i, image in enumerate(images) for (y, x), n in np.ndenumerate(label(image)) if n}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    got = pixels.components(spark.createDataFrame(rows, "video_id string, frame long, x int, y int"), ["video_id", "frame"]).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {tuple(r)[:4]: r.component for r in got} == want and len(got) == len(rows)
+    order = sorted(rows, key=lambda r: r[:2])
+    first = np.array([i for i, r in enumerate(order) if not i or r[:2] != order[i - 1][:2]])
+    x, y = (np.array([r[k] for r in order]) for k in (2, 3))
+    monkeypatch.setattr(pixels, "label_image", lambda image: calls.append(1) or label(image))
+    for canvas, most in ((1, len(first)), (200, 40), (1 << 22, 1)):
+        monkeypatch.setattr(pixels, "CANVAS", canvas)
+        calls.clear()
+        assert pixels.component_numbers(x, y, first).tolist() == [want[r] for r in order] and len(calls) <= most
+
+
 def test_outline_and_area():
     box = np.zeros((9, 9), bool)
     box[2:6, 3:8] = True

@@ -5,9 +5,10 @@ detections are DataFrame operations around it."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,7 @@ def centre_of_mass(path: list[tuple[int, int]]) -> tuple[float, float] | None:
 
 
 COLUMNS = [c.split()[0] for c in DDL.split(", ")][2:]
+TYPES = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]] for c in DDL.split(", ")]
 
 
 def found_in(frame: np.ndarray, back: np.ndarray, left: int, top: int, cfg: dict) -> list[tuple]:
@@ -113,11 +115,18 @@ def detect(frames: DataFrame, background: DataFrame, cfg: dict, size: tuple[int,
         px = px.where(F.col("x").between(x0, x1 - 1) & F.col("y").between(y0, y1 - 1))
     both = px.join(background.select(*pixels.PX, F.col("v").alias("b")), pixels.PX)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, top = int(pdf.x.min()), int(pdf.y.min())
-        frame, back = (np.zeros((int(pdf.y.max()) - top + 1, int(pdf.x.max()) - left + 1)) for _ in range(2))
-        frame[pdf.y - top, pdf.x - left], back[pdf.y - top, pdf.x - left] = pdf.v, pdf.b
-        rows = [(pdf.video_id.iloc[0], int(pdf.frame.iloc[0]), *r) for r in found_in(frame, back, left, top, cfg)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in DDL.split(", ")])
-
-    return filtered(both.groupBy("video_id", "frame").applyInPandas(run, DDL), cfg, region)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in pixels.whole_groups(batches, ["video_id", "frame"]):
+            video, at = (table.column(c).take(pa.array(first)).to_pylist() for c in ("video_id", "frame"))
+            px = [table.column(c).to_numpy() for c in ("x", "y", "v", "b")]
+            rows = []
+            for key, own in zip(zip(video, at), map(slice, first, [*first[1:], table.num_rows])):
+                x, y, v, b = (c[own] for c in px)
+                left, top = int(x.min()), int(y.min())
+                frame, back = (np.zeros((int(y.max()) - top + 1, int(x.max()) - left + 1)) for _ in range(2))
+                frame[y - top, x - left], back[y - top, x - left] = v, b
+                rows += [(*key, *r) for r in found_in(frame, back, left, top, cfg)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=["video_id", "frame", *COLUMNS])
+
+    return filtered(pixels.grouped(both.select("video_id", "frame", "x", "y", "v", "b"), ["video_id", "frame"]).mapInArrow(run, DDL), cfg, region)

@@ -211,8 +211,8 @@ def export_render(points: DataFrame, folder: str, size: tuple[int, int], directi
 
 
 def clip_table(frames: DataFrame, clips: DataFrame, path: str) -> None:
-    """Frames of each track's clip, a folder a track."""
-    frames.join(clips, ["video_id", "frame"]).write.mode("overwrite").partitionBy("video_id", "track_id").parquet(path)
+    """Frames of each track's clip, a folder a track; a task writes whole clips, so there are as many files as tracks."""
+    frames.join(clips, ["video_id", "frame"]).repartition("video_id", "track_id").write.mode("overwrite").partitionBy("video_id", "track_id").parquet(path)
 
 
 def review_tables(merges: DataFrame, assessments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -55,6 +55,19 @@ def test_pairs_of_decisions_are_a_document_each(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 9
 
 
+def test_a_clip_is_one_file(spark, tmp_path):
+    """However many tasks hold its frames."""
+    frames = spark.range(40).selectExpr("'v' as video_id", "id as frame", "1 as x", "2 as y", "id * 0.5 as v").repartition(4, "frame")
+    clips = spark.range(200).selectExpr("'v' as video_id", "id % 5 as track_id", "id div 5 as frame")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    sinks.clip_table(frames, clips, str(tmp_path / "clips"))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert [len(list(f.glob("*.parquet"))) for f in (tmp_path / "clips" / "video_id=v").iterdir()] == [1] * 5
+    assert spark.read.parquet(str(tmp_path / "clips")).count() == 200
+
+
 def test_render_documents(spark, tmp_path):
     """A JSON document for each video, written as its tracks come, with the corners of the regions' contours."""
     p = points(spark, (3, line(0, 5, 0, 0, 10)), (2, line(2, 4, 0, 50, 10)))

@@ -362,9 +362,9 @@ def _(spark, d):
     path = scratch.fresh_path(spark, "render")
     sinks.export_render(points(spark, d), path, ad.FRAME_SIZE, base.directed(spark, d), ad.mask_pixels(spark)).write.format("noop").mode("overwrite").save()
     track = "struct<track_id:bigint,direction:string,frame_start:bigint,frame_end:bigint,point_start:struct<x:double>,points:array<struct<x:double>>>"
-    doc = spark.read.schema(f"width int, height int, valid_region struct<contours:array<array<struct<x:int,y:int>>>>, tracks array<{track}>").json(path)
+    doc = spark.read.schema(f"video_id string, width int, height int, valid_region struct<contours:array<array<struct<x:int,y:int>>>>, tracks array<{track}>").json(path)
     contours = F.col("valid_region.contours")
-    t = doc.select(F.regexp_extract(F.input_file_name(), "([^/]+)[.]json$", 1).alias("video_id"), "width", "height", F.size(contours).alias("parts"), F.size(contours[0]).alias("corners"), F.explode("tracks").alias("t"))
+    t = doc.select("video_id", "width", "height", F.size(contours).alias("parts"), F.size(contours[0]).alias("corners"), F.explode("tracks").alias("t"))
     return t.select("video_id", "t.track_id", "t.direction", "t.frame_start", "t.frame_end", F.size("t.points").cast("long").alias("n"), F.col("t.point_start.x").alias("x_start"), "width", "height", "parts", "corners")
 
 

@@ -164,10 +164,15 @@ def contours_json(region: DataFrame, name: str) -> DataFrame:
     return region.select("video_id", "x", "y").groupBy("video_id").applyInPandas(run, f"video_id string, {name} string")
 
 
+#: Points of a render document; a video with more is written as several.
+RENDER_POINTS = 500_000
+
+
 def export_render(points: DataFrame, folder: str, size: tuple[int, int], directions: DataFrame | None = None, valid: DataFrame | None = None, entry: DataFrame | None = None) -> DataFrame:
     """Writes ``<folder>/<video>.json``: size, contours of the regions, and every track with its ends, colour, direction and
     points. A document is written as its tracks come, in their order, so a task holds a batch of tracks and
-    never a video. video_id, path, tracks of the documents, once they are written."""
+    never a video. A video of more than ``RENDER_POINTS`` points has further documents (``<video>.part-<n>.json``) with the same
+    head, each of a share of its tracks. video_id, path, tracks of the documents, once they are written."""
     point = F.struct("x", "y", "frame", "time_sec")
     t = points.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("frame", point.alias("p")))).alias("s"))
     t = t.join(directions.select(*KEY, "direction"), KEY, "left") if directions is not None else t.withColumn("direction", F.lit(None).cast("string"))
@@ -176,25 +181,29 @@ def export_render(points: DataFrame, folder: str, size: tuple[int, int], directi
         "track_id", colour(F.col("track_id")).alias("color"), first["frame"].alias("frame_start"), last["frame"].alias("frame_end"), (last["p"]["time_sec"] - first["p"]["time_sec"]).alias("duration_sec"),
         F.coalesce("direction", F.lit("unknown")).alias("direction"), first["p"].alias("point_start"), last["p"].alias("point_end"), F.col("s.p").alias("points"),
     )
-    rows = t.select("video_id", "track_id", F.to_json(doc).alias("value"))
-    heads = points.select("video_id").distinct()
+    # a video without points has no row here, so none has no part
+    sizes = points.groupBy("video_id").agg(F.ceil(F.count("*") / RENDER_POINTS).cast("long").alias("_parts"))
+    rows = t.join(F.broadcast(sizes.withColumnRenamed("video_id", "_v")), F.col("video_id").eqNullSafe(F.col("_v"))).select("video_id", F.pmod(F.xxhash64("track_id"), "_parts").alias("part"), "track_id", F.to_json(doc).alias("value"))
+    heads = sizes
     for name, region in (("valid_region", valid), ("entry_exit_region", entry)):
         heads = heads.join(contours_json(region, name), "video_id", "left") if region is not None else heads.withColumn(name, F.lit(None).cast("string"))
     part = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f', "{c}": '), F.col(c))).otherwise("")
-    head = F.concat(F.lit(f'{{"width": {int(size[0])}, "height": {int(size[1])}'), part("valid_region"), part("entry_exit_region"), F.lit(', "tracks": ['))
-    rows = rows.unionByName(heads.select("video_id", F.lit(None).cast("long").alias("track_id"), head.alias("value")))
+    name = F.to_json(F.struct("video_id"), {"ignoreNullFields": "false"})
+    head = F.concat(F.substring(name, F.lit(1), F.length(name) - 1), F.lit(f', "width": {int(size[0])}, "height": {int(size[1])}'), part("valid_region"), part("entry_exit_region"), F.lit(', "tracks": ['))
+    part_of = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part")
+    rows = rows.unionByName(heads.select("video_id", part_of, F.lit(None).cast("long").alias("track_id"), head.alias("value")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = file_system(folder)
         system.create_dir(root, recursive=True)
         open_now, out, done = None, None, []
         for batch in batches:
-            for video, track, value in zip(*(batch.column(c).to_pylist() for c in ("video_id", "track_id", "value"))):
-                if video != open_now:
+            for video, share, track, value in zip(*(batch.column(c).to_pylist() for c in ("video_id", "part", "track_id", "value"))):
+                if (video, share) != open_now:
                     if out is not None:
                         out.write(b"]}")
                         out.close()
-                    open_now, path = video, f"{root}/{video}.json"
+                    open_now, path = (video, share), f"{root}/{video}.part-{share}.json" if share else f"{root}/{video}.json"
                     out = system.open_output_stream(path)
                     done.append([video, path, 0])
                 if track is not None:
@@ -207,7 +216,7 @@ def export_render(points: DataFrame, folder: str, size: tuple[int, int], directi
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], names=["video_id", "path", "tracks"])
 
     # the head, without a track, sorts first
-    return mapped(rows.repartition("video_id").sortWithinPartitions("video_id", F.asc_nulls_first("track_id")), run, "video_id string, path string, tracks long")
+    return mapped(rows.repartition("video_id", "part").sortWithinPartitions("video_id", "part", F.asc_nulls_first("track_id")), run, "video_id string, path string, tracks long")
 
 
 def clip_table(frames: DataFrame, clips: DataFrame, path: str) -> None:

@@ -87,6 +87,18 @@ def test_render_documents(spark, tmp_path):
     assert sinks.export_render(both.where("false"), str(tmp_path / "none"), (1, 1)).count() == 0
 
 
+def test_render_documents_of_a_large_video(spark, tmp_path, monkeypatch):
+    """Its tracks come in several whole documents, each track once, in order, with the same head."""
+    monkeypatch.setattr(sinks, "RENDER_POINTS", 12)
+    p = points(spark, *((i, line(0, 5, 0, 10 * i, 10)) for i in range(1, 10)))
+    done = sinks.export_render(p, str(tmp_path / "render"), (100, 80)).collect()
+    docs = [json.loads(f.read_text()) for f in (tmp_path / "render").iterdir()]
+    assert len(done) == len(docs) == 4 and sum(r.tracks for r in done) == 9 and (tmp_path / "render" / "v.json").exists()
+    ids = [[t["track_id"] for t in d["tracks"]] for d in docs]
+    assert sorted(sum(ids, [])) == list(range(1, 10)) and all(i == sorted(i) for i in ids) and max(map(len, ids)) < 9
+    assert all((d["video_id"], d["width"], d["height"]) == ("v", 100, 80) for d in docs)
+
+
 def test_review_regions_and_removal(spark, tmp_path):
     d = str(tmp_path)
     merges = spark.createDataFrame([("v", 1, 2, 1, "overlap")], "video_id string, track_a long, track_b long, merged_to long, reason string")

@@ -378,14 +378,15 @@ def _(spark, d):
     return spark.read.schema("video_id string, zone_id long, area long, score double").json(f"{path}/zones")
 
 
-@query("track_clips", f"""WITH {PTS}, {sql_summary()}, {ad.FRAMES_SQL}, c AS (SELECT video_id, track_id, greatest(frame_start - 2, 0) AS a, frame_end + 2 AS b FROM sm WHERE track_id % 25 = 0)
+@query("track_clips", f"""WITH {PTS}, {sql_summary()}, {ad.FRAMES_SQL}, c AS (SELECT video_id, track_id, greatest(frame_start - 2, 0) AS a, frame_end + 2 AS b FROM sm)
   SELECT c.video_id, c.track_id, count(*) AS pixels, sum(f.v) AS total FROM c JOIN frames f ON f.frame BETWEEN c.a AND c.b GROUP BY ALL""")
 def _(spark, d):
     path = scratch.fresh_path(spark, "clips")
     f = ad.frames(spark, d)
-    clips = pairs.clip_frames(points(spark, d).where("track_id % 25 = 0"), f.select("video_id", "frame").distinct(), 2)
+    clips = pairs.clip_frames(points(spark, d), f.select("video_id", "frame").distinct(), 2)
     sinks.clip_table(f, clips, path)
-    return spark.read.parquet(path).groupBy("video_id", F.col("track_id").cast("long").alias("track_id")).agg(F.count("*").alias("pixels"), F.sum("v").alias("total"))
+    seen = spark.read.parquet(path).select("video_id", F.col("track_id").cast("long").alias("track_id"), F.explode("v").alias("v"))
+    return seen.groupBy("video_id", "track_id").agg(F.count("*").alias("pixels"), F.sum("v").alias("total"))
 
 
 @query("run_document", base.SQL["run_metrics"])

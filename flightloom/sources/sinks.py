@@ -17,6 +17,7 @@ from flightloom.operators.dense import mapped
 from flightloom.operators.fast_events import event_points
 from flightloom.operators.pixels import label_image, outlines
 from flightloom.operators.summary import KEY, merge_summary, summarise
+from flightloom.sources.scratch import dropped, written
 from flightloom.sources.video_files import file_system
 
 POINT_COLUMNS = ["video_id", "track_id", "frame", "time_sec", "x", "y", "vx", "vy", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "area"]
@@ -219,9 +220,27 @@ def export_render(points: DataFrame, folder: str, size: tuple[int, int], directi
     return mapped(rows.repartition("video_id", "part").sortWithinPartitions("video_id", "part", F.asc_nulls_first("track_id")), run, "video_id string, path string, tracks long")
 
 
+#: Images of all clips' frames up to so many bytes are broadcast; a task writes about so many bytes of clips.
+IMAGE_BYTES, CLIP_BYTES = 32 << 20, 256 << 20
+
+
 def clip_table(frames: DataFrame, clips: DataFrame, path: str) -> None:
-    """Frames of each track's clip, a folder a track; a task writes whole clips, so there are as many files as tracks."""
-    frames.join(clips, ["video_id", "frame"]).repartition("video_id", "track_id").write.mode("overwrite").partitionBy("video_id", "track_id").parquet(path)
+    """Frames of each track's clip (a row a frame: its pixels as lists x, y, v), a folder a track; a task writes whole
+    clips, so there are as many files as tracks. Clips hold each image as often as tracks cross it, so only their keys are dealt
+    by track, and small images (they are measured) meet them there; larger ones are joined by frame before."""
+    spark, key = frames.sparkSession, ["video_id", "frame"]
+    pixels = F.sort_array(F.collect_list(F.struct("y", "x", "v")))
+    images = written(frames.groupBy(*key).agg(pixels.alias("p")).select(*key, *(F.col(f"p.{c}").alias(c) for c in "xyv")), "images")
+    clips = written(clips, "clips")
+    count, size = images.agg(F.count("*"), 16 * F.sum(F.size("v"))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-clips.count() * (size or 0) // max(count, 1) // CLIP_BYTES))
+    small = (size or 0) <= IMAGE_BYTES
+    rows = clips if small else clips.join(images, key)
+    rows = rows.repartition(parts, *KEY).sortWithinPartitions(*KEY)
+    rows = rows.join(F.broadcast(images), key) if small else rows
+    # a clip holds an image once, so a dictionary of values is of no use
+    rows.write.mode("overwrite").option("compression", "zstd").option("parquet.enable.dictionary#v.list.element", "false").partitionBy(*KEY).parquet(path)
+    dropped(images, clips)
 
 
 def review_tables(merges: DataFrame, assessments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -4,8 +4,8 @@ import xml.dom.minidom
 from pyspark.sql import functions as F
 
 from flightloom.operators import grouping, tracking
-from flightloom.plans import image_queries
-from flightloom.sources import readers, sinks
+from flightloom.plans import catalog, image_queries
+from flightloom.sources import adapters, readers, sinks
 from flightloom.streaming import stateful
 from tests.test_tracks import dets, line, points
 
@@ -68,6 +68,18 @@ def test_a_clip_is_one_file(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "clips")).count() == 200
 
 
+def test_clips_of_all_tracks(spark, monkeypatch):
+    """Every track of the table has its clip, with all pixels of its frames, images broadcast or not."""
+    d = "/root/testdata/sf0.001"
+    p = catalog.points(spark, d)
+    own = p.groupBy("track_id").agg(F.min("frame").alias("a"), F.max("frame").alias("b"))
+    at = adapters.frames(spark, d).select("frame").distinct()
+    want = {r[0]: 64 * r[1] for r in own.join(at, F.col("frame").between(F.col("a") - 2, F.col("b") + 2)).groupBy("track_id").count().collect()}
+    for size in (sinks.IMAGE_BYTES, 0):
+        monkeypatch.setattr(sinks, "IMAGE_BYTES", size)
+        assert {r.track_id: r.pixels for r in image_queries.QUERIES["track_clips"](spark, d).collect()} == want and len(want) == p.select("track_id").distinct().count()
+
+
 def test_render_documents(spark, tmp_path):
     """A JSON document for each video, written as its tracks come, with the corners of the regions' contours."""
     p = points(spark, (3, line(0, 5, 0, 0, 10)), (2, line(2, 4, 0, 50, 10)))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightloom.functions.expressions import area_scale, resolution_scale
-from flightloom.operators import dense, fast_events, filters, grouping, layers, pairs, pixels, regions, summary, tracking, windows, zones
+from flightloom.operators import dense, fast_events, filters, grouping, layers, merging, pairs, pixels, regions, summary, tracking, windows, zones
 from flightloom.sources import config as settings
 from flightloom.sources.scratch import written
 
@@ -152,8 +152,7 @@ def run(
         vegetation = written(layers.exclude_zone(vegetation, region, background, v["entry_exit_exclusion_mode"], wide, v["entry_exit_keep_texture_percentile"], v["entry_exit_keep_min_intensity_percentile"], v["entry_exit_keep_min_gradient"], size))
     merges, merged = None, raw_points
     if t["auto_merge_suggested"]:
-        found = grouping.merge_features(raw_points, t["merge_max_gap_frames"], scaled(t["merge_max_endpoint_distance"]), t["merge_overlap_min_common_frames"], scaled(t["merge_overlap_max_mean_distance"]), t["merge_overlap_min_direction_cosine"], scaled(t["merge_overlap_proximity_override_distance"]))
-        merges = written(grouping.guarded_merges(raw_points, written(found), t["merge_max_group_overlap_frames"], scaled(t["merge_duplicate_max_distance"]), t["merge_max_group_size"]))
+        merges = written(merging.auto_merges(raw_points, t["merge_max_gap_frames"], scaled(t["merge_max_endpoint_distance"]), t["merge_overlap_min_common_frames"], scaled(t["merge_overlap_max_mean_distance"]), t["merge_overlap_min_direction_cosine"], scaled(t["merge_overlap_proximity_override_distance"]), t["merge_max_group_overlap_frames"], scaled(t["merge_duplicate_max_distance"]), t["merge_max_group_size"]))
         merged = written(grouping.apply_merges(raw_points, merges))
     stripped = None
     if vegetation is not None and v["enabled"]:

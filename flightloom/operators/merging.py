@@ -12,12 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from flightloom.functions.expressions import EPS
 from flightloom.operators.blocks import packed
 from flightloom.operators.grouping import guarded_merges, merge_features, ordered
-from flightloom.operators.pairs import edges
+from flightloom.operators.pairs import edges, stretches
 from flightloom.operators.summary import KEY
 from flightloom.sources.scratch import written
 
@@ -93,10 +92,8 @@ def auto_merges(points: DataFrame, max_gap: int = 8, max_endpoint: float = 80.0,
     how = (min_common, max_mean, min_cosine, proximity)
     if max_group <= 0:
         return guarded_merges(points, written(merge_features(points, max_gap, max_endpoint, *how)), max_shared, duplicate_distance, max_group)
-    w = Window.partitionBy("video_id").orderBy("frame_start", "track_id")
     base = edges(points).select(*KEY, F.col("frame_start").cast("long").alias("frame_start"), F.col("frame_end").cast("long").alias("frame_end"), *(F.col(c).cast("double").alias(c) for c in _EDGES))
-    new = F.when(F.col("frame_start") > F.max("frame_end").over(w.rowsBetween(Window.unboundedPreceding, -1)) + max_gap, 1).otherwise(0)
-    base = base.withColumn("_new", new).withColumn("group_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    base = stretches(base, max_gap)
     rows = packed(points, 0, base).drop("side")
     names = ["video_id", "track_a", "track_b", "merged_to", "reason"]
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())

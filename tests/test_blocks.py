@@ -106,3 +106,16 @@ def test_boxes_meet_by_cells(spark):
     got = [(r.a_det_idx, r.b_det_idx) for r in met.where("least(a_bbox_x2, b_bbox_x2) > greatest(a_bbox_x1, b_bbox_x1) and least(a_bbox_y2, b_bbox_y2) > greatest(a_bbox_y1, b_bbox_y1)").collect()]
     assert sorted(got) == [(r[2], q[2]) for r in rows for q in rows if r[1] == q[1] and over(r, q, 3) and over(r, q, 4)]
     assert met.count() < 2 * 60 * 60  # fewer than all pairs of the frames
+
+
+def test_tracks_meet_in_rounds(spark, monkeypatch):
+    """Tracks that are settled meet no more; all others meet all tracks, and what is found is that of all pairs."""
+    monkeypatch.setattr(pairs, "ROUND", 2)
+    rng = np.random.default_rng(12)
+    p = spark.createDataFrame(scattered(rng, 30, 20, np.arange(30)), DDL)
+    q = spark.createDataFrame(scattered(rng, 40, 20, np.arange(40)), DDL)
+    whole = {tuple(r)[:3]: tuple(r)[3:] for r in pairs.close_on_average(p, q, 12.0).collect()}
+    met = {tuple(r)[:3]: tuple(r)[3:] for r in pairs.met_in_rounds(p, q, 12.0, lambda rows: rows.where("false")).collect()}
+    assert set(met) == set(whole) and all(met[k][0] == whole[k][0] and same(met[k][1], whole[k][1]) for k in met)
+    few = {tuple(r)[:3] for r in pairs.met_in_rounds(p, q, 12.0, lambda rows: rows).collect()}
+    assert few < set(whole) and {k[:2] for k in few} == {k[:2] for k in whole}
